@@ -6,7 +6,6 @@ Everything here is Column -> Column (or plan-time name handling); no UDF.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ SPACE = (
     r"[\s\x{0b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 )
 NOT_SPACE = SPACE.replace("[", "[^", 1)
+# The same characters as one text, for the trim functions.
+SPACE_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Cell texts that the wide blank test also treats as missing.
 BLANK_WORDS = ("", "null", "none", "n/a", "na", "undefined", "-", "--")
@@ -62,7 +63,7 @@ def col_of(c: Column | str) -> Column:
 def is_blank(c: Column | str, words: tuple[str, ...] | None = None) -> Column:
     """NULL or nothing but white space; with ``words`` also those texts (case-blind)."""
     text = col_of(c).cast("string")
-    blank = ~F.coalesce(text.rlike(NOT_SPACE), F.lit(False))
+    blank = F.coalesce(trim_all(text) == "", F.lit(True))
     if words:
         blank = blank | F.coalesce(F.lower(trim_all(text)).isin(*words), F.lit(False))
     return blank
@@ -70,7 +71,7 @@ def is_blank(c: Column | str, words: tuple[str, ...] | None = None) -> Column:
 
 def trim_all(c: Column | str) -> Column:
     """Trim every kind of white space, not only the blank character."""
-    return F.regexp_replace(col_of(c), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col_of(c), F.lit(SPACE_CHARS))
 
 
 def collapse_spaces(c: Column | str) -> Column:
@@ -84,16 +85,19 @@ def null_if_blank(c: Column | str) -> Column:
 
 def match_key(c: Column | str) -> Column:
     """Upper-cased, trimmed key for number columns; NULL when blank."""
-    return F.upper(null_if_blank(trim_all(col_of(c).cast("string"))))
+    return F.upper(F.nullif(trim_all(col_of(c).cast("string")), F.lit("")))
 
 
 def vendor_key_a(c: Column | str) -> Column:
     """Key for fuzzy blocks and contracts: endings cut one pass, then a-z 0-9 only."""
-    start = trim_all(F.lower(col_of(c)))
-    cut = reduce(
-        lambda n, word: F.regexp_replace(n, rf"\s* {word}\z", ""), KEY_A_ENDINGS, start
-    )
-    return trim_all(F.regexp_replace(F.regexp_replace(cut, r"[^a-z0-9\s]", ""), r"\s+", " "))
+    endings = F.array(*[F.lit(f" {w}") for w in KEY_A_ENDINGS])
+
+    def cut(name: Column, ending: Column) -> Column:
+        shorter = F.rtrim(F.substr(name, F.lit(1), F.length(name) - F.length(ending)), F.lit(SPACE_CHARS))
+        return F.when(F.endswith(name, ending), shorter).otherwise(name)
+
+    bare = F.aggregate(endings, trim_all(F.lower(col_of(c))), cut)
+    return trim_all(F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9\s]", ""), r"\s+", " "))
 
 
 def _drop_words(c: Column, words: tuple[str, ...]) -> Column:

@@ -156,7 +156,9 @@ def _plain(number: Column) -> Column:
 
 
 def _pct(share: Column) -> Column:
-    return F.format_string("%.1f", F.round(share * 100, 1))
+    # Through four decimals, so that the rounding does not meet binary fractions.
+    tenths = F.floor((F.round(share * 10_000).cast("long") + 5) / 10)
+    return F.format_string("%.1f", tenths / F.lit(10.0))
 
 
 def invoice_findings(

@@ -8,7 +8,7 @@ one order number may hold any share of the rows.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import cents, half_up
@@ -22,6 +22,7 @@ from ledgerloom.sources.roles import text, typed
 FUZZY_PERCENT = 85
 AMOUNT_PERCENT = 2
 STALE_DAYS = 730
+SHORT_ORDER = 64
 
 
 # --- shared pieces ----------------------------------------------------------
@@ -82,50 +83,96 @@ def closer(below: Column, above: Column, value: Column) -> Column:
 # --- by order number --------------------------------------------------------
 
 
-def match_by_number(invoices: DataFrame, pos: DataFrame, row_id: str = "_row_id") -> DataFrame:
+def _nearest_line(lines: Column, value: Column) -> Column:
+    """Of a short list of order structs the one nearest in amount, the earlier row on ties."""
+    ranked = F.transform(
+        F.filter(lines, lambda t: t["amount"].isNotNull()),
+        lambda t: F.struct(F.abs(t["amount"] - value).alias("gap"), t["row_id"].alias("rid"), t.alias("line")),
+    )
+    first = F.array_min(F.transform(lines, lambda t: F.struct(t["row_id"].alias("rid"), t.alias("line"))))
+    best = F.when(value.isNotNull() & (F.size(ranked) > 0), F.array_min(ranked)["line"])
+    return F.coalesce(best, first["line"])
+
+
+def _lines_by_amount(orders: DataFrame, asked: DataFrame) -> DataFrame:
+    """Best order line per distinct (order key, invoice amount) for orders of any size."""
+    by_amount = (
+        orders.filter(F.col("target.amount").isNotNull())
+        .groupBy("_po_key", F.col("target.amount").alias("_value"))
+        .agg(F.min_by("target", F.col("target.row_id")).alias("target"))
+    )
+    firsts = orders.groupBy("_po_key").agg(F.min_by("target", F.col("target.row_id")).alias("first"))
+    near = nearest_by_key(asked.filter(F.col("_value").isNotNull()), by_amount, ["_po_key"], "_value")
+    value_key = F.coalesce(F.col("_value").cast("string"), F.lit(""))
+    best = near.select(
+        "_po_key", value_key.alias("_value_key"), closer(F.col("below"), F.col("above"), F.col("_value")).alias("_best")
+    )
+    return (
+        asked.join(firsts, "_po_key")
+        .withColumn("_value_key", value_key)
+        .join(best, ["_po_key", "_value_key"], "left")
+        .select(F.col("_po_key").alias("_join_key"), "_value_key", F.coalesce("_best", "first").alias("_found"))
+    )
+
+
+def match_by_number(
+    invoices: DataFrame, pos: DataFrame, row_id: str = "_row_id", short_order: int = SHORT_ORDER
+) -> DataFrame:
     """Left match on the order number, with the order line closest in amount.
 
     Adds ``_amount``, ``_currency``, ``_po_key`` and ``po`` (NULL without a match).
     Among the lines of an order: the smallest amount gap wins, then the earlier
     row; the first row when the invoice has no amount or no line has one.
+
+    Orders of at most ``short_order`` lines travel as a list of bounded length and
+    cost one join.  Longer ones, up to an order number that holds a third of all
+    rows, are resolved per distinct amount with ``nearest_by_key``; the invoices
+    of such an order meet only the result for their own amount.
     """
     orders = pos.select(match_key(text(pos, "po_number")).alias("_po_key"), order_struct(pos, row_id).alias("target")).filter(
         F.col("_po_key").isNotNull()
     )
-    by_amount = (
-        orders.filter(F.col("target.amount").isNotNull())
-        .groupBy("_po_key", F.col("target.amount").alias("_value"))
-        .agg(F.min_by("target", F.col("target.row_id")).alias("target"))
+    # The rank limit is applied before the shuffle too, so a long order sends few lines per task.
+    rank = F.row_number().over(Window.partitionBy("_po_key").orderBy("target.row_id"))
+    heads = (
+        orders.withColumn("_n", rank)
+        .filter(F.col("_n") <= short_order + 1)
+        .groupBy("_po_key")
+        .agg(F.collect_list("target").alias("_lines"), F.count(F.lit(1)).alias("_size"))
     )
-    firsts = orders.groupBy("_po_key").agg(F.min_by("target", F.col("target.row_id")).alias("first"))
-
     keyed = invoices.withColumns(
         {
             "_amount": typed(invoices, "amount"),
             "_currency": currency_code(text(invoices, "currency")),
             "_po_key": match_key(text(invoices, "po_number")),
         }
+    ).withColumn("_join_key", spread_null(F.col("_po_key"), row_id))
+    joined = keyed.join(heads.withColumnRenamed("_po_key", "_join_key"), "_join_key", "left")
+    nearest = F.when(F.col("_lines").isNotNull(), _nearest_line(F.col("_lines"), F.col("_amount")))
+    columns = [c for c in keyed.columns if c != "_join_key"] + ["po"]
+
+    # One look at the sizes (a count per order number, no other column read) decides
+    # whether the second way is planned at all.
+    sizes = orders.groupBy("_po_key").agg(F.count(F.lit(1)).alias("_size"))
+    long_keys = sizes.filter(F.col("_size") > short_order).select("_po_key")
+    if long_keys.isEmpty():
+        return joined.withColumn("po", nearest).select(*columns)
+
+    is_long = F.coalesce(F.col("_size") > short_order, F.lit(False))
+    short = joined.filter(~is_long).withColumn("po", nearest)
+    asked = (
+        keyed.filter(F.col("_po_key").isNotNull())
+        .select("_po_key", F.col("_amount").alias("_value"))
+        .join(long_keys, "_po_key", "left_semi")
+        .distinct()
     )
-    asked = keyed.filter(F.col("_po_key").isNotNull()).select("_po_key", F.col("_amount").alias("_value")).distinct()
-    near = nearest_by_key(asked.filter(F.col("_value").isNotNull()), by_amount, ["_po_key"], "_value")
-    best = near.select("_po_key", "_value", closer(F.col("below"), F.col("above"), F.col("_value")).alias("_best"))
-    value_key = F.coalesce(F.col("_value").cast("string"), F.lit(""))
-    resolved = (
-        asked.join(firsts, "_po_key")
-        .withColumn("_value_key", value_key)
-        .join(best.withColumn("_value_key", value_key).drop("_value"), ["_po_key", "_value_key"], "left")
-        .select(
-            F.col("_po_key").alias("_join_key"),
-            "_value_key",
-            F.coalesce("_best", "first").alias("po"),
-        )
-    )
-    return (
-        keyed.withColumn("_join_key", spread_null(F.col("_po_key"), row_id))
-        .withColumn("_value_key", F.coalesce(F.col("_amount").cast("string"), F.lit("")))
-        .join(resolved, ["_join_key", "_value_key"], "left")
-        .drop("_join_key", "_value_key")
+    resolved = _lines_by_amount(orders.join(long_keys, "_po_key", "left_semi"), asked)
+    long = (
+        keyed.withColumn("_value_key", F.coalesce(F.col("_amount").cast("string"), F.lit("")))
+        .join(resolved, ["_join_key", "_value_key"])
+        .withColumn("po", F.col("_found"))
     )
+    return short.select(*columns).unionByName(long.select(*columns))
 
 
 # --- by fuzzy vendor name ---------------------------------------------------

@@ -187,7 +187,7 @@ FROM (SELECT l_orderkey AS ok, l_partkey AS pk, l_suppkey AS sk, l_linenumber AS
         ("contract",),
         f"""SELECT {key_a('vendor_name')} AS vkey, arg_max({number('unit_price')}, rid) AS price FROM contract GROUP BY 1""",
     ),
-    "full": (
+    "wide": (
         ("matched", "received", "price"),
         f"""SELECT m.*, r.received, c.price FROM matched m LEFT JOIN received r ON r.pokey = m.po_no
  LEFT JOIN price c ON c.vkey = {key_a('m.vendor_name')}""",

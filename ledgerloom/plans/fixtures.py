@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import spread
+
 # Invented firm names: one word of each list by supplier key, then a legal form.
 FIRST = ("Acme", "Borealis", "Cobalt", "Delta", "Evergreen", "Falcon", "Granite", "Harbor", "Indigo", "Juniper")
 SECOND = ("Trading", "Metals", "Foods", "Logistics", "Textiles", "Energy", "Paper", "Glass", "Tools", "Marine")
@@ -38,7 +40,7 @@ def _word(words: tuple[str, ...], index: str) -> str:
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Line items with whole-number money and a sortable row id."""
     return (
-        table(spark, sf, "lineitem")
+        spread(table(spark, sf, "lineitem"), "l_orderkey")
         .selectExpr(
             "l_orderkey ok", "l_partkey pk", "l_suppkey sk", "l_linenumber ln",
             "cast(l_quantity as bigint) q", "cast(round(l_extendedprice * 100) as bigint) pc",

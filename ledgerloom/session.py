@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(app: str = "ledgerloom", cores: str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench.  A cluster brings its own."""
-    return (
+    return tune(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -25,6 +25,26 @@ def local_session(app: str = "ledgerloom", cores: str = "*", partitions: int = 8
     )
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the wide projections of this package need.
+
+    HotSpot never compiles a method of more than 8000 bytes of bytecode.  Below
+    that limit Spark falls back to expression-wise generated code, which is
+    compiled; above it the fused method would be interpreted, several times slower.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer partitions than cores one partition per core.
+
+    Only for small inputs (a single file); a large table is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
 
