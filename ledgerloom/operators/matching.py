@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.numbers import cents, half_up
 from ledgerloom.functions.text import (
@@ -178,7 +179,7 @@ def match_by_number(
 # --- by fuzzy vendor name ---------------------------------------------------
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence, one machine word row per text."""
 

@@ -14,13 +14,15 @@ from ledgerloom.plans.fixture_sql import (
 from ledgerloom.plans.fixtures import fx_dirty, fx_invoice, table
 from ledgerloom.sources.roles import canonicalise, second_layout
 
-_RID = F.col("_row_id").alias("rid")
+def _rid():
+    return F.col("_row_id").alias("rid")
+
 
 
 @query("cell_blanks", with_("dirty", f"SELECT rid, {blank('segment')} AS segment_blank, {blank('name')} AS name_blank, {blank('amount')} OR amount = '-' AS amount_missing FROM dirty"))
 def cell_blanks(spark, sf):
     return fx_dirty(spark, sf).select(
-        _RID, T.is_blank("segment").alias("segment_blank"), T.is_blank("name").alias("name_blank"),
+        _rid(), T.is_blank("segment").alias("segment_blank"), T.is_blank("name").alias("name_blank"),
         T.is_blank("amount", T.BLANK_WORDS).alias("amount_missing"),
     )
 
@@ -28,7 +30,7 @@ def cell_blanks(spark, sf):
 @query("cell_numbers", with_("inv", f"SELECT rid, {money('amount')}::DOUBLE AS amount, {number('tax')} AS tax, {number('quantity')} AS quantity FROM inv"))
 def cell_numbers(spark, sf):
     return fx_invoice(spark, sf).select(
-        _RID, N.parse_money("amount").cast("double").alias("amount"), N.parse_number("tax").alias("tax"), N.parse_number("quantity").alias("quantity")
+        _rid(), N.parse_money("amount").cast("double").alias("amount"), N.parse_number("tax").alias("tax"), N.parse_number("quantity").alias("quantity")
     )
 
 
@@ -54,7 +56,7 @@ def currency_codes(spark, sf):
     with_("dirty", r"SELECT rid, TRY_CAST(nullif(regexp_extract(trim(replace(amount, ',', '')), '\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)'), '') AS DECIMAL(18,2))::DOUBLE AS amount_key FROM dirty"),
 )
 def amount_keys(spark, sf):
-    return fx_dirty(spark, sf).select(_RID, N.amount_key("amount").cast("double").alias("amount_key"))
+    return fx_dirty(spark, sf).select(_rid(), N.amount_key("amount").cast("double").alias("amount_key"))
 
 
 @query(
@@ -62,7 +64,7 @@ def amount_keys(spark, sf):
     with_("inv", f"SELECT rid, coalesce(coalesce(nullif({trim('currency')}, ''), 'USD') || ' ' || format('{{:,}}', c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0'), 'N/A') AS shown FROM inv"),
 )
 def money_texts(spark, sf):
-    return fx_invoice(spark, sf).select(_RID, N.money_text(N.parse_money("amount"), "currency").alias("shown"))
+    return fx_invoice(spark, sf).select(_rid(), N.money_text(N.parse_money("amount"), "currency").alias("shown"))
 
 
 @query(
@@ -92,7 +94,7 @@ _D = r"'^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2
 )
 def type_tests(spark, sf):
     return fx_dirty(spark, sf).select(
-        _RID, N.is_integer_text("amount").alias("is_integer"), N.is_float_text("amount").alias("is_float"),
+        _rid(), N.is_integer_text("amount").alias("is_integer"), N.is_float_text("amount").alias("is_float"),
         DT.is_date_text("date").alias("is_date"), F.coalesce(DT.date_layout("date"), F.lit("")).alias("layout"),
     )
 
@@ -109,14 +111,14 @@ def _free(order: str) -> str:
 @query("free_text_dates", with_("dirty", f"SELECT rid, {_free('DMY')} AS day_first, {_free('MDY')} AS month_first FROM dirty"))
 def free_text_dates(spark, sf):
     return fx_dirty(spark, sf).select(
-        _RID, DT.free_text_date("date").alias("day_first"), DT.free_text_date("date", "MDY").alias("month_first")
+        _rid(), DT.free_text_date("date").alias("day_first"), DT.free_text_date("date", "MDY").alias("month_first")
     )
 
 
 @query("row_fingerprints", with_("dirty", "SELECT rid, md5(to_json(struct_pack(amount := amount, code := code, date := date, name := name, segment := segment))::VARCHAR) AS row_hash FROM dirty"))
 def row_fingerprints(spark, sf):
     df = fx_dirty(spark, sf)
-    return df.select(_RID, T.row_fingerprint(T.business_columns(df)).alias("row_hash"))
+    return df.select(_rid(), T.row_fingerprint(T.business_columns(df)).alias("row_hash"))
 
 
 @query(

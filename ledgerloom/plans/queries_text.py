@@ -66,11 +66,15 @@ _LINES = f"""ln AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unn
  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {trim('x')}), lambda x: x <> '') AS l FROM doc_text))"""
 
 
+_KV = r"'^([A-Za-z\s#/.]+)[\s:]+(.+)$'"
+
+
 @query(
     "key_value_lines",
     with_("doc_text", "").rstrip()
-    + rf""",\n{_LINES} SELECT doc_id, line_no, {trim("regexp_extract(line, '^([A-Za-z\s#/.]+)[\s:]+(.+)$', 1)")} AS key,
- {trim("regexp_extract(line, '^([A-Za-z\s#/.]+)[\s:]+(.+)$', 2)")} AS value FROM ln WHERE length(line) >= 5 AND regexp_matches(line, '^([A-Za-z\s#/.]+)[\s:]+(.+)$')""".replace("\\n", "\n"),
+    + f""",
+{_LINES} SELECT doc_id, line_no, {trim(f'regexp_extract(line, {_KV}, 1)')} AS key, {trim(f'regexp_extract(line, {_KV}, 2)')} AS value
+ FROM ln WHERE length(line) >= 5 AND regexp_matches(line, {_KV})""",
 )
 def key_value_lines(spark, sf):
     return X.key_values(fx_text(spark, sf), "text").withColumn("line_no", F.col("line_no").cast("long"))

@@ -33,6 +33,8 @@ def tune(spark: SparkSession) -> SparkSession:
     compiled; above it the fused method would be interpreted, several times slower.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # Dates and clock windows do not depend on where the driver runs.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 

@@ -20,6 +20,8 @@ DANGEROUS_EXTENSIONS = (
     ".exe", ".bat", ".sh", ".py", ".js", ".php", ".rb",
     ".dll", ".so", ".bin", ".cmd", ".ps1", ".vbs",
 )
+# Uploads are refused for these as well.
+REFUSED_UPLOADS = (*DANGEROUS_EXTENSIONS, ".jar", ".msi", ".dmg", ".app", ".scr", ".pif", ".com")
 TEXT_EXTENSIONS = (".csv", ".xml", ".txt")
 SIGNATURES = {
     ".pdf": ("25504446",),
@@ -34,7 +36,7 @@ SIGNATURES = {
     ".bmp": ("424D",),
     ".webp": ("52494646",),
 }
-MAX_FILE_BYTES = 50 * 1024 * 1024
+MAX_FILE_BYTES = 200 * 1024 * 1024
 MAX_ARCHIVE_FILES = 200
 MAX_ARCHIVE_BYTES = 500 * 1024 * 1024
 MAX_RATIO = 100
@@ -271,7 +273,7 @@ def signature_verdict(ext: Column, length: Column, head: Column, text_head: Colu
     entity = text_head.rlike(r"(?i)<!DOCTYPE\s") & text_head.rlike(r"(?i)<!ENTITY\s")
     xml = F.regexp_replace(text_head, r"\A\x{feff}", "").rlike(r"\A\s*<[?!A-Za-z_]")
     return (
-        F.when(ext.isin(*DANGEROUS_EXTENSIONS), "dangerous_extension")
+        F.when(ext.isin(*REFUSED_UPLOADS), "dangerous_extension")
         .when(~ext.isin(*TABLE_EXTENSIONS, *SIGNATURES, *TEXT_EXTENSIONS), "unsupported_extension")
         .when(length == 0, "empty_file")
         .when(length > F.when(ext == ".zip", MAX_ARCHIVE_BYTES).otherwise(MAX_FILE_BYTES), "file_too_large")
@@ -287,22 +289,27 @@ def signature_verdict(ext: Column, length: Column, head: Column, text_head: Colu
 def triage_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Verdict per file from name, size and leading bytes.
 
-    Only files within the size limit are opened; the filter on ``length`` is
-    pushed into the file scan.
+    Only files with an accepted extension and an accepted size are opened: the
+    name pattern and the limit on ``length`` are part of the file scan.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    limit = MAX_ARCHIVE_BYTES
+    accepted = sorted({*TABLE_EXTENSIONS, *SIGNATURES, *TEXT_EXTENSIONS})
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    glob = "*.{" + ",".join(c for e in accepted for c in (e[1:], e[1:].upper())) + "}"
     ext = extension(F.col("path"))
-    small = files.filter(F.col("length") <= limit).select(
+    inside = F.col("length") <= MAX_ARCHIVE_BYTES
+    opened = scan.option("pathGlobFilter", glob).load(path).filter(inside).select(
         "path",
         "length",
-        F.upper(F.hex(F.substring("content", 1, 12))).alias("head"),
+        F.hex(F.substring("content", 1, 12)).alias("head"),
         F.coalesce(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"), F.lit("")).alias("text_head"),
     )
-    large = files.filter(F.col("length") > limit).select(
-        "path", "length", F.lit("").alias("head"), F.lit("").alias("text_head")
+    closed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        .select("path", "length")
+        .filter(~ext.isin(*accepted) | ~inside)
+        .select("path", "length", F.lit("").alias("head"), F.lit("").alias("text_head"))
     )
-    return small.unionByName(large).select(
+    return opened.unionByName(closed).select(
         "path",
         "length",
         ext.alias("ext"),
