@@ -25,9 +25,13 @@ def exact_duplicate_groups(df: DataFrame, row_id: str = "_row_id", columns: list
     columns = columns or business_columns(df)
     return (
         df.groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(row_id).alias("first_row_id"))
-        .filter("copies > 1")
-        .select(row_fingerprint(columns).alias("row_hash"), "copies", "first_row_id")
+        .agg(F.count(F.lit(1)).alias("_copies"), F.min(row_id).alias("_first"))
+        .filter("_copies > 1")
+        .select(
+            row_fingerprint(columns).alias("row_hash"),
+            F.col("_copies").alias("copies"),
+            F.col("_first").alias("first_row_id"),
+        )
     )
 
 
@@ -47,11 +51,11 @@ def exact_duplicate_count(df: DataFrame, columns: list[str] | None = None) -> Da
     columns = columns or business_columns(df)
     return (
         df.groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("_copies"))
         .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-            F.count_if(F.col("n") > 1).alias("groups"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("excess_rows"),
+            F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_rows"),
+            F.count_if(F.col("_copies") > 1).alias("groups"),
+            F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("excess_rows"),
         )
     )
 

@@ -108,7 +108,10 @@ class StepRun:
     def report(self) -> DataFrame:
         """One row per step: rows in, rows out, rows affected, status.
 
-        Call it after an action on ``df``: the counts were taken along the way.
+        Call it after the first action on ``df``, which should be a plain write:
+        the counts were taken along the way, and a sort or a repeated stage would
+        run the rows past the counters twice.  ``count_steps`` gives the counts
+        by aggregation instead, at the price of one run per step.
         """
         got = [o.get for o in self.seen]
         rows = []
@@ -180,6 +183,16 @@ def run_steps(
     return run
 
 
+def count_steps(df: DataFrame, steps: list[Step], row_id: str = ROW_ID) -> DataFrame:
+    """Rows left after each step (step -1 is the input), by plain aggregation."""
+    n = F.count(F.lit(1)).alias("rows")
+    out = df.agg(n).withColumn("step_index", F.lit(-1))
+    for i in range(len(steps)):
+        after = run_steps(df, steps[: i + 1], row_id).df
+        out = out.unionByName(after.agg(n).withColumn("step_index", F.lit(i)))
+    return out.select("step_index", "rows")
+
+
 def dry_run(df: DataFrame, step: Step, row_id: str = ROW_ID) -> DataFrame:
     """One row: what the step would do, judged on the first 1000 rows.
 

@@ -93,9 +93,24 @@ def read_csv(
     return df.limit(max_rows) if max_rows else df
 
 
+def is_malformed(df: DataFrame) -> Column:
+    """Test for rows that did not fit the header.
+
+    Spark refuses to read the corrupt-record column alone, so the test also
+    touches a data column.
+    """
+    first = next(c for c in df.columns if c != "_corrupt_record")
+    return F.col("_corrupt_record").isNotNull() & (F.length(F.concat_ws("", F.col(f"`{first}`"))) >= 0)
+
+
 def malformed_rows(df: DataFrame) -> DataFrame:
     """One row: number of rows that did not fit the header."""
-    return df.agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("malformed_rows"))
+    return df.agg(F.count_if(is_malformed(df)).alias("malformed_rows"))
+
+
+def tag_files(df: DataFrame) -> DataFrame:
+    """Rows of ``read_csv`` with ``_file`` (their file) and ``_bad`` (did not fit)."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), is_malformed(df).alias("_bad"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -228,13 +243,17 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def batch_status(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Status per file of a batch: success with its row count, failed or skipped.
 
-    ``rows`` are the rows read, with ``_file`` (the path) and ``_corrupt_record``.
+    ``rows`` are the rows read, tagged by ``tag_files``.
     """
     counted = rows.groupBy(F.col("_file").alias("path")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad")
+        F.count(F.lit(1)).alias("rows"), F.count_if("_bad").alias("bad")
     )
     good = F.coalesce(F.col("rows") - F.col("bad"), F.lit(0))
-    return files.join(counted, "path", "left").select(
+    # The two scans spell a local path differently (file:/x and file:///x).
+    same = lambda c: F.regexp_replace(c, r"\A([a-z0-9]+):/+", "$1:/")
+    return files.withColumn("path", same(F.col("path"))).join(
+        counted.withColumn("path", same(F.col("path"))), "path", "left"
+    ).select(
         "path",
         F.when(~F.col("ext").isin(".csv", ".xml"), "skipped")
         .when((F.col("length") == 0) | (good == 0), "failed")
