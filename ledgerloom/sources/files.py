@@ -85,6 +85,8 @@ def read_csv(
     df = (
         spark.read.options(**options)
         .option("mode", "PERMISSIVE")
+        # With pruning the parser would not notice missing or surplus cells.
+        .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("enforceSchema", True)
         .schema(schema)
@@ -234,10 +236,25 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)\z", 1))
 
 
+def plain_path(c: Column) -> Column:
+    """A path in one spelling: listings and scans write file:///x and file:/x."""
+    return F.regexp_replace(c, r"\A([a-z0-9]+):/+", "$1:/")
+
+
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Path, size and extension of files, without reading them."""
+    """Path, size and extension of files, without reading them.
+
+    A scan leaves out empty files, so the names come from the listing that Spark
+    holds for the scan anyway.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", extension(F.col("path")).alias("ext"))
+    names = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")
+    sized = files.select(plain_path(F.col("path")).alias("path"), "length")
+    return (
+        names.select(plain_path(F.col("path")).alias("path"))
+        .join(sized, "path", "left")
+        .select("path", F.coalesce("length", F.lit(0)).alias("length"), extension(F.col("path")).alias("ext"))
+    )
 
 
 def batch_status(files: DataFrame, rows: DataFrame) -> DataFrame:
@@ -249,11 +266,7 @@ def batch_status(files: DataFrame, rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.count_if("_bad").alias("bad")
     )
     good = F.coalesce(F.col("rows") - F.col("bad"), F.lit(0))
-    # The two scans spell a local path differently (file:/x and file:///x).
-    same = lambda c: F.regexp_replace(c, r"\A([a-z0-9]+):/+", "$1:/")
-    return files.withColumn("path", same(F.col("path"))).join(
-        counted.withColumn("path", same(F.col("path"))), "path", "left"
-    ).select(
+    return files.join(counted.withColumn("path", plain_path(F.col("path"))), "path", "left").select(
         "path",
         F.when(~F.col("ext").isin(".csv", ".xml"), "skipped")
         .when((F.col("length") == 0) | (good == 0), "failed")
@@ -317,15 +330,14 @@ def triage_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ext = extension(F.col("path"))
     inside = F.col("length") <= MAX_ARCHIVE_BYTES
     opened = scan.option("pathGlobFilter", glob).load(path).filter(inside).select(
-        "path",
+        plain_path(F.col("path")).alias("path"),
         "length",
         F.hex(F.substring("content", 1, 12)).alias("head"),
         F.coalesce(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"), F.lit("")).alias("text_head"),
     )
     closed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .select("path", "length")
-        .filter(~ext.isin(*accepted) | ~inside)
+        list_files(spark, path)
+        .filter(~ext.isin(*accepted) | ~inside | (F.col("length") == 0))
         .select("path", "length", F.lit("").alias("head"), F.lit("").alias("text_head"))
     )
     return opened.unionByName(closed).select(
