@@ -18,6 +18,7 @@ from ledgerloom.functions.text import (
     vendor_key_a, vendor_key_c,
 )
 from ledgerloom.operators.blocks import nearest_by_key
+from ledgerloom.session import cut_lineage
 from ledgerloom.sources.roles import text, typed
 
 FUZZY_PERCENT = 85
@@ -294,7 +295,9 @@ def fuzzy_vendor_names(
     pick = F.min_by("target", F.col("target.row_id")).alias("target")
     inside = orders.filter("block != ''").groupBy("block", "name").agg(pick)
     anywhere = orders.withColumn("block", F.lit("")).groupBy("block", "name").agg(pick)
-    known = inside.unionByName(anywhere)
+    # Distinct names are few next to the rows; they are written once because every
+    # tier reads them again.
+    known = cut_lineage(inside.unionByName(anywhere))
 
     asked = (
         names.select("vendor_name")
@@ -303,12 +306,13 @@ def fuzzy_vendor_names(
         .withColumn("name", token_sorted(trim_all("vendor_name")))
         .filter("_block != '' and name != ''")
     )
-    blocks = inside.select(F.col("block").alias("_block"), F.lit(True).alias("_taken")).distinct()
+    blocks = known.filter("block != ''").select(F.col("block").alias("_block"), F.lit(True).alias("_taken")).distinct()
     asked = (
         asked.join(blocks, "_block", "left")
         .withColumn("block", F.when(F.col("_taken"), F.col("_block")).otherwise(F.lit("")))
         .select("vendor_name", "block", "name")
     )
+    asked = cut_lineage(asked)
     wanted = asked.select("block", "name").distinct()
     equal = wanted.join(known, ["block", "name"]).select("block", "name", "target", F.lit(100.0).alias("score"))
     found = equal
@@ -323,7 +327,7 @@ def fuzzy_vendor_names(
             .agg(F.min(rank).alias("best"))
             .select("block", "name", "best.target", "best.score")
         )
-        found = found.unionByName(first)
+        found = cut_lineage(found.unionByName(first))
     return asked.join(found, ["block", "name"]).select("vendor_name", F.col("target").alias("po"), "score")
 
 
@@ -338,10 +342,16 @@ def match_invoices(
     numbered = match_by_number(invoices, pos, row_id)
     numbered = numbered.withColumn("match_type", F.when(F.col("po").isNotNull(), F.lit("po_number")))
     if fuzzy:
+        # The names still open need the order keys only, not the match itself.
+        keys = pos.select(match_key(text(pos, "po_number")).alias("_join_key")).filter("_join_key is not null")
         open_names = (
-            numbered.filter(F.col("po").isNull())
-            .select(trim_all(text(invoices, "vendor_name")).alias("vendor_name"))
+            invoices.select(
+                trim_all(text(invoices, "vendor_name")).alias("vendor_name"),
+                spread_null(match_key(text(invoices, "po_number")), row_id).alias("_join_key"),
+            )
             .filter(null_if_blank("vendor_name").isNotNull())
+            .join(keys, "_join_key", "left_anti")
+            .select("vendor_name")
         )
         by_name = fuzzy_vendor_names(open_names, pos, row_id).select(
             F.col("vendor_name").alias("_name_key"), F.col("po").alias("_fuzzy")
@@ -410,10 +420,14 @@ def match_vendor_amount(
     looks = F.when(
         F.col("_currency").isNotNull(), F.array(F.concat(F.lit("="), F.col("_currency")), F.lit("none"))
     ).otherwise(F.array(F.lit("any")))
-    open_rows = numbered.filter(
-        F.col("_first").isNull() & F.col("_vendor_key").isNotNull() & (F.col("_amount") != 0)
+    # Which amounts to look for needs the order keys only, not the joined orders.
+    asked = (
+        keyed.filter(F.col("_vendor_key").isNotNull() & (F.col("_amount") != 0))
+        .select("_po_join", "_vendor_key", "_currency", F.col("_amount").alias("_value"))
+        .join(firsts.select(F.col("_po_key").alias("_po_join")), "_po_join", "left_anti")
+        .select("_vendor_key", "_currency", "_value")
+        .distinct()
     )
-    asked = open_rows.select("_vendor_key", "_currency", F.col("_amount").alias("_value")).distinct()
     probes = asked.select("_vendor_key", F.explode(looks).alias("_slot"), "_value").distinct()
     near = nearest_by_key(probes, targets, ["_vendor_key", "_slot"], "_value")
 

@@ -107,7 +107,7 @@ def _decided(query_text: str) -> str:
 
 
 def _payable(spark, sf, strict=False):
-    run = dup_run(spark, sf)
+    run = dup_run(spark, sf, keep=True)
     found = number_findings(run.findings)
     return X.apply_decisions(run, found, answers(found), fx_invoice_dup(spark, sf), strict_reference=strict)
 

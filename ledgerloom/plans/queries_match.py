@@ -28,10 +28,10 @@ def simple_match(spark, sf) -> DataFrame:
     return R.match_status(M.match_invoices(fx_invoice(spark, sf), fx_po(spark, sf), fuzzy=False))
 
 
-def dup_run(spark, sf):
+def dup_run(spark, sf, keep=False):
     """The whole run over invoices with repeats, without fuzzy names."""
     return reconcile(
-        fx_invoice_dup(spark, sf), fx_po(spark, sf), fx_receipt(spark, sf), fx_contract(spark, sf), fuzzy=False
+        fx_invoice_dup(spark, sf), fx_po(spark, sf), fx_receipt(spark, sf), fx_contract(spark, sf), fuzzy=False, keep=keep
     )
 
 
@@ -280,7 +280,7 @@ def finding_questions(spark, sf):
     ),
 )
 def reconcile_summary(spark, sf):
-    return run_summary(dup_run(spark, sf))
+    return run_summary(dup_run(spark, sf, keep=True))
 
 
 @query(

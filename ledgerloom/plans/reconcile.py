@@ -13,6 +13,7 @@ from ledgerloom.operators.findings import (
     duplicate_findings, invoice_findings, match_status, with_contract, with_received,
 )
 from ledgerloom.operators.matching import match_invoices
+from ledgerloom.session import cut_lineage
 
 
 @dataclass
@@ -40,16 +41,21 @@ def reconcile(
     contracts: DataFrame | None = None,
     row_id: str = "_row_id",
     fuzzy: bool = True,
+    keep: bool = False,
 ) -> Reconciliation:
     """Match invoices to orders and raise findings.
 
     Receipts and contracts are optional; without them their checks do not run.
+    With ``keep`` the match table is written once to the checkpoint folder; do so
+    when both the matches and the findings are going to be used.
     """
     if receipts is not None:
         pos = with_received(pos, receipts, row_id)
     matched = match_invoices(invoices, pos, row_id, fuzzy)
     if contracts is not None:
         matched = with_contract(matched, contracts, row_id)
+    if keep:
+        matched = cut_lineage(matched)
     matches = match_status(matched)
     rows = invoice_findings(matched, row_id, receipts is not None, contracts is not None)
     return Reconciliation(
