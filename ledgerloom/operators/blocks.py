@@ -58,6 +58,8 @@ def nearest_by_key(
         targets.select(*keys, value, "target", F.lit(False).alias("_probe"))
         .unionByName(probes.select(*keys, value, empty.alias("target"), F.lit(True).alias("_probe")))
         .withColumn("_block", block)
+        # One shuffle for both uses below; they read the same columns, so Spark reuses it.
+        .repartition(*keys, "_block")
     )
     inside = Window.partitionBy(*keys, "_block")
     up = inside.orderBy(F.col(value).asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -66,8 +68,8 @@ def nearest_by_key(
         "_above", F.last("target", ignorenulls=True).over(down)
     )
     ends = both.groupBy(*keys, "_block").agg(
-        F.max_by("target", F.when(F.col("target").isNotNull(), F.col(value))).alias("_high"),
-        F.min_by("target", F.when(F.col("target").isNotNull(), F.col(value))).alias("_low"),
+        F.max_by("target", F.when(~F.col("_probe"), F.col(value))).alias("_high"),
+        F.min_by("target", F.when(~F.col("_probe"), F.col(value))).alias("_low"),
     )
     across = Window.partitionBy(*keys)
     lower = across.orderBy(F.col("_block").asc()).rowsBetween(Window.unboundedPreceding, -1)
