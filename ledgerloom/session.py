@@ -79,7 +79,41 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     A Parquet table rather than an RDD checkpoint: smaller, and later steps read
     only the columns they need.  Any executor can read it after another is lost.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).cut(df)
+
+
+class Scratch:
+    """A folder of written tables under the checkpoint folder, and the owner that removes them.
+
+    ``cut`` writes a table and returns the frame that reads it; ``drop`` removes
+    tables no later step reads; ``close`` removes the whole folder, once the
+    result that reads from it has been written.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{checkpoint_dir(spark).rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+        self._count = 0
+
+    def path(self, name: str = "table") -> str:
+        self._count += 1
+        return f"{self.folder}/{self._count}-{name}"
+
+    def cut(self, df: DataFrame, name: str = "table") -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        table._scratch_path = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            self._delete(table._scratch_path)
+
+    def close(self) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
