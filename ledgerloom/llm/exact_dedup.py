@@ -40,8 +40,11 @@ def frequent_digests(digests: DataFrame, column: str = "_digest") -> DataFrame:
     parts = digests.select(F.hex(column).alias("_item")).groupBy(
         F.pmod(F.spark_partition_id(), F.lit(_MERGE_FAN)).alias("_fan")
     )
-    merged = parts.agg(sketch("approx_top_k_accumulate", "_item", TRACKED).alias("_s")).agg(
-        sketch("approx_top_k_combine", "_s", TRACKED).alias("_s")
+    # Grouped by a constant: a task without rows then adds no empty sketch, which cannot be combined.
+    merged = (
+        parts.agg(sketch("approx_top_k_accumulate", "_item", TRACKED).alias("_s"))
+        .groupBy(F.lit(0))
+        .agg(sketch("approx_top_k_combine", "_s", TRACKED).alias("_s"))
     )
     return merged.select(F.inline(sketch("approx_top_k_estimate", "_s", MAX_FREQUENT))).select(
         F.unhex("item").alias(column)

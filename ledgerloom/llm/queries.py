@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.embedding_dedup import vector_groups
 from ledgerloom.llm.exact_dedup import exact_groups
 from ledgerloom.llm.mixing import mix_order
 from ledgerloom.llm.near_dedup import near_groups
@@ -68,3 +69,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_quality(docs, _table(spark, sf_dir, "labels").filter(~held_out()))
     return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@_query("op9_embedding_near_dedup")
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(_table(spark, sf_dir, "embeddings"))
