@@ -130,13 +130,14 @@ def _parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _compare(rows: pa.Table, tables: int) -> pa.RecordBatch | None:
     """Verified partners and parts of all groups of ``rows``, which are complete and in group order."""
+    rows = rows.combine_chunks().to_batches()[0]
     dim = rows.column("dim")[0].as_py()
     group = np.asarray(rows.column("group"))
     n = len(group)
     bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     sizes = np.diff(bounds)
     units = _units(rows, dim)
-    own = np.asarray(rows.column("own").to_numpy())
+    own = rows.column("own").to_numpy(zero_copy_only=False)
     tile = np.asarray(rows.column("tile"))
     crossing = np.asarray(rows.column("t0")) != np.asarray(rows.column("t1"))
     left, right = [], []
@@ -165,7 +166,7 @@ def _compare(rows: pa.Table, tables: int) -> pa.RecordBatch | None:
     sure = np.einsum("ij,ij->i", units[i], units[j]) >= LEAST_COSINE
     i, j = i[sure], j[sure]
     ids, weight = np.asarray(rows.column("id")), np.asarray(rows.column("copies"))
-    codes = np.asarray(rows.column("codes").combine_chunks().flatten()).reshape(n, tables, -1)
+    codes = np.asarray(rows.column("codes").flatten()).reshape(n, tables, -1)
     table, bucket = np.asarray(rows.column("table")), np.asarray(rows.column("code"))
     links = np.zeros(n, np.int64)
     for begin in range(0, len(i), 100_000):
