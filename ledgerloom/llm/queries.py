@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.embedding_dedup import vector_groups
 from ledgerloom.llm.exact_dedup import exact_groups
+from ledgerloom.llm.language import identify, learn_profiles
 from ledgerloom.llm.mixing import mix_order
 from ledgerloom.llm.near_dedup import near_groups
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality import fit_quality, held_out, score_quality
+from ledgerloom.llm.token_files import read_token_files, write_token_files
+from ledgerloom.session import Scratch
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -74,3 +77,17 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_embedding_near_dedup")
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op4_token_files")
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    shards = write_token_files(_table(spark, sf_dir, "documents"), scratch.path("ids"), scratch=scratch)
+    return read_token_files(spark, shards)
+
+
+@_query("op8_language_profiles")
+def op8_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = learn_profiles(docs.filter(~held_out()))
+    return identify(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
