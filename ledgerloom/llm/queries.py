@@ -13,6 +13,7 @@ from ledgerloom.llm.mixing import mix_order
 from ledgerloom.llm.near_dedup import near_groups
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality import fit_quality, held_out, score_quality
+from ledgerloom.llm.suffix_dedup import remove_repeats
 from ledgerloom.llm.token_files import read_token_files, write_token_files
 from ledgerloom.session import Scratch
 
@@ -91,3 +92,8 @@ def op8_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     profiles = learn_profiles(docs.filter(~held_out()))
     return identify(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
