@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.embedding_dedup import vector_groups
 from ledgerloom.llm.exact_dedup import exact_groups
 from ledgerloom.llm.language import identify, learn_profiles
+from ledgerloom.llm.language_model import score_texts
 from ledgerloom.llm.mixing import mix_order
 from ledgerloom.llm.near_dedup import near_groups
 from ledgerloom.llm.packing import pack_documents
@@ -97,3 +98,8 @@ def op8_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_suffix_dedup")
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_lm_scores")
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"), ~held_out(parts=7, part=2))
