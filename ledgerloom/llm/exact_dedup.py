@@ -43,7 +43,7 @@ def frequent_digests(digests: DataFrame, column: str = "_digest") -> DataFrame:
     # Grouped by a constant: a task without rows then adds no empty sketch, which cannot be combined.
     merged = (
         parts.agg(sketch("approx_top_k_accumulate", "_item", TRACKED).alias("_s"))
-        .groupBy(F.lit(0))
+        .groupBy(F.lit("all"))
         .agg(sketch("approx_top_k_combine", "_s", TRACKED).alias("_s"))
     )
     return merged.select(F.inline(sketch("approx_top_k_estimate", "_s", MAX_FREQUENT))).select(

@@ -57,9 +57,8 @@ def ranked_ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
         for k in range(n):
             code = (code << tk.U64(21)) | shift(points, k)[:size]
         good = rows[:size] == shift(rows, n - 1)[:size]
-        if n == 3:  # a space inside would join two words
-            good &= letter[1 : size + 1]
-        good &= letter[:size] | shift(letter, n - 1)[:size]
+        # A space inside would join two words; spaces alone say nothing.
+        good &= letter[1 : size + 1] if n == 3 else letter[:size] | shift(letter, n - 1)[:size]
         hashes = tk.mix(code[good] + tk.U64(n)) >> tk.U64(24)
         found.append((rows[:size][good].astype(np.uint64) << tk.U64(40)) | hashes)
     if not found:
