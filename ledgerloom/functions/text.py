@@ -126,51 +126,35 @@ def token_sorted(c: Column | str) -> Column:
     return F.array_join(F.array_sort(words), " ")
 
 
-def _capital(c: Column) -> Column:
-    # First letter upper and the rest of its letter run lower; what follows the run stays.
-    run = F.regexp_extract(c, r"\A\p{L}+", 0)
-    n = F.length(run)
-    return F.concat(
-        F.upper(F.substring(run, 1, 1)),
-        F.lower(F.substr(run, F.lit(2))),
-        F.substr(c, n + 1),
-    )
-
-
-def _title_word(w: Column) -> Column:
-    mc = F.regexp_extract(w, r"\A(?:Mc|mc|MC)(.+)", 1)
-    mac = F.regexp_extract(w, r"\A(?:Mac|mac|MAC)([A-Za-z\x{00c0}-\x{024f}].{2,})", 1)
-    return (
-        F.when(mc != "", F.concat(F.lit("Mc"), _capital(mc)))
-        .when(mac != "", F.concat(F.lit("Mac"), _capital(mac)))
-        .when(
-            F.contains(w, F.lit("'")),
-            F.array_join(F.transform(F.split(w, "'", -1), _capital), "'"),
-        )
-        .otherwise(_capital(w))
-    )
-
-
-def _title_token(t: Column) -> Column:
-    return (
-        F.when(F.upper(t).isin(*ACRONYMS), F.upper(t))
-        .when(
-            F.contains(t, F.lit("-")),
-            F.array_join(F.transform(F.split(t, "-", -1), _title_word), "-"),
-        )
-        .otherwise(_title_word(t))
-    )
+# Name prefixes after which a capital follows, as the place where a word is cut.
+NAME_PREFIX_CUTS = (
+    r"(?<=\A(?:Mc|mc|MC))(?=.)",
+    r"(?<=\A(?:Mac|mac|MAC))(?=[A-Za-z\x{00c0}-\x{024f}].{2})",
+)
 
 
 def title_case(c: Column | str) -> Column:
     """Title case that keeps acronyms and knows hyphens, Mc/Mac and apostrophes.
 
-    The text is cut into alternating white-space and word pieces, so the white
-    space between words stays as it was.
+    A text is cut wherever a capital may begin: at white space and hyphens, then
+    after a name prefix or, in words without one, after each apostrophe.  Every
+    piece gets its leading run of letters capitalised; nothing else changes, and
+    the pieces are put together again as they stood.
     """
-    c = col_of(c)
-    pieces = F.regexp_extract_all(c, F.lit(rf"({SPACE}+|{NOT_SPACE}+)"), 1)
-    return F.array_join(F.transform(pieces, _title_token), "")
+
+    def lead(piece: Column) -> Column:
+        letters = F.regexp_extract(piece, r"\A\p{L}+", 0)
+        lowered = F.concat(F.upper(F.substring(letters, 1, 1)), F.lower(F.substr(letters, F.lit(2))))
+        return F.concat(lowered, F.substr(piece, F.length(letters) + 1))
+
+    prefix = "|".join(NAME_PREFIX_CUTS)
+    cut = lambda word: F.when(word.rlike(prefix), F.split(word, prefix)).otherwise(F.split(word, "(?<=')"))
+    glue = lambda pieces, fn: F.array_join(F.transform(pieces, fn), "")
+    word = lambda w: glue(cut(w), lead)
+    token = lambda t: F.when(F.upper(t).isin(*ACRONYMS), F.upper(t)).otherwise(
+        glue(F.regexp_extract_all(t, F.lit("([^-]+|-+)"), 1), word)
+    )
+    return glue(F.regexp_extract_all(col_of(c), F.lit(rf"({SPACE}+|{NOT_SPACE}+)"), 1), token)
 
 
 def clean_header(name: str) -> str:
@@ -275,9 +259,9 @@ def text_quality(c: Column | str) -> Column:
     Counted in thousandths so that the rounding is exact (half up).
     """
     c = col_of(c)
-    words = F.filter(F.split(c, rf"{SPACE}+"), lambda w: w != "")
-    total = F.size(words)
-    good = F.size(F.filter(words, lambda w: w.rlike(r"\A[\p{L}\p{N}_.,\-/:]{2,}\z")))
+    # Both counts run over the text itself; no list of words is made.
+    total = F.regexp_count(c, F.lit(rf"{NOT_SPACE}++"))
+    good = F.regexp_count(c, F.lit(rf"(?<!{NOT_SPACE})[\p{{L}}\p{{N}}_.,\-/:]{{2,}}+(?!{NOT_SPACE})"))
     share = F.floor((good * 1200 + total) / (total * 2))
     digits = F.when(c.rlike(r"\p{Nd}{3}"), 200).otherwise(0)
     money = F.when(

@@ -24,7 +24,6 @@ from ledgerloom.sources.roles import text, typed
 FUZZY_PERCENT = 85
 AMOUNT_PERCENT = 2
 STALE_DAYS = 730
-SHORT_ORDER = 64
 
 
 # --- shared pieces ----------------------------------------------------------
@@ -85,96 +84,51 @@ def closer(below: Column, above: Column, value: Column) -> Column:
 # --- by order number --------------------------------------------------------
 
 
-def _nearest_line(lines: Column, value: Column) -> Column:
-    """Of a short list of order structs the one nearest in amount, the earlier row on ties."""
-    ranked = F.transform(
-        F.filter(lines, lambda t: t["amount"].isNotNull()),
-        lambda t: F.struct(F.abs(t["amount"] - value).alias("gap"), t["row_id"].alias("rid"), t.alias("line")),
-    )
-    first = F.array_min(F.transform(lines, lambda t: F.struct(t["row_id"].alias("rid"), t.alias("line"))))
-    best = F.when(value.isNotNull() & (F.size(ranked) > 0), F.array_min(ranked)["line"])
-    return F.coalesce(best, first["line"])
-
-
-def _lines_by_amount(orders: DataFrame, asked: DataFrame) -> DataFrame:
-    """Best order line per distinct (order key, invoice amount) for orders of any size."""
-    by_amount = (
-        orders.filter(F.col("target.amount").isNotNull())
-        .groupBy("_po_key", F.col("target.amount").alias("_value"))
-        .agg(F.min_by("target", F.col("target.row_id")).alias("target"))
-    )
-    firsts = orders.groupBy("_po_key").agg(F.min_by("target", F.col("target.row_id")).alias("first"))
-    near = nearest_by_key(asked.filter(F.col("_value").isNotNull()), by_amount, ["_po_key"], "_value")
-    value_key = F.coalesce(F.col("_value").cast("string"), F.lit(""))
-    best = near.select(
-        "_po_key", value_key.alias("_value_key"), closer(F.col("below"), F.col("above"), F.col("_value")).alias("_best")
-    )
-    return (
-        asked.join(firsts, "_po_key")
-        .withColumn("_value_key", value_key)
-        .join(best, ["_po_key", "_value_key"], "left")
-        .select(F.col("_po_key").alias("_join_key"), "_value_key", F.coalesce("_best", "first").alias("_found"))
-    )
-
-
-def match_by_number(
-    invoices: DataFrame, pos: DataFrame, row_id: str = "_row_id", short_order: int = SHORT_ORDER
-) -> DataFrame:
+def match_by_number(invoices: DataFrame, pos: DataFrame, row_id: str = "_row_id") -> DataFrame:
     """Left match on the order number, with the order line closest in amount.
 
     Adds ``_amount``, ``_currency``, ``_po_key`` and ``po`` (NULL without a match).
     Among the lines of an order: the smallest amount gap wins, then the earlier
     row; the first row when the invoice has no amount or no line has one.
 
-    Orders of at most ``short_order`` lines travel as a list of bounded length and
-    cost one join.  Longer ones, up to an order number that holds a third of all
-    rows, are resolved per distinct amount with ``nearest_by_key``; the invoices
-    of such an order meet only the result for their own amount.
+    One plan for orders of any size: the best line is found per distinct (order
+    number, invoice amount) with ``nearest_by_key``, and each invoice meets only the
+    result for its own amount.  No list of lines travels with a row, and an order
+    number may hold any share of the rows.
     """
     orders = pos.select(match_key(text(pos, "po_number")).alias("_po_key"), order_struct(pos, row_id).alias("target")).filter(
         F.col("_po_key").isNotNull()
     )
-    # The rank limit is applied before the shuffle too, so a long order sends few lines per task.
-    rank = F.row_number().over(Window.partitionBy("_po_key").orderBy("target.row_id"))
-    heads = (
-        orders.withColumn("_n", rank)
-        .filter(F.col("_n") <= short_order + 1)
-        .groupBy("_po_key")
-        .agg(F.collect_list("target").alias("_lines"), F.count(F.lit(1)).alias("_size"))
-    )
     keyed = invoices.withColumns(
         {
             "_amount": typed(invoices, "amount"),
             "_currency": currency_code(text(invoices, "currency")),
             "_po_key": match_key(text(invoices, "po_number")),
         }
-    ).withColumn("_join_key", spread_null(F.col("_po_key"), row_id))
-    joined = keyed.join(heads.withColumnRenamed("_po_key", "_join_key"), "_join_key", "left")
-    nearest = F.when(F.col("_lines").isNotNull(), _nearest_line(F.col("_lines"), F.col("_amount")))
-    columns = [c for c in keyed.columns if c != "_join_key"] + ["po"]
-
-    # One look at the sizes (a count per order number, no other column read) decides
-    # whether the second way is planned at all.
-    sizes = orders.groupBy("_po_key").agg(F.count(F.lit(1)).alias("_size"))
-    long_keys = sizes.filter(F.col("_size") > short_order).select("_po_key")
-    if long_keys.isEmpty():
-        return joined.withColumn("po", nearest).select(*columns)
-
-    is_long = F.coalesce(F.col("_size") > short_order, F.lit(False))
-    short = joined.filter(~is_long).withColumn("po", nearest)
+    )
+    by_amount = (
+        orders.filter(F.col("target.amount").isNotNull())
+        .groupBy("_po_key", F.col("target.amount").alias("_value"))
+        .agg(F.min_by("target", F.col("target.row_id")).alias("target"))
+    )
     asked = (
-        keyed.filter(F.col("_po_key").isNotNull())
+        keyed.filter(F.col("_po_key").isNotNull() & F.col("_amount").isNotNull())
         .select("_po_key", F.col("_amount").alias("_value"))
-        .join(long_keys, "_po_key", "left_semi")
         .distinct()
     )
-    resolved = _lines_by_amount(orders.join(long_keys, "_po_key", "left_semi"), asked)
-    long = (
-        keyed.withColumn("_value_key", F.coalesce(F.col("_amount").cast("string"), F.lit("")))
-        .join(resolved, ["_join_key", "_value_key"])
-        .withColumn("po", F.col("_found"))
+    near = nearest_by_key(asked, by_amount, ["_po_key"], "_value")
+    best = near.select("_po_key", "_value", closer(F.col("below"), F.col("above"), F.col("_value")).alias("_best"))
+    # The first row of an order serves invoices without an amount and orders without one.
+    firsts = orders.groupBy("_po_key").agg(F.min_by("target", F.col("target.row_id")).alias("_first"))
+    answered = asked.join(best, ["_po_key", "_value"], "left").join(firsts, "_po_key").withColumn("_best", F.coalesce("_best", "_first"))
+    unasked = firsts.withColumn("_value", F.lit(None).cast("decimal(18,2)")).withColumn("_best", F.col("_first"))
+    value_key = F.coalesce(F.col("_value").cast("string"), F.lit(""))
+    found = answered.unionByName(unasked).select(F.col("_po_key").alias("_join_key"), value_key.alias("_value_key"), "_best")
+    # The narrow tables above settle everything, so the wide invoice rows are joined once.
+    looking = keyed.withColumns(
+        {"_join_key": spread_null(F.col("_po_key"), row_id), "_value_key": F.coalesce(F.col("_amount").cast("string"), F.lit(""))}
     )
-    return short.select(*columns).unionByName(long.select(*columns))
+    return looking.join(found, ["_join_key", "_value_key"], "left").select(*keyed.columns, F.col("_best").alias("po"))
 
 
 # --- by fuzzy vendor name ---------------------------------------------------
@@ -356,17 +310,16 @@ def match_invoices(
         by_name = fuzzy_vendor_names(open_names, pos, row_id).select(
             F.col("vendor_name").alias("_name_key"), F.col("po").alias("_fuzzy")
         )
-        open_name = F.when(F.col("po").isNull(), trim_all(text(invoices, "vendor_name")))
-        numbered = (
-            numbered.withColumn("_name_key", spread_null(open_name, row_id))
+        # Only rows still without an order meet the names.
+        open_rows = (
+            numbered.filter(F.col("po").isNull())
+            .withColumn("_name_key", spread_null(null_if_blank(trim_all(text(invoices, "vendor_name"))), row_id))
             .join(by_name, "_name_key", "left")
-            .withColumn(
-                "match_type",
-                F.coalesce("match_type", F.when(F.col("_fuzzy").isNotNull(), F.lit("fuzzy_vendor_name"))),
-            )
-            .withColumn("po", F.coalesce("po", "_fuzzy"))
+            .withColumn("match_type", F.when(F.col("_fuzzy").isNotNull(), F.lit("fuzzy_vendor_name")))
+            .withColumn("po", F.col("_fuzzy"))
             .drop("_name_key", "_fuzzy")
         )
+        numbered = numbered.filter(F.col("po").isNotNull()).unionByName(open_rows)
     return with_metrics(numbered)
 
 
@@ -449,19 +402,16 @@ def match_vendor_amount(
         .agg(F.min("best").alias("best"))
         .select("_vendor_key", "_cur", "_value", F.col("best.cand").alias("_by_amount"))
     )
-    # Rows that do not look get a key of their own, so they do not meet in one task.
-    looking = F.col("_first").isNull() & F.col("_vendor_key").isNotNull() & (F.col("_amount") != 0)
-    joined = (
-        numbered.withColumns(
-            {
-                "_vk": spread_null(F.when(looking, F.col("_vendor_key")), row_id),
-                "_cur": F.coalesce("_currency", F.lit("")),
-                "_value": F.col("_amount"),
-            }
-        )
-        .join(best.withColumnRenamed("_vendor_key", "_vk"), ["_vk", "_cur", "_value"], "left")
-        .drop("_vk", "_cur", "_value")
+    # Only rows that still look for an order are shuffled a second time.
+    looking = F.coalesce(F.col("_first").isNull() & F.col("_vendor_key").isNotNull() & (F.col("_amount") != 0), F.lit(False))
+    settled = numbered.filter(~looking).withColumn("_by_amount", F.lit(None).cast(orders.schema["target"].dataType))
+    by_amount = (
+        numbered.filter(looking)
+        .withColumns({"_cur": F.coalesce("_currency", F.lit("")), "_value": F.col("_amount")})
+        .join(best, ["_vendor_key", "_cur", "_value"], "left")
+        .drop("_cur", "_value")
     )
+    joined = settled.unionByName(by_amount)
     po = F.coalesce("_first", "_by_amount")
     zero = F.lit(0).cast("decimal(18,2)")
     out = joined.withColumn("po", po).withColumn(

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import date_layout, is_date_text
 from ledgerloom.functions.numbers import is_float_text, is_integer_text, percent
 from ledgerloom.functions.text import business_columns, is_blank
+from ledgerloom.operators.blocks import first_rows_per_key
 from ledgerloom.operators.duplicates import exact_duplicate_count
 
-LABEL_ROWS = 100
-LAYOUT_ROWS = 200
+# Values the original looks at, for ``strict_reference``.
+STRICT_LABEL_ROWS = 100
+STRICT_LAYOUT_ROWS = 200
 SAMPLES = 3
 
 
@@ -28,96 +28,121 @@ def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(pairs))
 
 
-def column_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """total, blank and distinct counts per column.
+def _shares(weight) -> list:
+    """Sums of ``weight`` over the values of each kind, and the date layouts met."""
+    among = lambda test: F.coalesce(F.sum(F.when(test, weight)), F.lit(0))
+    return [
+        among(is_date_text("value")).alias("dates"),
+        among(is_integer_text("value")).alias("integers"),
+        among(is_float_text("value")).alias("floats"),
+        # At most as many members as there are layout names.
+        F.array_sort(F.collect_set(date_layout("value"))).alias("layouts"),
+    ]
+
+
+def _labelled(facts: DataFrame) -> DataFrame:
+    """Type label of each column from the shares of its values: date, integer, float or string."""
+    filled = F.col("total_count") - F.col("null_count")
+    return facts.withColumn(
+        "type",
+        F.when(filled == 0, "unknown")
+        .when(F.col("dates") / filled > 0.7, "date")
+        .when(F.col("integers") / filled > 0.8, "integer")
+        .when(F.col("floats") / filled > 0.7, "float")
+        .otherwise("string"),
+    ).drop("dates", "integers", "floats")
+
+
+def column_facts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
+    """total, blank and distinct counts, type label and date layouts per column, in one pass over all cells.
 
     Exact form: cells are counted per (column, value) first, before the shuffle
-    on the map side, and the distinct values are counted from that.  ``approx``
-    replaces the value shuffle by one sketch per column.
+    on the map side; labels and layouts are then read off the distinct values,
+    weighted by their counts.  ``approx`` replaces the value shuffle by one
+    sketch per column and looks at every cell where it is read.
     """
     columns = columns or business_columns(df)
+    cells = _cells(df, columns).withColumn("value", F.when(~is_blank("value"), F.col("value")))
     if approx:
-        aggs = []
-        for c in columns:
-            text = F.col(c).cast("string")
-            aggs.append(
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.count(F.lit(1)).alias("total_count"),
-                    F.count_if(is_blank(c)).alias("null_count"),
-                    F.approx_count_distinct(F.when(~is_blank(c), text)).alias("unique_count"),
-                )
+        return _labelled(
+            cells.groupBy("column").agg(
+                F.count(F.lit(1)).alias("total_count"),
+                F.count_if(F.col("value").isNull()).alias("null_count"),
+                F.approx_count_distinct("value").alias("unique_count"),
+                *_shares(F.lit(1)),
             )
-        return df.agg(F.array(*aggs).alias("all")).select(F.inline("all"))
-    per_value = (
-        _cells(df, columns)
-        .withColumn("value", F.when(~is_blank("value"), F.col("value")))
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return per_value.groupBy("column").agg(
-        F.sum("n").alias("total_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-        F.count("value").alias("unique_count"),
+        )
+    per_value = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _labelled(
+        per_value.groupBy("column").agg(
+            F.sum("n").alias("total_count"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+            F.count("value").alias("unique_count"),
+            *_shares(F.col("n")),
+        )
     )
 
 
+def column_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
+    """total, blank and distinct counts per column."""
+    return column_facts(df, columns, approx).select("column", "total_count", "null_count", "unique_count")
+
+
 def leading_values(
     df: DataFrame, row_id: str, n: int, columns: list[str] | None = None
 ) -> DataFrame:
-    """The first ``n`` non-blank values of each column in row order.
+    """The first ``n`` non-blank values of each column in row order, from one scan.
 
-    One bounded top-n per column: every task keeps n rows, so a large table is
-    neither sorted nor sent anywhere.  Each branch reads only its own column.
+    Cells are spread by row before they are ranked (``first_rows_per_key``), and
+    ranks over ``n`` are dropped before each shuffle, so a task passes on few.
     """
     columns = columns or business_columns(df)
-    heads = [
-        df.filter(~is_blank(c))
-        .select(F.lit(c).alias("column"), F.col(row_id).alias("_at"), F.col(c).cast("string").alias("value"))
-        .orderBy("_at")
-        .limit(n)
-        for c in columns
-    ]
-    return reduce(DataFrame.unionAll, heads)
-
-
-def column_labels(leading: DataFrame) -> DataFrame:
-    """Type label of each column from its leading values: date, integer, float or string."""
-    share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
-    return leading.groupBy("column").agg(
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    cells = df.select(F.col(row_id).alias("_at"), F.explode(pairs).alias("c")).select("c.column", "_at", "c.value")
+    return first_rows_per_key(cells.filter(~is_blank("value")), ["column"], [F.col("_at")], n)
+
+
+def _strict(facts: DataFrame, df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
+    """Labels from the first 100 and layouts from the first 200 values, as the original has them."""
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("_at"))
+    heads = leading_values(df, row_id, STRICT_LAYOUT_ROWS, columns).withColumn("_rank", rank)
+    few = F.col("_rank") <= STRICT_LABEL_ROWS
+    share = lambda test: F.avg(F.when(few, F.when(test, 1.0).otherwise(0.0)))
+    seen = heads.groupBy("column").agg(
         F.when(share(is_date_text("value")) > 0.7, "date")
         .when(share(is_integer_text("value")) > 0.8, "integer")
         .when(share(is_float_text("value")) > 0.7, "float")
         .otherwise("string")
-        .alias("type")
+        .alias("type"),
+        F.array_sort(F.collect_set(date_layout("value"))).alias("layouts"),
     )
+    return facts.drop("type", "layouts").join(seen, "column", "left").withColumn("type", F.coalesce("type", F.lit("unknown")))
 
 
 def profile(
-    df: DataFrame, row_id: str = "_row_id", columns: list[str] | None = None, approx: bool = False
+    df: DataFrame, row_id: str = "_row_id", columns: list[str] | None = None, approx: bool = False,
+    strict_reference: bool = False,
 ) -> DataFrame:
-    """One row per column: label, blank count and share, distinct count, first samples."""
+    """One row per column: label, blank count and share, distinct count, first samples.
+
+    The label comes from all values; ``strict_reference`` looks at the first ones only.
+    """
     columns = columns or business_columns(df)
-    leading = leading_values(df, row_id, LABEL_ROWS, columns)
-    heads = (
-        leading.groupBy("column")
-        # At most LABEL_ROWS values per column reach this point.
-        .agg(F.sort_array(F.collect_list(F.struct("_at", "value"))).alias("v"))
-        .select("column", F.slice(F.col("v")["value"], 1, SAMPLES).alias("sample"))
+    facts = column_facts(df, columns, approx)
+    if strict_reference:
+        facts = _strict(facts, df, row_id, columns)
+    heads = leading_values(df, row_id, SAMPLES, columns).groupBy("column").agg(
+        # At most SAMPLES values per column reach this point.
+        F.array_sort(F.collect_list(F.struct("_at", "value")))["value"].alias("sample")
     )
-    counts = column_counts(df, columns, approx)
-    return (
-        counts.join(column_labels(leading), "column", "left")
-        .join(heads, "column", "left")
-        .select(
-            "column",
-            F.coalesce("type", F.lit("unknown")).alias("type"),
-            "null_count",
-            percent(F.col("null_count"), F.col("total_count")).alias("null_pct"),
-            "unique_count",
-            F.coalesce("sample", F.array().cast("array<string>")).alias("sample"),
-            "total_count",
-        )
+    return facts.join(heads, "column", "left").select(
+        "column",
+        "type",
+        "null_count",
+        percent(F.col("null_count"), F.col("total_count")).alias("null_pct"),
+        "unique_count",
+        F.coalesce("sample", F.array().cast("array<string>")).alias("sample"),
+        "total_count",
     )
 
 
@@ -148,18 +173,10 @@ def missing_issues(counts: DataFrame) -> DataFrame:
     )
 
 
-def layout_issues(df: DataFrame, counts: DataFrame, row_id: str, columns: list[str] | None = None) -> DataFrame:
-    """Columns whose leading values mix date layouts."""
-    layouts = (
-        leading_values(df, row_id, LAYOUT_ROWS, columns)
-        .withColumn("layout", date_layout("value"))
-        .groupBy("column")
-        # At most as many members as there are layout names.
-        .agg(F.array_sort(F.collect_set("layout")).alias("layouts"))
-        .filter(F.size("layouts") > 1)
-    )
+def layout_issues(facts: DataFrame) -> DataFrame:
+    """Columns whose values mix date layouts."""
     filled = F.col("total_count") - F.col("null_count")
-    return counts.join(F.broadcast(layouts), "column").select(
+    return facts.filter(F.size("layouts") > 1).select(
         F.lit("format_inconsistency").alias("issue"),
         "column",
         F.lit("Low").alias("severity"),
@@ -174,11 +191,14 @@ def issues(
     row_id: str = "_row_id",
     columns: list[str] | None = None,
     duplicates: bool = False,
+    strict_reference: bool = False,
 ) -> DataFrame:
     """Missing cells, mixed date layouts and (optional) repeated rows."""
     columns = columns or business_columns(df)
-    counts = column_counts(df, columns)
-    found = missing_issues(counts).unionByName(layout_issues(df, counts, row_id, columns))
+    facts = column_facts(df, columns)
+    if strict_reference:
+        facts = _strict(facts, df, row_id, columns)
+    found = missing_issues(facts).unionByName(layout_issues(facts))
     if duplicates:
         found = found.unionByName(duplicate_issue(df, columns))
     return found

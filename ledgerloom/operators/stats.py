@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.numbers import number_prefix
 from ledgerloom.functions.text import is_blank
 
-# A value is held as a whole number of ten-thousandths, shifted to be positive,
-# and cut into digit groups of at most this many values, highest group first.
-_SHIFT = 10**18
-_GROUPS = (10**14, 10**9, 10**4, 1)
-
 
 def numeric_cells(df: DataFrame, column: str) -> DataFrame:
     """The leading numbers of the cells that have one, as ``x``."""
@@ -23,11 +18,17 @@ def numeric_cells(df: DataFrame, column: str) -> DataFrame:
 def exact_mean(df: DataFrame, column: str) -> DataFrame:
     """One row (``fill``): mean rounded to two decimals, halves upwards.
 
-    The sum is decimal, so it does not depend on the order of the partitions.
+    Values of ordinary size are added as decimals, so their sum does not depend
+    on the order of the partitions.  A value with too many digits for that is
+    added as a double, and then so is the rest.
     """
-    total = F.sum(F.col("x").cast("decimal(28,6)")).cast("double")
-    mean = total / F.count(F.lit(1))
-    rounded = F.floor(mean * 100 + 0.5) / F.lit(100.0)
+    x = F.col("x")
+    digits = F.when(F.abs(x) < 1e20, x.try_cast("decimal(38,6)"))
+    exact = digits.isNotNull() & (digits.cast("double") == x)
+    total = F.when(F.count_if(~exact) == 0, F.try_sum(F.when(exact, digits)).cast("double"))
+    mean = F.coalesce(total, F.sum(x)) / F.count(F.lit(1))
+    # From 2**53 on a double has no decimals left to round.
+    rounded = F.when(F.abs(mean * 100) < 2.0**53, F.floor(mean * 100 + 0.5) / F.lit(100.0)).otherwise(mean)
     message = F.lit(f"no numeric values in column {column}")
     return numeric_cells(df, column).agg(
         F.when(F.count(F.lit(1)) == 0, F.raise_error(message).cast("double"))
@@ -39,63 +40,48 @@ def exact_mean(df: DataFrame, column: str) -> DataFrame:
 def exact_median(df: DataFrame, column: str) -> DataFrame:
     """One row (``fill``): the middle value, or the mean of the middle two.
 
-    Selection by digit groups: each pass counts the values per digit group (at
-    most 100,000 groups, pre-aggregated before the shuffle), finds the group of
-    the wanted rank and keeps only that group.  Four passes give the exact value
-    of any column with four decimals.
+    Selection by narrowing, exact to the last digit for any finite value.  The
+    first pass counts the values per sign and power of two; each further pass
+    cuts the group that holds the wanted rank into 65,536 equal ranges.  Groups
+    are counted before the shuffle.  A power of two holds 2**52 doubles, so four
+    cuts leave a single value.
     """
-    cells = numeric_cells(df, column).select(
-        (F.col("x").cast("decimal(18,4)") * 10_000 + _SHIFT).cast("decimal(19,0)").alias("v")
-    )
-    n = F.count(F.lit(1))
-    # Two wanted ranks (equal when the count is odd): a table of two rows.
-    wanted = (
-        cells.agg(n.alias("n"))
-        .select(
-            "n",
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("side"), F.floor((F.col("n") + 1) / 2).alias("rank")),
-                    F.struct(F.lit(1).alias("side"), F.floor(F.col("n") / 2 + 1).alias("rank")),
-                )
-            ).alias("w"),
-        )
-        .select("n", "w.side", "w.rank")
-        .withColumn("head", F.lit(0).cast("decimal(19,0)"))
+    x = F.col("x")
+    sides = F.array(F.lit(0), F.lit(1))  # the two wanted ranks, equal when the count is odd
+    cells = numeric_cells(df, column).select("x", F.explode(sides).alias("side"))
+    power = F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x))) + 1100)).cast("long")
+    upto = Window.partitionBy("side").orderBy("part")
+    whole = Window.partitionBy("side")
+    cum, size = F.sum("c").over(upto), F.sum("c").over(whole)
+    # n: how many values there are; rank: the wanted place, counted from the group's first value.
+    found = (
+        cells.groupBy("side", power.alias("part"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .withColumns({"n": size, "cum": cum})
+        .withColumn("rank", F.when(F.col("side") == 0, F.floor((F.col("n") + 1) / 2)).otherwise(F.floor(F.col("n") / 2 + 1)))
     )
-    above = None
-    for size in _GROUPS:
-        digit = F.floor(F.col("v") / F.lit(size)).cast("decimal(19,0)")
-        counted = cells.select(digit.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("c"))
-        if above is not None:
-            counted = counted.withColumn(
-                "head", F.floor(F.col("d") / F.lit(above // size)).cast("decimal(19,0)")
-            )
-            # Two rows at most: a broadcast of proven size.
-            counted = counted.join(F.broadcast(wanted), "head")
-        else:
-            counted = counted.withColumn("head", F.lit(0).cast("decimal(19,0)")).join(
-                F.broadcast(wanted), "head"
-            )
-        upto = Window.partitionBy("side").orderBy("d")
-        wanted = (
-            counted.withColumn("cum", F.sum("c").over(upto))
-            .filter((F.col("cum") >= F.col("rank")) & (F.col("cum") - F.col("c") < F.col("rank")))
-            .select(
-                "n",
-                "side",
-                (F.col("rank") - (F.col("cum") - F.col("c"))).alias("rank"),
-                F.col("d").alias("head"),
-            )
+    holds = (F.col("cum") >= F.col("rank")) & (F.col("cum") - F.col("c") < F.col("rank"))
+    kept = ("side", "n", (F.col("rank") - (F.col("cum") - F.col("c"))).alias("rank"), "low", "high")
+    found = found.filter(holds).select(*kept)
+    part = F.when(F.col("high") == F.col("low"), F.lit(0)).otherwise(
+        F.floor((x - F.col("low")) / (F.col("high") - F.col("low")) * 65535)
+    ).cast("long")
+    for _ in range(4):
+        # Two rows: a broadcast of proven size.
+        inside = cells.join(F.broadcast(found), "side").filter((x >= F.col("low")) & (x <= F.col("high")))
+        found = (
+            inside.groupBy("side", "n", "rank", part.alias("part"))
+            .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("low"), F.max("x").alias("high"))
+            .withColumn("cum", cum)
+            .filter(holds)
+            .select(*kept)
         )
-        above = size
-    value = ((F.col("head") - _SHIFT) / F.lit(10_000)).cast("double")
-    middle = F.sum(value) / F.count(F.lit(1))
-    rounded = F.when(F.max("n") % 2 == 0, F.floor(middle * 100 + 0.5) / F.lit(100.0)).otherwise(middle)
+    middle = F.sum("low") / F.count(F.lit(1))
+    halved = F.when(F.abs(middle * 100) < 2.0**53, F.floor(middle * 100 + 0.5) / F.lit(100.0)).otherwise(middle)
     message = F.lit(f"no numeric values in column {column}")
-    return wanted.agg(
+    return found.agg(
         F.when(F.count(F.lit(1)) == 0, F.raise_error(message).cast("double"))
-        .otherwise(rounded)
+        .otherwise(F.when(F.max("n") % 2 == 0, halved).otherwise(middle))
         .alias("fill")
     )
 

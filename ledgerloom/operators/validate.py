@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,41 +167,26 @@ def guard_steps(steps: list[Step], profiled: DataFrame, issues: DataFrame) -> Da
     over the profile instead of a join.
     """
     nulls, total = F.col("null_count"), F.col("total_count")
-    out: list[DataFrame] = []
+    guard = lambda test, name, severity, action, n: F.when(
+        test,
+        F.struct(F.lit(name).alias("guard"), F.lit(severity).alias("severity"), F.lit(action).alias("action"), n.alias("affected_count")),
+    )
+    found = []
     for s in steps:
-        name = step_name(s.action)
-        mine = profiled.filter(F.col("column") == s.column)
-        if name == "removeNulls":
-            out.append(
-                mine.filter((total > 0) & (nulls / total > 0.15)).select(
-                    F.lit("large_deletion").alias("guard"),
-                    F.lit("High").alias("severity"),
-                    F.lit(name).alias("action"),
-                    "column",
-                    nulls.alias("affected_count"),
-                )
-            )
-        elif name == "dropColumn":
-            out.append(
-                mine.filter(total - nulls > 0).select(
-                    F.lit("drop_non_empty_column").alias("guard"),
-                    F.lit("Medium").alias("severity"),
-                    F.lit(name).alias("action"),
-                    "column",
-                    (total - nulls).alias("affected_count"),
-                )
-            )
+        action, mine = step_name(s.action), F.col("column") == s.column
+        if action == "removeNulls":
+            found.append(guard(mine & (total > 0) & (nulls / total > 0.15), "large_deletion", "High", action, nulls))
+        elif action == "dropColumn":
+            found.append(guard(mine & (total - nulls > 0), "drop_non_empty_column", "Medium", action, total - nulls))
     heavy = issues.filter((F.col("severity") == "High") & (F.col("affected_pct") > 20)).select(
-        F.lit("high_impact_issue").alias("guard"),
-        F.lit("High").alias("severity"),
-        F.lit(None).cast("string").alias("action"),
-        "column",
-        "affected_count",
+        "column", F.col("affected_count").alias("_heavy")
     )
-    if not out:
-        return heavy
-    guarded = reduce(DataFrame.unionByName, out)
-    return guarded.unionByName(heavy.join(guarded.select("column"), "column", "left_anti"))
+    # One row per column on both sides, so each is read once.
+    both = profiled.select("column", "null_count", "total_count").join(heavy, "column", "full")
+    guards = F.array_compact(F.array(*found)) if found else None
+    rest = guard(F.col("_heavy").isNotNull(), "high_impact_issue", "High", None, F.col("_heavy"))
+    every = F.when(F.size(guards) > 0, guards).otherwise(F.array_compact(F.array(rest))) if found else F.array_compact(F.array(rest))
+    return both.select("column", F.explode(every).alias("g")).select("g.guard", "g.severity", "g.action", "column", "g.affected_count")
 
 
 def bad_transitions(

@@ -224,11 +224,11 @@ def clean_dry_run(spark, sf):
     return S.dry_run(fx_dirty(spark, sf), Step("removeNulls", "segment"))
 
 
-@query("preview_rows", "SELECT count(*) AS rows FROM (SELECT * FROM customer LIMIT 100)")
+@query("preview_rows", "SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 100")
 def preview_rows(spark, sf):
     from ledgerloom.sources.files import preview
 
-    return preview(table(spark, sf, "customer"), 100).agg(F.count(F.lit(1)).alias("rows"))
+    return preview(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), 100, ["c_custkey"])
 
 
 # --- profile ----------------------------------------------------------------
@@ -241,7 +241,7 @@ _DATE = r"'^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9
 _LABEL = rf"""SELECT "column", CASE WHEN avg(regexp_matches({trim('value')}, {_DATE})::INT) > 0.7 THEN 'date'
  WHEN avg(regexp_matches(replace(value, ',', ''), '^\s*[+-]?[0-9]+\s*$')::INT) > 0.8 THEN 'integer'
  WHEN avg(regexp_matches(regexp_replace(value, '[,$₹€£]', '', 'g'), '^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\s*$')::INT) > 0.7 THEN 'float'
- ELSE 'string' END AS type FROM head WHERE rn <= 100 GROUP BY 1"""
+ ELSE 'string' END AS type FROM head GROUP BY 1"""
 _PROFILE = f"""prof AS (SELECT c."column", coalesce(l.type, 'unknown') AS type, null_count, {percent('null_count', 'total_count')} AS null_pct,
  unique_count, s.sample, total_count FROM counts c LEFT JOIN label l USING ("column")
  LEFT JOIN (SELECT "column", string_agg(value, '|' ORDER BY rid) AS sample FROM head WHERE rn <= 3 GROUP BY 1) s USING ("column"))"""
@@ -259,9 +259,26 @@ def profile_columns(spark, sf):
     return P.profile(fx_dirty(spark, sf)).withColumn("sample", F.array_join("sample", "|"))
 
 
-@query("profile_approx")
+@query(
+    "profile_approx",
+    _profile_sql('SELECT "column", type, null_count, null_pct, total_count, unique_count AS exact_count, true AS within_bound FROM prof'),
+)
 def profile_approx(spark, sf):
-    return P.profile(fx_dirty(spark, sf), approx=True).withColumn("sample", F.array_join("sample", "|"))
+    df = fx_dirty(spark, sf)
+    exact = P.column_counts(df).select("column", F.col("unique_count").alias("exact_count"))
+    # The sketch's stated relative error is 5 %; three times that is allowed.
+    close = F.abs(F.col("unique_count") - F.col("exact_count")) <= 0.15 * F.col("exact_count")
+    return P.profile(df, approx=True).join(exact, "column").select(
+        "column", "type", "null_count", "null_pct", "total_count", "exact_count", close.alias("within_bound")
+    )
+
+
+@query(
+    "profile_strict",
+    _profile_sql('SELECT "column", type FROM prof').replace("FROM head GROUP BY 1", "FROM head WHERE rn <= 100 GROUP BY 1"),
+)
+def profile_strict(spark, sf):
+    return P.profile(fx_dirty(spark, sf), strict_reference=True).select("column", "type")
 
 
 _SEVERITY = "CASE WHEN affected_pct > 10 THEN 'High' WHEN affected_pct > 3 THEN 'Medium' ELSE 'Low' END"
@@ -271,7 +288,7 @@ _ISSUES = f"""issue AS (SELECT 'missing' AS issue, "column", {_SEVERITY} AS seve
  FROM prof JOIN (SELECT "column", string_agg(DISTINCT lay, ', ' ORDER BY lay) AS f, count(DISTINCT lay) AS k FROM (SELECT "column", CASE
   WHEN regexp_matches({trim('value')}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 'YYYY-MM-DD' WHEN regexp_matches({trim('value')}, '^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}$') THEN 'DD/MM/YYYY'
   WHEN regexp_matches({trim('value')}, '^[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}$') THEN 'DD-MM-YYYY' WHEN regexp_matches({trim('value')}, '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}$') THEN 'D/M/YY' END AS lay
-  FROM head WHERE rn <= 200) GROUP BY 1) USING ("column") WHERE k > 1)"""
+  FROM head) GROUP BY 1) USING ("column") WHERE k > 1)"""
 
 
 @query("profile_issues", _profile_sql("").rstrip() + f",\n{_ISSUES} SELECT * FROM issue")

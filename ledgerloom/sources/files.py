@@ -128,9 +128,9 @@ def union_files(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def preview(df: DataFrame, rows: int = 100) -> DataFrame:
-    """The first rows, between 1 and 1000."""
-    return df.limit(max(1, min(PREVIEW_LIMIT, rows)))
+def preview(df: DataFrame, rows: int = 100, order: list[str] | None = None) -> DataFrame:
+    """The first rows, between 1 and 1000; in the order of ``order`` if given, else as the source has them."""
+    return (df.orderBy(*order) if order else df).limit(max(1, min(PREVIEW_LIMIT, rows)))
 
 
 # --- XML --------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Cleaning steps, step lists, profile and validation on small frames."""
 
+import math
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -109,3 +110,21 @@ def test_required_groups(spark):
     got = {r.field_group: r.found for r in V.required_groups(spark, ["my_vendor_name", "Invoice_No", "vendor_total_x"]).collect()}
     assert got == {"Invoice identifier": True, "Vendor / Supplier": True, "Amount / Total": True}
     assert V.repeated_names(["a", "b", "a"]) == ["a"]
+
+
+def test_median_and_mean_of_any_doubles(spark):
+    from statistics import median
+
+    from ledgerloom.operators.stats import exact_mean, exact_median
+
+    cases = (
+        ["0.00001", "0.00002", "0.00003"], ["1e15", "2", "3"], ["1e23", "-1e23", "7"], ["-5", "-0.25", "0", "0", "1e-9"],
+        ["1", "2", "4", "9"], ["12345678.9012345", "x", "", None], ["1e300", "1e300", "-1e-300", "3"], ["-1", "-2", "-3", "-4.5"],
+    )
+    for values in cases:
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        numbers = [float(v) for v in values if v not in (None, "", "x")]
+        m, mean = median(numbers), sum(numbers) / len(numbers)
+        halves = lambda y: y if abs(y * 100) >= 2**53 else math.floor(y * 100 + 0.5) / 100
+        assert exact_median(df, "v").first().fill == (halves(m) if len(numbers) % 2 == 0 else m)
+        assert math.isclose(exact_mean(df, "v").first().fill, halves(mean), rel_tol=1e-12)

@@ -41,7 +41,7 @@ def test_long_orders_equal_short_ones(spark):
     keys = lambda: "hot" if rnd.random() < 0.6 else f"k{rnd.randrange(9)}"
     po = spark.createDataFrame([(i, keys(), "V", rnd.choice(["", f"{rnd.randrange(1, 400)}.{rnd.randrange(10)}0"]), "USD") for i in range(150)], PO)
     inv = spark.createDataFrame([(i, "n", "V", keys(), rnd.choice([None, str(rnd.randrange(1, 400))]), "USD", None) for i in range(120)], INV)
-    got = {r._row_id: r.po and r.po.row_id for r in M.match_by_number(inv, po, short_order=2).collect()}
+    got = {r._row_id: r.po and r.po.row_id for r in M.match_by_number(inv, po).collect()}
     lines = [r.asDict() for r in po.collect()]
     for r in inv.collect():
         mine = [p for p in lines if p["po_number"] == r.po_number]
