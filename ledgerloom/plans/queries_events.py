@@ -182,7 +182,3 @@ SELECT archive_id, entry_no, safe_name, file_size, CASE WHEN before >= 200 OR by
 def archive_verdicts(spark, sf):
     return files.archive_verdicts(_manifest(spark, sf))
 
-
-@query("file_triage")
-def file_triage(spark, sf):
-    return files.triage_files(spark, sf).select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("file"), "length", "ext", "verdict")

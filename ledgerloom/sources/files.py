@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
@@ -47,12 +48,8 @@ DELIMITERS = (",", "\t", ";", "|")
 # --- CSV --------------------------------------------------------------------
 
 
-def sniff_delimiter(spark: SparkSession, path: str, lines: int = 40) -> str:
-    """Delimiter judged on the first lines: the one that splits them most evenly.
-
-    Reads at most ``lines`` lines to the driver.
-    """
-    sample = [r[0] for r in spark.read.text(path).limit(lines).collect() if r[0]]
+def _delimiter(sample: list[str]) -> str:
+    """The delimiter that splits the lines most evenly."""
     best, best_score = ",", (0, 0)
     for d in DELIMITERS:
         counts = [line.count(d) for line in sample]
@@ -64,34 +61,80 @@ def sniff_delimiter(spark: SparkSession, path: str, lines: int = 40) -> str:
     return best
 
 
+def _raw_lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """Unparsed lines of text files, with their file and place."""
+    lines = spark.read.schema("line string").csv(path, sep="\x01", quote="", encoding=encoding, header=False)
+    return lines.select("line", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+
+
+def sniff_delimiter(spark: SparkSession, path: str, lines: int = 40, encoding: str = "UTF-8") -> str:
+    """Delimiter judged on the first lines of a file; at most ``lines`` lines come to the driver."""
+    return _delimiter([r[0] for r in _raw_lines(spark, path, encoding).select("line").limit(lines).collect() if r[0]])
+
+
+def header_groups(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> list[tuple[str, list[str]]]:
+    """Files by header line, in the order of their names: (header, files).
+
+    One row per file comes to the driver, as the scans that follow list files anyway.
+    """
+    first = (
+        _raw_lines(spark, path, encoding)
+        .groupBy("file")
+        .agg(F.min_by("line", "at").alias("header"))
+        .orderBy("file")
+    )
+    groups: dict[str, list[str]] = {}
+    for r in first.collect():
+        groups.setdefault(r["header"].lstrip("\ufeff"), []).append(r["file"])
+    return list(groups.items())
+
+
+def _header_names(header: str, sep: str) -> list[str]:
+    """Column names of a header line; repeated names get their position, empty ones ``_c`` and it."""
+    names = next(csv.reader([header], delimiter=sep), [])
+    lowered = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if lowered.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     sep: str | None = None,
     encoding: str = "UTF-8",
     max_rows: int | None = None,
+    multi_line: bool = False,
+    tag: bool = False,
 ) -> DataFrame:
     """Header CSV as text columns; a row that does not fit goes to ``_corrupt_record``.
 
-    Bytes that are not valid in ``encoding`` become the replacement character.
+    Every file is read by its own header: files with one header are one scan, and
+    the scans are joined by column name, so columns may stand in any order and
+    may be missing in some files.  Bytes that are not valid in ``encoding`` become
+    the replacement character.  ``multi_line`` allows line breaks inside quoted
+    cells; such files cannot be split, so each is read by one task.  ``tag`` adds
+    ``_file`` (a row's file) and ``_bad`` (it did not fit).
     """
-    first = path if isinstance(path, str) else path[0]
-    sep = sep or sniff_delimiter(spark, first)
-    options = {"header": True, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": False}
-    names = [n.lstrip("﻿") for n in spark.read.options(**options).csv(first).columns]
-    schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in names] + [T.StructField("_corrupt_record", T.StringType())]
-    )
-    df = (
-        spark.read.options(**options)
-        .option("mode", "PERMISSIVE")
-        # With pruning the parser would not notice missing or surplus cells.
-        .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("enforceSchema", True)
-        .schema(schema)
-        .csv(path)
-    )
+    frames = []
+    for header, members in header_groups(spark, path, encoding):
+        own = sep or sniff_delimiter(spark, members[0], encoding=encoding)
+        schema = T.StructType(
+            [T.StructField(n, T.StringType()) for n in [*_header_names(header, own), "_corrupt_record"]]
+        )
+        df = (
+            spark.read.options(header=True, sep=own, encoding=encoding, quote='"', escape='"', multiLine=multi_line)
+            .option("mode", "PERMISSIVE")
+            # With pruning the parser would not notice missing or surplus cells.
+            .option("columnPruning", False)
+            .option("columnNameOfCorruptRecord", "_corrupt_record")
+            .option("enforceSchema", True)
+            .schema(schema)
+            .csv(members)
+        )
+        frames.append(tag_files(df) if tag else df)
+    if not frames:
+        raise ValueError(f"no header line in {path}")
+    df = union_files(frames)
+    df = df.select(*[c for c in df.columns if c != "_corrupt_record"], "_corrupt_record")
     return df.limit(max_rows) if max_rows else df
 
 
@@ -111,7 +154,7 @@ def malformed_rows(df: DataFrame) -> DataFrame:
 
 
 def tag_files(df: DataFrame) -> DataFrame:
-    """Rows of ``read_csv`` with ``_file`` (their file) and ``_bad`` (did not fit)."""
+    """Rows of one scan with ``_file`` (their file) and ``_bad`` (did not fit)."""
     return df.select("*", F.col("_metadata.file_path").alias("_file"), is_malformed(df).alias("_bad"))
 
 
@@ -260,7 +303,7 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def batch_status(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Status per file of a batch: success with its row count, failed or skipped.
 
-    ``rows`` are the rows read, tagged by ``tag_files``.
+    ``rows`` are the rows read, tagged (``read_csv(..., tag=True)`` or ``tag_files``).
     """
     counted = rows.groupBy(F.col("_file").alias("path")).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("_bad").alias("bad")
@@ -352,7 +395,10 @@ def triage_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def archive_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per archive entry, read from the archives' directories."""
+    """One row per archive entry: a small helper around ``zipfile``, for archives that fit in a cell.
+
+    Large archives are better listed where they arrive; the verdicts take any manifest.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -83,7 +83,7 @@ def test_csv_xml_and_archives(spark):
     for name, body in (("x.csv", "p;q\n1;2\n"), ("y.csv", "p;q\n3;4\n5;6\n"), ("z.doc", "?"), ("e.csv", "")):
         with open(f"{d}/many/{name}", "w") as f:
             f.write(body)
-    read = files.tag_files(files.read_csv(spark, [f"{d}/many/x.csv", f"{d}/many/y.csv"]))
+    read = files.read_csv(spark, [f"{d}/many/x.csv", f"{d}/many/y.csv"], tag=True)
     status = files.batch_status(files.list_files(spark, f"{d}/many"), read)
     assert {(os.path.basename(r.path), r.status, r.row_count) for r in status.collect()} == {
         ("x.csv", "success", 1), ("y.csv", "success", 2), ("z.doc", "skipped", 0), ("e.csv", "failed", 0),
