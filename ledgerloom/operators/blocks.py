@@ -136,16 +136,22 @@ def running_totals(
     sums = blocked.groupBy(*keys, "_block").agg(
         *[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in values]
     )
-    before = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = sums.select(
-        *keys,
-        "_block",
-        *[
-            F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_c_{name}")
-            for name in values
-        ],
+    # The block sums are summed up in two steps as well: inside groups of blocks, then over the groups,
+    # so the window over a whole key sees one row per block * block rows.
+    group = sums.withColumn("_group", F.floor(F.col("_block") / block))
+    upto = lambda *more: (
+        Window.partitionBy(*keys, *more).orderBy("_group" if not more else "_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    groups = group.groupBy(*keys, "_group").agg(*[F.sum(f"_t_{name}").alias(f"_g_{name}") for name in values])
+    starts = groups.select(
+        *keys, "_group", *[F.coalesce(F.sum(f"_g_{name}").over(upto()), F.lit(0)).alias(f"_g_{name}") for name in values]
+    )
+    within = group.select(
+        *keys, "_group", "_block",
+        *[F.coalesce(F.sum(f"_t_{name}").over(upto("_group")), F.lit(0)).alias(f"_c_{name}") for name in values],
+    )
+    carried = within.join(starts, [*keys, "_group"]).select(
+        *keys, "_block", *[(F.col(f"_c_{name}") + F.col(f"_g_{name}")).alias(f"_c_{name}") for name in values]
     )
     return here.join(carried, [*keys, "_block"]).select(
         *df.columns,

@@ -19,11 +19,13 @@ from ledgerloom.session import cut_lineage
 @dataclass
 class Reconciliation:
     """``matches``: every invoice with its order and status.  ``findings``: the queue.
-    ``duplicates``: groups of repeated lines.  All lazy."""
+    ``duplicates``: groups of repeated lines.  ``repeats``: on a stream, lines
+    that came in an earlier batch.  All lazy."""
 
     matches: DataFrame
     findings: DataFrame
     duplicates: DataFrame
+    repeats: DataFrame | None = None
 
     @property
     def matched(self) -> DataFrame:

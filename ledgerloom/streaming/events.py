@@ -160,36 +160,62 @@ def subscription_state(events: DataFrame, user: str = "user_id", order: list[str
 SUBSCRIPTION_STATE = (
     "active boolean, plan string, status string, renews_at string, subscription_id string, canceled_at string"
 )
+_FIELDS = tuple(p.split()[0] for p in SUBSCRIPTION_STATE.split(", "))
 
 
 class SubscriptionProcessor(StatefulProcessor):
-    """Stream form: keeps the record per user, emits it after each batch of events."""
+    """Stream form: keeps, per user and field, the value and when it was set; emits the record after each batch.
+
+    A field is overwritten only by a later event (time, then event id), so events
+    may arrive in any order, in one batch or in several, and the record is that
+    of ``subscription_state`` over all of them.  Rows are read chunk by chunk.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.record = handle.getValueState("record", SUBSCRIPTION_STATE)
+        times = ", ".join(f"{f}_us long, {f}_id long" for f in _FIELDS)
+        self.record = handle.getValueState("record", f"{SUBSCRIPTION_STATE}, {times}")
 
     def handleInputRows(self, key, rows, timerValues):
-        record = list(self.record.get() or (None,) * 6) if self.record.exists() else [None] * 6
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for e in batch.itertuples(index=False):
-            value = lambda name: None if pd.isna(getattr(e, name)) else getattr(e, name)
-            if e.event_type in STARTS:
-                record = [True, value("plan"), value("status"), value("renews_at"), value("subscription_id"), None]
-            elif e.event_type == "subscription.updated":
-                record[1] = value("plan") or record[1]
-                record[2], record[3] = value("status"), value("renews_at")
-            elif e.event_type == "subscription.canceled":
-                record[0], record[2], record[5] = False, "canceled", value("canceled_at")
-            elif e.event_type == "subscription.past_due":
-                record[2] = "past_due"
-        self.record.update(tuple(record))
-        names = [p.split()[0] for p in SUBSCRIPTION_STATE.split(", ")]
-        yield pd.DataFrame({"user_id": [key[0]], **{n: [v] for n, v in zip(names, record)}})
+        kept = self.record.get() if self.record.exists() else None
+        n = len(_FIELDS)
+        record = list(kept[:n]) if kept else [None] * n
+        since = [(kept[n + 2 * i], kept[n + 2 * i + 1]) for i in range(n)] if kept else [(None, None)] * n
+        for chunk in rows:
+            times = chunk["ts"].astype("datetime64[us]").astype("int64")
+            for e, us in zip(chunk.itertuples(index=False), times):
+                value = lambda name: None if pd.isna(getattr(e, name)) else getattr(e, name)
+                at = (int(us), int(e.event_id))
+                for i, (field, new) in enumerate(_fields_set(e.event_type, value)):
+                    if new is not _KEEP and (since[i][0] is None or at > since[i]):
+                        record[i], since[i] = new, at
+        self.record.update((*record, *[x for at in since for x in at]))
+        yield pd.DataFrame({"user_id": [key[0]], **{f: [v] for f, v in zip(_FIELDS, record)}})
 
     def close(self) -> None:
         pass
 
 
+_KEEP = object()
+
+
+def _fields_set(kind: str, value) -> list[tuple]:
+    """What an event of this kind sets, field by field; ``_KEEP`` where it sets nothing."""
+    out = dict.fromkeys(_FIELDS, _KEEP)
+    for name, kinds in SETS.items():
+        if kind not in kinds or name == "plan" and kind not in STARTS and value("plan") is None:
+            continue
+        if name == "active":
+            out[name] = kind in STARTS
+        elif name == "status":
+            fixed = {"subscription.canceled": "canceled", "subscription.past_due": "past_due"}
+            out[name] = fixed.get(kind) or value("status")
+        elif name == "canceled_at":
+            out[name] = value("canceled_at") if kind == "subscription.canceled" else None
+        else:
+            out[name] = value(name)
+    return list(out.items())
+
+
 def subscription_stream(stream: DataFrame) -> DataFrame:
     """Records per user as the stream goes on (needs the RocksDB state store)."""
     return stream.groupBy("user_id").transformWithStateInPandas(

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators.cleaning import Step
+from ledgerloom.operators.duplicates import with_line_key
 from ledgerloom.plans.reconcile import Reconciliation, reconcile
 from ledgerloom.plans.steps import run_steps, step_name
 
@@ -28,6 +30,21 @@ def clean_stream(stream: DataFrame, steps: list[Step]) -> DataFrame:
     return run_steps(stream, steps).df
 
 
+def earlier_repeats(batch: DataFrame, batch_id: int, seen: str, row_id: str = "_row_id") -> DataFrame:
+    """Lines of this batch that an earlier batch has brought: ``line_key, _row_id, first_batch``.
+
+    Line keys are kept as a table in the folder ``seen``, one part per batch; a
+    batch that is run again replaces its own part, so the result is the same.
+    """
+    spark = batch.sparkSession
+    keys = with_line_key(batch).filter(F.col("_line_key").isNotNull()).select(
+        F.concat_ws("|", "_number_key", "_line_key").alias("line_key"), F.col(row_id).alias("_row_id")
+    )
+    keys.write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+    known = spark.read.parquet(seen).filter(F.col("batch") < batch_id).groupBy("line_key").agg(F.min("batch").alias("first_batch"))
+    return spark.read.parquet(f"{seen}/batch={batch_id}").join(known, "line_key").select("line_key", "_row_id", "first_batch")
+
+
 def reconcile_stream(
     invoices: DataFrame,
     pos: DataFrame,
@@ -39,13 +56,16 @@ def reconcile_stream(
 ) -> StreamingQuery:
     """Reconcile each micro-batch of invoices and hand the result to ``sink``.
 
-    Matching is per invoice, so batches give the same matches as one run;
-    repeated lines are found inside a batch only.  ``checkpoint`` is the query's
-    checkpoint folder, which must be shared on a cluster.
+    Matching is per invoice, so batches give the same matches as one run.  Lines
+    repeated inside a batch are in ``duplicates``, lines that an earlier batch has
+    brought are in ``repeats``.  ``checkpoint`` is the query's checkpoint folder,
+    which must be shared on a cluster; the keys of all lines are kept beside it.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        sink(reconcile(batch, pos, receipts, contracts, fuzzy=fuzzy), batch_id)
+        run = reconcile(batch, pos, receipts, contracts, fuzzy=fuzzy)
+        run.repeats = earlier_repeats(batch, batch_id, f"{checkpoint.rstrip('/')}-lines")
+        sink(run, batch_id)
 
     return (
         invoices.writeStream.foreachBatch(one)
