@@ -27,7 +27,7 @@ EXPORT_COLUMNS = (
     "timestamp", "job_id", "action", "user_id", "issue_type",
     "execution_step", "responded_via", "execution_result", "explanation",
 )
-AUDIT_DAYS, SECURITY_DAYS = 90, 365
+AUDIT_DAYS = 90
 EVENTS_PER_JOB = 2000
 GENESIS = "0" * 64
 
@@ -93,10 +93,6 @@ def expired(df: DataFrame, as_of: Column, days: int = AUDIT_DAYS, date: str = "l
     return df.filter(F.col(date) < F.date_sub(as_of, days))
 
 
-def retained(df: DataFrame, as_of: Column, days: int = AUDIT_DAYS, date: str = "log_date") -> DataFrame:
-    return df.filter(F.col(date) >= F.date_sub(as_of, days))
-
-
 # --- hash chains ------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from ledgerloom.operators import audit as A
 from ledgerloom.plans.catalog import query
 from ledgerloom.plans.fixture_sql import with_
 from ledgerloom.plans.fixtures import fx_audit, fx_webhook, table
+from ledgerloom.session import Scratch
 from ledgerloom.sources import files
 from ledgerloom.streaming import approvals, events as E
 
@@ -41,6 +42,21 @@ for _name, (_window, _limit) in {"request_limits": ("1 hour", 2), "request_limit
     )
 
 
+# All events inside one hour, so that the stated limits are passed.
+for _kind in ("auth", "upload"):
+    _window, _limit = {"auth": ("15 minutes", 10), "upload": ("1 hour", 50)}[_kind]
+    query(
+        f"request_limit_{_kind}",
+        f"""SELECT user_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) - {_limit} AS refused
+ FROM (SELECT user_id, time_bucket(INTERVAL '{_window}', make_timestamp((1704067200 + event_id % 3600) * 1000000)) AS w FROM events)
+ GROUP BY user_id, w HAVING count(*) > {_limit}""",
+    )(
+        lambda spark, sf, k=_kind: E.over_request_limit(
+            table(spark, sf, "events").selectExpr("user_id", "timestamp_seconds(1704067200 + event_id % 3600) as ts"), k
+        ).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    )
+
+
 @query(
     "subscription_state",
     with_(
@@ -59,7 +75,28 @@ def subscription_state(spark, sf):
     return E.subscription_state(fx_webhook(spark, sf), order=["ts", "event_id"])
 
 
-@query("approval_outcomes")
+@query(
+    "approval_outcomes",
+    """WITH RECURSIVE acts AS MATERIALIZED (SELECT event_id // 6 AS item, event_id AS action_id, event_id * 9 AS t, 'u' || (user_id % 2) AS actor,
+ (['lock', 'lock', 'renew', 'release', 'approve', 'reject', 'lock'])[(event_id % 7 + 1)::INT] AS action,
+ row_number() OVER (PARTITION BY event_id // 6 ORDER BY event_id) AS k FROM events),
+walk AS (SELECT DISTINCT item, 0::BIGINT AS k, NULL::BIGINT AS action_id, NULL::VARCHAR AS action, NULL::VARCHAR AS actor, NULL::VARCHAR AS outcome,
+  'pending' AS status, NULL::VARCHAR AS owner, NULL::BIGINT AS until FROM acts
+ UNION ALL SELECT item, k, action_id, action, actor, outcome,
+  CASE outcome WHEN 'locked' THEN 'locked' WHEN 'released' THEN 'pending' WHEN 'approved' THEN 'approved' WHEN 'rejected' THEN 'rejected' ELSE status END,
+  CASE WHEN outcome IN ('locked', 'renewed') THEN actor WHEN outcome IN ('released', 'approved', 'rejected') THEN NULL ELSE owner END,
+  CASE WHEN outcome IN ('locked', 'renewed') THEN t + 30 WHEN outcome IN ('released', 'approved', 'rejected') THEN NULL ELSE until END
+ FROM (SELECT a.*, w.status, w.owner, w.until, CASE
+  WHEN a.action = 'lock' AND w.status IN ('approved', 'rejected') THEN 'already_resolved'
+  WHEN a.action IN ('lock', 'approve') AND w.status = 'locked' AND w.owner <> a.actor AND w.until >= a.t THEN 'locked_by_other'
+  WHEN a.action = 'lock' THEN 'locked'
+  WHEN a.action IN ('renew', 'release') AND w.status = 'locked' AND w.owner = a.actor THEN CASE a.action WHEN 'renew' THEN 'renewed' ELSE 'released' END
+  WHEN a.action = 'renew' THEN 'not_held' WHEN a.action = 'release' THEN 'ignored'
+  WHEN w.status IN ('approved', 'rejected') THEN 'already_resolved'
+  WHEN a.action = 'approve' THEN 'approved' ELSE 'rejected' END AS outcome
+  FROM walk w JOIN acts a ON a.item = w.item AND a.k = w.k + 1))
+SELECT item AS approval_id, action_id, action, actor, outcome, status FROM walk WHERE k > 0""",
+)
 def approval_outcomes(spark, sf):
     actions = table(spark, sf, "events").selectExpr(
         "event_id div 6 as approval_id", "event_id as action_id", "timestamp_seconds(1704067200 + event_id * 9) as ts",
@@ -81,6 +118,27 @@ def _audit(spark, sf):
     )
 
 
+@query(
+    "audit_approvals",
+    """SELECT strftime(ts, '%Y-%m-%d') AS log_date, CASE event_id % 3 WHEN 0 THEN 'ITEM_APPROVED' ELSE 'ITEM_REJECTED' END AS action, 'job-1' AS job_id,
+ user_id::VARCHAR AS user_id, event_type AS issue_type, '{"response":"r' || (event_id % 5) || '"}' AS new_value,
+ CASE WHEN event_id % 2 = 0 THEN 'dashboard' ELSE 'voice' END AS responded_via,
+ CASE event_id % 3 WHEN 0 THEN 'approved' ELSE 'rejected' END || ' — r' || (event_id % 5) AS execution_result FROM events WHERE event_id % 3 < 2""",
+)
+def audit_approvals(spark, sf):
+    """Audit rows of resolved approvals, appended to a table by day and read back."""
+    approvals = table(spark, sf, "events").selectExpr(
+        "ts", "user_id", "event_type as finding_type", "element_at(array('approved', 'rejected', 'pending'), cast(event_id % 3 as int) + 1) as status",
+        "concat('r', event_id % 5) as response", "case when event_id % 2 = 0 then null else 'voice' end as responded_via",
+    )
+    folder = Scratch(spark).path("audit")
+    A.append_audit(A.approval_events(approvals, F.lit("job-1"), F.col("user_id"), F.col("ts")), folder)
+    return spark.read.parquet(folder).select(
+        F.date_format("log_date", "yyyy-MM-dd").alias("log_date"), "action", "job_id", F.col("user_id").cast("string").alias("user_id"),
+        "issue_type", "new_value", "responded_via", "execution_result",
+    )
+
+
 _ACTIONS = "(['" + "', '".join(A.AUDIT_ACTIONS) + "'])[(event_id % 8 + 1)::INT]"
 
 

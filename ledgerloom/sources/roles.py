@@ -53,14 +53,6 @@ SECOND_LAYOUT = {
     "currency": ("currency", "curr", "ccy"),
     "tax": ("tax", "tax_amount", "gst", "vat", "hsn"),
 }
-# Names the vendor-and-amount matcher accepts on the order side.
-ORDER_LAYOUT = {
-    "po_number": ("po_number", "po_no", "po#", "order_number"),
-    "vendor_name": ("vendor", "vendor_name", "supplier"),
-    "amount": ("amount", "total", "po_amount", "value"),
-    "currency": ("currency", "curr", "ccy"),
-    "date": ("date", "po_date", "order_date"),
-}
 
 
 def clean_names(df: DataFrame) -> DataFrame:

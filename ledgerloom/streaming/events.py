@@ -85,12 +85,6 @@ def age_verdict(event_ts: Column, seen_ts: Column) -> Column:
     )
 
 
-def split_by_age(df: DataFrame, event_ts: str, seen_ts: str) -> tuple[DataFrame, DataFrame]:
-    """Events in time and the rest with its verdict."""
-    judged = df.withColumn("verdict", age_verdict(F.col(event_ts), F.col(seen_ts)))
-    return judged.filter("verdict = 'ok'").drop("verdict"), judged.filter("verdict != 'ok'")
-
-
 # --- request limits ---------------------------------------------------------
 
 
@@ -107,6 +101,12 @@ def over_limit(requests: DataFrame, key: str, ts: str, window: str, limit: int)
     )
 
 
+def over_request_limit(requests: DataFrame, kind: str, key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """``over_limit`` with the window and limit of a kind of request (``REQUEST_LIMITS``)."""
+    window, limit = REQUEST_LIMITS[kind]
+    return over_limit(requests, key, ts, window, limit)
+
+
 # --- subscription state -----------------------------------------------------
 
 # Which event kinds set which field.
