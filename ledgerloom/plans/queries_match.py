@@ -169,7 +169,39 @@ def stale_po(spark, sf):
     )
 
 
-@query("fuzzy_vendor_match")
+# Vendor names by longest common subsequence.  A bit row per name is folded over the other name's
+# characters: bit i of a character's mask is set where the first name has it at place i.
+_WORDS = "array_to_string(list_sort(string_split(trim(vendor_name), ' ')), ' ')"
+_FUZZY = f"""
+fknown AS MATERIALIZED (SELECT substr({key_a('vendor_name')}, 1, 3) AS block, {_WORDS} AS name, min(rid) AS rid FROM po GROUP BY ALL),
+fopen AS MATERIALIZED (SELECT rid, vendor_name, substr({key_a('vendor_name')}, 1, 3) AS block, {_WORDS} AS name FROM keyed k
+ WHERE trim(vendor_name) <> '' AND NOT EXISTS (SELECT 1 FROM po p WHERE p.po_number = k.pokey)),
+fasked AS MATERIALIZED (SELECT DISTINCT block, name, EXISTS (SELECT 1 FROM fknown f WHERE f.block = o.block) AS known FROM fopen o WHERE block <> '' AND name <> ''),
+fcand AS MATERIALIZED (SELECT a.block, a.name, f.name AS other, f.rid FROM fasked a JOIN fknown f ON f.block = a.block WHERE known
+ UNION ALL SELECT a.block, a.name, f.name, f.rid FROM fasked a CROSS JOIN fknown f WHERE NOT known),
+fmask AS MATERIALIZED (SELECT name, length(name) AS n, (1::HUGEINT << length(name)) - 1 AS ones, map(list(c), list(m)) AS masks FROM (
+  SELECT name, c, sum(1::HUGEINT << i::INT)::HUGEINT AS m FROM (SELECT name, unnest(string_split(name, '')) AS c, generate_subscripts(string_split(name, ''), 1) - 1 AS i
+   FROM (SELECT DISTINCT name FROM fasked)) GROUP BY name, c) GROUP BY name),
+fpair AS MATERIALIZED (SELECT DISTINCT name, other FROM fcand),
+fscore AS MATERIALIZED (SELECT p.name, p.other, n + length(other) AS total, n - bit_count(list_reduce(list_prepend(ones,
+  list_transform(string_split(other, ''), lambda c: coalesce(masks[c], 0::HUGEINT))), lambda v, m: ((v + (v & m)) | (v & xor(m, ones))) & ones)) AS common
+ FROM fpair p JOIN fmask USING (name)),
+fbest AS MATERIALIZED (SELECT block, name, rid AS po_rid FROM (SELECT c.block, c.name, c.rid, row_number() OVER (PARTITION BY c.block, c.name ORDER BY common::DOUBLE / total DESC, c.rid) AS rn
+ FROM fcand c JOIN fscore s ON s.name = c.name AND s.other = c.other WHERE common * 200 >= total * 85) WHERE rn = 1),
+fhit AS MATERIALIZED (SELECT o.rid, b.po_rid FROM fopen o JOIN fbest b USING (block, name))"""
+
+
+def _with_fuzzy(names, select: str) -> str:
+    return with_(names, "").rstrip() + f",\n{_FUZZY}\n{select}"
+
+
+@query(
+    "fuzzy_vendor_match",
+    _with_fuzzy(
+        ("keyed", "po"),
+        """SELECT k.rid, h.po_rid, k.vendor_name, p.vendor_name AS po_vendor_name FROM fhit h JOIN keyed k ON k.rid = h.rid JOIN po p ON p.rid = h.po_rid""",
+    ),
+)
 def fuzzy_vendor_match(spark, sf):
     m = M.match_invoices(fx_invoice(spark, sf), fx_po(spark, sf), fuzzy=True)
     return m.filter("match_type = 'fuzzy_vendor_name'").select(
@@ -296,7 +328,18 @@ def finding_queue(spark, sf):
     )
 
 
-@query("reconcile_fuzzy_summary")
+@query(
+    "reconcile_fuzzy_summary",
+    _with_fuzzy(
+        ("num", "po"),
+        f"""SELECT status, match_type, count(*) AS invoices FROM (
+ SELECT CASE WHEN po IS NULL THEN 'no_po_match' WHEN curr <> cur THEN 'currency_mismatch'
+  WHEN amt <> 0 AND pa <> 0 AND {half_up('(abs(amt - pa) * 100)', '(pa * 100)', 4)} > 0.02 THEN 'amount_mismatch' ELSE 'matched' END AS status, match_type
+ FROM (SELECT n.amt, n.curr, coalesce(n.po_rid, h.po_rid) AS po, p.amount AS pa, nullif(p.currency, '') AS cur,
+  CASE WHEN n.po_rid IS NOT NULL THEN 'po_number' WHEN h.po_rid IS NOT NULL THEN 'fuzzy_vendor_name' END AS match_type
+  FROM num n LEFT JOIN fhit h ON h.rid = n.rid AND n.po_rid IS NULL LEFT JOIN po p ON p.rid = coalesce(n.po_rid, h.po_rid))) GROUP BY ALL""",
+    ),
+)
 def reconcile_fuzzy_summary(spark, sf):
     run = reconcile(
         fx_invoice(spark, sf), fx_po(spark, sf), fx_receipt(spark, sf), fx_contract(spark, sf), fuzzy=True
