@@ -293,33 +293,37 @@ def match_invoices(
     Adds ``po``, ``match_type`` (``po_number``, ``fuzzy_vendor_name`` or NULL),
     ``amount_diff``, ``amount_diff_pct``, ``amount_unknown``, ``currency_status``.
     """
-    numbered = match_by_number(invoices, pos, row_id)
-    numbered = numbered.withColumn("match_type", F.when(F.col("po").isNotNull(), F.lit("po_number")))
-    if fuzzy:
-        # The names still open need the order keys only, not the match itself.
-        keys = pos.select(match_key(text(pos, "po_number")).alias("_join_key")).filter("_join_key is not null")
-        open_names = (
-            invoices.select(
-                trim_all(text(invoices, "vendor_name")).alias("vendor_name"),
-                spread_null(match_key(text(invoices, "po_number")), row_id).alias("_join_key"),
-            )
-            .filter(null_if_blank("vendor_name").isNotNull())
-            .join(keys, "_join_key", "left_anti")
-            .select("vendor_name")
+    by_number = F.when(F.col("po").isNotNull(), F.lit("po_number"))
+    if not fuzzy:
+        return with_metrics(match_by_number(invoices, pos, row_id).withColumn("match_type", by_number))
+    # Both ways are settled on the few columns they need; the wide rows are joined once, to the outcome.
+    needed = [c for c in (row_id, "po_number", "amount", "currency", "vendor_name") if c in invoices.columns]
+    narrow = match_by_number(invoices.select(*needed), pos, row_id).withColumn("match_type", by_number)
+    # The names still open need the order keys only, not the match itself.
+    keys = pos.select(match_key(text(pos, "po_number")).alias("_join_key")).filter("_join_key is not null")
+    open_names = (
+        invoices.select(
+            trim_all(text(invoices, "vendor_name")).alias("vendor_name"),
+            spread_null(match_key(text(invoices, "po_number")), row_id).alias("_join_key"),
         )
-        by_name = fuzzy_vendor_names(open_names, pos, row_id).select(
-            F.col("vendor_name").alias("_name_key"), F.col("po").alias("_fuzzy")
-        )
-        # Only rows still without an order meet the names.
-        open_rows = (
-            numbered.filter(F.col("po").isNull())
-            .withColumn("_name_key", spread_null(null_if_blank(trim_all(text(invoices, "vendor_name"))), row_id))
-            .join(by_name, "_name_key", "left")
-            .withColumn("match_type", F.when(F.col("_fuzzy").isNotNull(), F.lit("fuzzy_vendor_name")))
-            .withColumn("po", F.col("_fuzzy"))
-            .drop("_name_key", "_fuzzy")
+        .filter(null_if_blank("vendor_name").isNotNull())
+        .join(keys, "_join_key", "left_anti")
+        .select("vendor_name")
+    )
+    by_name = fuzzy_vendor_names(open_names, pos, row_id).select(
+        F.col("vendor_name").alias("_name_key"), F.col("po").alias("_fuzzy")
+    )
+    open_name = F.when(F.col("po").isNull(), trim_all(text(invoices, "vendor_name")))
+    outcome = (
+        narrow.withColumn("_name_key", spread_null(open_name, row_id))
+        .join(by_name, "_name_key", "left")
+        .select(
+            row_id, "_amount", "_currency", "_po_key",
+            F.coalesce("po", "_fuzzy").alias("po"),
+            F.coalesce("match_type", F.when(F.col("_fuzzy").isNotNull(), F.lit("fuzzy_vendor_name"))).alias("match_type"),
         )
-        numbered = numbered.filter(F.col("po").isNotNull()).unionByName(open_rows)
+    )
+    numbered = invoices.join(outcome, row_id, "left")
     return with_metrics(numbered)
 
 
@@ -359,7 +363,10 @@ def match_vendor_amount(
             ),
         }
     ).withColumn("_po_join", spread_null(match_key(text(invoices, "po_number")), row_id))
-    numbered = keyed.join(firsts.withColumnRenamed("_po_key", "_po_join"), "_po_join", "left").drop("_po_join")
+    # Both ways are settled on these columns alone; the wide rows are joined once, to the outcome.
+    numbered = keyed.select(row_id, "_po_join", "_vendor_key", "_currency", "_amount").join(
+        firsts.withColumnRenamed("_po_key", "_po_join"), "_po_join", "left"
+    )
 
     usable = orders.filter((F.col("target.amount") != 0) & null_if_blank("target.vendor_name").isNotNull())
     slots = F.array(F.coalesce(F.concat(F.lit("="), F.col("target.currency")), F.lit("none")), F.lit("any"))
@@ -402,16 +409,20 @@ def match_vendor_amount(
         .agg(F.min("best").alias("best"))
         .select("_vendor_key", "_cur", "_value", F.col("best.cand").alias("_by_amount"))
     )
-    # Only rows that still look for an order are shuffled a second time.
-    looking = F.coalesce(F.col("_first").isNull() & F.col("_vendor_key").isNotNull() & (F.col("_amount") != 0), F.lit(False))
-    settled = numbered.filter(~looking).withColumn("_by_amount", F.lit(None).cast(orders.schema["target"].dataType))
-    by_amount = (
-        numbered.filter(looking)
-        .withColumns({"_cur": F.coalesce("_currency", F.lit("")), "_value": F.col("_amount")})
-        .join(best, ["_vendor_key", "_cur", "_value"], "left")
-        .drop("_cur", "_value")
+    # Rows that do not look get a key of their own, so they do not meet in one task.
+    looking = F.col("_first").isNull() & F.col("_vendor_key").isNotNull() & (F.col("_amount") != 0)
+    outcome = (
+        numbered.withColumns(
+            {
+                "_vk": spread_null(F.when(looking, F.col("_vendor_key")), row_id),
+                "_cur": F.coalesce("_currency", F.lit("")),
+                "_value": F.col("_amount"),
+            }
+        )
+        .join(best.withColumnRenamed("_vendor_key", "_vk"), ["_vk", "_cur", "_value"], "left")
+        .select(row_id, "_first", "_by_amount")
     )
-    joined = settled.unionByName(by_amount)
+    joined = keyed.drop("_po_join").join(outcome, row_id, "left")
     po = F.coalesce("_first", "_by_amount")
     zero = F.lit(0).cast("decimal(18,2)")
     out = joined.withColumn("po", po).withColumn(

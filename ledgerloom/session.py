@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -78,11 +80,13 @@ class Scratch:
 
     ``cut`` writes a table and returns the frame that reads it; ``drop`` removes
     tables no later step reads; ``close`` removes the whole folder, once the
-    result that reads from it has been written.
+    result that reads from it has been written.  Folders still open when the
+    program ends go then, as long as the session is still there.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
+        atexit.register(self._close_at_exit)
         self.folder = f"{checkpoint_dir(spark).rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
         self._count = 0
 
@@ -103,6 +107,11 @@ class Scratch:
 
     def close(self) -> None:
         self._delete(self.folder)
+        atexit.unregister(self._close_at_exit)
+
+    def _close_at_exit(self) -> None:
+        if SparkContext._active_spark_context is not None:
+            self._delete(self.folder)
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
