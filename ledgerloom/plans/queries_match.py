@@ -71,6 +71,27 @@ def po_best_line(spark, sf):
     )
 
 
+@query(
+    "po_best_line_hot",
+    with_(
+        ("keyed", "po"),
+        """, lines AS MATERIALIZED (SELECT amount, min(rid) AS rid FROM po WHERE ok % 3 = 0 GROUP BY amount),
+asked AS MATERIALIZED (SELECT rid, amt FROM keyed WHERE split_part(invoice_number, '-', 2)::BIGINT % 3 = 0),
+near AS (SELECT a.rid, a.amt, d.amount AS down, d.rid AS drid, u.amount AS up, u.rid AS urid FROM asked a
+ ASOF LEFT JOIN lines d ON a.amt >= d.amount ASOF LEFT JOIN lines u ON a.amt <= u.amount)
+SELECT rid, CASE WHEN amt IS NULL THEN (SELECT min(rid) FROM lines) WHEN down IS NULL THEN urid WHEN up IS NULL THEN drid
+ WHEN amt - down < up - amt OR (amt - down = up - amt AND drid <= urid) THEN drid ELSE urid END AS po_rid FROM near""",
+    ).replace("\n, lines", ",\nlines"),
+)
+def po_best_line_hot(spark, sf):
+    """One order number that holds a third of all lines."""
+    hot = lambda df, k: df.withColumn("po_number", F.when(k % 3 == 0, F.lit("HOT")).otherwise(F.col("po_number")))
+    pos = hot(fx_po(spark, sf), F.split("po_number", "-")[1].cast("long"))
+    invoices = hot(fx_invoice(spark, sf, items=False), F.split("invoice_number", "-")[1].cast("long"))
+    m = M.match_by_number(invoices, pos).filter("_po_key = 'HOT'")
+    return m.select(F.col("_row_id").alias("rid"), F.col("po.row_id").alias("po_rid"))
+
+
 @query(
     "match_metrics",
     with_(
