@@ -232,3 +232,25 @@ def test_uncovered_rows(spark):
     frame = spark.createDataFrame([(a, a + n) for a, n in spans] + [(5, None), (9, 3)], "start long, end long")
     got = sorted(r.finding_id for r in L.uncovered(queue, frame, block=7).collect())
     assert got == [i for i in range(400) if not any(a <= i <= a + n for a, n in spans)]
+
+
+def test_csv_files_with_other_headers(spark):
+    d = folder()
+    os.makedirs(f"{d}/in")
+    for name, text in (
+        ("a.csv", "Invoice_ID,Amount\nA1,10\n"), ("b.csv", "﻿Amount,Invoice_ID\n20,B1\n"), ("c.csv", "Invoice_ID;Note\nC1;\"two, words\"\n"),
+        ("d.csv", "Invoice_ID,Amount\nD1,40\nD2\n"), ("e.csv", "x,X,\n1,2,3\n"),
+    ):
+        with open(f"{d}/in/{name}", "w", encoding="utf-8") as f:
+            f.write(text)
+    df = files.read_csv(spark, f"{d}/in", tag=True)
+    got = {r.Invoice_ID: (r.Amount, r.Note, os.path.basename(r._file), r._bad) for r in df.filter("Invoice_ID is not null").collect()}
+    assert got == {
+        "A1": ("10", None, "a.csv", False), "B1": ("20", None, "b.csv", False), "C1": (None, "two, words", "c.csv", False),
+        "D1": ("40", None, "d.csv", False), "D2": (None, None, "d.csv", True),
+    }
+    odd = df.filter("Invoice_ID is null").select("x0", "X1", "_c2").collect()
+    assert [tuple(r) for r in odd] == [("1", "2", "3")]
+    with open(f"{d}/lines.csv", "w") as f:
+        f.write('k,v\n1,"a\nb"\n2,c\n')
+    assert sorted(tuple(r) for r in files.read_csv(spark, f"{d}/lines.csv", multi_line=True).select("k", "v").collect()) == [("1", "a\nb"), ("2", "c")]
