@@ -11,8 +11,9 @@ all chunks with probability 5e-10.
 No bucket is expanded into its pairs.  First each member of a bucket is checked
 against the smallest and the largest member, which joins groups of copies with
 linear work.  Then only buckets that still hold several components are looked at
-again, and only members of different components whose signatures are near are
-checked.  Every check is on the full shingle sets.
+again: members of different components are compared by a second, longer signature
+inside the bucket's task, each pair in the first bucket it shares, and only pairs
+that pass are checked.  Every check is on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -32,11 +33,13 @@ SHINGLE = 5
 SLOTS = 64
 CHUNK = 4
 PERCENT = 75
-NEAR_SLOTS = 37  # differing slots up to which two signatures are checked; 6 deviations at similarity 0.75
+FINE_SLOTS = 512  # 8-bit values of the second signature
+NEAR_FINE = 182  # differing ones up to which a pair is checked: 5.5 standard deviations at similarity 0.75
 TILE = 1500  # members of a mixed bucket compared in one task; larger buckets are cut into tiles
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * tk.U64(2) + tk.U64(1)
+_FINE_MULTIPLIERS = _rng.integers(1, 1 << 63, FINE_SLOTS, dtype=np.uint64) * tk.U64(2) + tk.U64(1)
 _SHINGLE_MULTIPLIERS = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * tk.U64(2) + tk.U64(1)
 
 
@@ -61,13 +64,25 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return sets
 
 
+def _smallest(members: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """Of each permutation the smallest member, mixed."""
+    least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
+    for begin in range(0, len(members), 4096):
+        some = members[begin : begin + 4096]
+        np.minimum(least, (multipliers[:, None] * some[None, :]).min(axis=1), out=least)
+    return tk.mix(least)
+
+
 def signature(members: np.ndarray) -> np.ndarray:
     """``SLOTS`` 16-bit values: of each slot's smallest permuted member."""
-    least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-    for begin in range(0, len(members), 8192):
-        some = members[begin : begin + 8192]
-        np.minimum(least, (_MULTIPLIERS[:, None] * some[None, :]).min(axis=1), out=least)
-    return (tk.mix(least) >> tk.U64(48)).astype(np.uint16)
+    return (_smallest(members, _MULTIPLIERS) >> tk.U64(48)).astype(np.uint16)
+
+
+def _fine_rows(batches):
+    for batch in batches:
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column("members")]
+        fine = [(_smallest(s, _FINE_MULTIPLIERS) >> tk.U64(56)).astype(np.uint8).tobytes() for s in sets]
+        yield pa.record_batch([batch.column("id"), pa.array(fine, pa.binary())], names=["id", "fine"])
 
 
 def _feature_rows(batches):
@@ -117,19 +132,32 @@ def _key_rows(batches):
 
 
 def _near_pairs(key, table):
-    """Pairs of one bucket (or of two of its tiles) in different components with near signatures."""
+    """Pairs of one bucket (or of two of its tiles) in different components with near fine signatures.
+
+    A pair that shares several buckets is left to the first: that of the first
+    chunk in which it differs in one slot at most.
+    """
     ids, parts = table.column("id").to_numpy(), table.column("component").to_numpy()
     tiles = table.column("tile").to_numpy()
-    signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
-    found = []
+    slots = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS // CHUNK, CHUNK)
+    fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
+    chunk, left_out = divmod(key[0].as_py() & 0xFFFF, CHUNK)
+    crossing = key[1].as_py() != key[2].as_py()  # pairs inside a tile belong to that tile's own task
+    found = [np.zeros((0, 2), np.int64)]
     for i in range(len(ids) - 1):
-        far = (signatures[i + 1 :] != signatures[i]).sum(axis=1, dtype=np.uint8)
-        hit = np.flatnonzero((far <= NEAR_SLOTS) & (parts[i + 1 :] != parts[i])) + i + 1
-        if key[1].as_py() != key[2].as_py():  # two tiles: pairs inside a tile belong to that tile's own task
+        hit = np.flatnonzero(parts[i + 1 :] != parts[i]) + i + 1
+        if crossing:
             hit = hit[tiles[hit] != tiles[i]]
+        differ = slots[hit, : chunk + 1] != slots[i, : chunk + 1]
+        here = differ[:, chunk].copy()
+        here[:, left_out] = False  # the bucket's own three slots agree
+        first_way = differ[:, chunk, left_out] if left_out else np.ones(len(hit), bool)
+        before = (differ[:, :chunk].sum(axis=2) <= 1).any(axis=1)
+        hit = hit[~before & first_way & ~here.any(axis=1)]
+        hit = hit[(fine[hit] != fine[i]).sum(axis=1) <= NEAR_FINE]
         found.append(np.column_stack([np.full(len(hit), ids[i]), ids[hit]]))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pairs.min(axis=1, initial=np.iinfo(np.int64).max), "b": pairs.max(axis=1, initial=np.iinfo(np.int64).min)})
+    pairs = np.sort(np.concatenate(found), axis=1)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _agree(batches):
@@ -182,14 +210,14 @@ def _links(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
         .select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     )
     tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    spread = (
-        placed.join(scratch.cut(mixed, "mixed"), "key")
-        .join(classes.select("id", "signature"), "id")
-        .withColumn("tile", tile)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), "tile", "id", "component", "signature")
+    spread = scratch.cut(placed.join(scratch.cut(mixed, "mixed"), "key").withColumn("tile", tile), "spread")
+    fine = scratch.cut(sets.join(spread.select("id").distinct(), "id", "left_semi").mapInArrow(_fine_rows, "id long, fine binary"), "fine")
+    tiled = (
+        spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("key", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), "tile", "id", "component")
+        .join(fine.join(classes.select("id", "signature"), "id"), "id")
     )
-    near = spread.groupBy("key", "t0", "t1").applyInArrow(_near_pairs, "a long, b long").distinct()
+    near = tiled.groupBy("key", "t0", "t1").applyInArrow(_near_pairs, "a long, b long").distinct()
     second = _confirmed(near.join(tried, ["a", "b"], "left_anti"), sets)
     return first.unionAll(scratch.cut(second, "links"))
 
