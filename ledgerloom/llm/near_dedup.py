@@ -33,8 +33,8 @@ SHINGLE = 5
 SLOTS = 64
 CHUNK = 4
 PERCENT = 75
-FINE_SLOTS = 512  # 8-bit values of the second signature
-NEAR_FINE = 182  # differing ones up to which a pair is checked: 5.5 standard deviations at similarity 0.75
+FINE_SLOTS = 1024  # 8-bit values of the second signature
+NEAR_FINE = 331  # differing ones up to which a pair is checked: 5.5 standard deviations at similarity 0.75
 TILE = 1500  # members of a mixed bucket compared in one task; larger buckets are cut into tiles
 
 _rng = np.random.default_rng(20240229)
