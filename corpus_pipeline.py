@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the packed sequences."""
-    return pack_documents(docs)
+    """Where each piece of each document stands in the packed sequences, which follow the written order of the mixture."""
+    return pack_documents(docs, order=[F.col("_metadata.file_name"), F.col("_metadata.row_index")])
 
 
 STAGES = [

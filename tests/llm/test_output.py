@@ -157,3 +157,28 @@ def test_pipeline(spark):
         docs, before = out, after
     assert before == {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()}
     scratch.close()
+
+
+def test_packed_sequences_follow_the_mixture(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    source = lambda i: "few" if i >= 540 else "many"
+    rows = [(i, " ".join(rng.choice(["word", "other", "thing"]) for _ in range(300)), source(i)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    scratch = Scratch(spark)
+    written = scratch.cut(docs, "docs")
+    pack = lambda d: sorted(map(tuple, corpus_pipeline.packs(spark, scratch.cut(d, "stage"), "").collect()), key=lambda r: (r[5], r[6]))
+    got, plain = pack(corpus_pipeline.mix(spark, written, "")), pack(written)
+    assert sorted(r[:5] for r in got) == sorted(r[:5] for r in plain) and got != plain
+    weight = 60**0.7 / (60**0.7 + 540**0.7)
+    few, every, block = 0, 0, mixing.BLOCK_BYTES
+    last = sum(r.n_bytes for r in mixing.mix_order(written).filter("in_mix").collect())
+    per_token = sum(len(t) for _, t, _ in rows) / sum(r[3] for r in got)
+    for r in got:
+        every += r[3] * per_token
+        few += r[3] * per_token * (source(r[0]) == "few")
+        if every < last:
+            assert abs(few - weight * every) < 2 * block
+    assert few > 3 * block
+    scratch.close()
