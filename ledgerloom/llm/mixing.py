@@ -5,22 +5,26 @@ due by slot (j + 1) / w.  Each slot goes to the released block with the earliest
 deadline.  With weights that add up to one, every source then stays within one
 block of its due share at every slot.
 
-Weights are whole numbers over a period, so the schedule repeats: it is worked out
-for one period from the weights alone, and a block's slot is arithmetic.  No row
-of the data takes part in it.
+Weights are whole numbers over ``PERIOD``, so large that rounding them moves a source's
+due share by less than a thousandth of a block in a thousand million slots.  The schedule is
+worked out for the blocks there are, one row each, by one task that holds a counter per
+source; no row of the data takes part in it.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.session import Scratch
 
-PERIOD = 1000  # slots of a period; weights are multiples of 1 / PERIOD
+PERIOD = 1 << 40  # weights are multiples of 1 / PERIOD
 MOST_SOURCES = 10_000  # the bound of the schedule; more sources are an error
 BLOCK_BYTES = 32_768
 FLATTEN = 0.7  # default target weight of a source: its size to this power
@@ -45,36 +49,47 @@ def whole_weights(weights: dict, period: int = PERIOD) -> dict:
     return shares
 
 
-def schedule(shares: dict) -> list[tuple]:
-    """``(source, block of the period, slot)`` for one period: earliest deadline first among released blocks."""
+def slots(shares: dict, blocks: dict) -> Iterator[tuple]:
+    """``(source, block, slot, due slot)`` of all blocks: earliest deadline first among released blocks.
+
+    A slot stays empty only when no block is released, which can happen once a source has run out.
+    """
     period = sum(shares.values())
     names = sorted(shares, key=lambda s: (s is None, str(s)))
-    due = lambda i, j: -((-(j + 1) * period) // shares[names[i]])  # (j + 1) / w rounded up
-    waiting = [(0, i, 0) for i in range(len(names))]  # by release
+    weight, number = [shares[s] for s in names], [blocks[s] for s in names]
+    waiting = [(0, i, 0) for i in range(len(names)) if number[i]]  # by release
     heapq.heapify(waiting)
     ready: list[tuple] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, i, j = heapq.heappop(waiting)
+            due, after = -(-(j + 1) * period // weight[i]), (j + 1) * period // weight[i]
             # A tie goes to the block whose successor is released first, then to the heavier source.
-            heapq.heappush(ready, (due(i, j), (j + 1) * period // shares[names[i]], -shares[names[i]], i, j))
-        if not ready:
-            raise AssertionError("weights add up to one, so a block is always released")
-        *_, i, j = heapq.heappop(ready)
-        out.append((names[i], j, slot))
-        if j + 1 < shares[names[i]]:
-            heapq.heappush(waiting, ((j + 1) * period // shares[names[i]], i, j + 1))
-    return out
+            heapq.heappush(ready, (due, after, -weight[i], i, j))
+        due, after, _, i, j = heapq.heappop(ready)
+        yield names[i], j, slot, due
+        if j + 1 < number[i]:
+            heapq.heappush(waiting, (after, i, j + 1))
+        slot += 1
 
 
-def deviation(plan: list[tuple], shares: dict) -> float:
-    """The largest distance of any source from its due share over all slots, in blocks."""
-    period, worst, had = sum(shares.values()), Fraction(0), dict.fromkeys(shares, 0)
+def schedule(shares: dict) -> list[tuple]:
+    """``(source, block of the period, slot)`` for one period."""
+    return [(s, j, slot) for s, j, slot, _ in slots(shares, shares)]
+
+
+def deviation(plan: list[tuple], weights: dict) -> float:
+    """The largest distance of any source from its due share by the weights over all slots, in blocks."""
+    worst, had = Fraction(0), dict.fromkeys(weights, 0)
+    total = sum(map(Fraction, weights.values()))
+    due = {s: Fraction(w) / total for s, w in weights.items()}
     for source, _, slot in plan:
         had[source] += 1
-        for s, w in shares.items():
-            worst = max(worst, abs(had[s] - Fraction(w * (slot + 1), period)))
+        for s, w in due.items():
+            worst = max(worst, abs(had[s] - w * (slot + 1)))
     return float(worst)
 
 
@@ -114,9 +129,18 @@ def source_bytes(sized: DataFrame) -> dict:
     return {r["_source"]: r["n"] for r in sums}
 
 
-def _schedule_table(spark: SparkSession, shares: dict) -> DataFrame:
-    rows = schedule(shares) if shares else []
-    return spark.createDataFrame(rows, "s string, j long, slot_in_period long")
+def _schedule_table(spark: SparkSession, shares: dict, blocks: dict) -> DataFrame:
+    """The schedule of all blocks, made in batches by one task."""
+    names = ["s", "j", "slot", "due_slot"]
+
+    def run(batches):
+        if sum(batch.num_rows for batch in batches):
+            plan = slots(shares, blocks)
+            while part := list(islice(plan, 50_000)):
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "s string, j long, slot long, due_slot long")
 
 
 def mix_order(docs: DataFrame, weights: dict | None = None, source: str = "source", text: str = "text", doc_id: str = "doc_id",
@@ -126,7 +150,8 @@ def mix_order(docs: DataFrame, weights: dict | None = None, source: str = "sourc
     ``doc_id, source, block, share, period, slot, due_slot, before, n_bytes, in_mix``: ``block`` is the
     source's block in which the row begins (documents in id order, cut every ``block_bytes``), ``slot`` its
     place in the schedule; rows are read in the order of (slot, before, doc_id).  ``in_mix`` marks the slots before
-    the first source has run out: there every source is within one block of its weight.
+    the first source has run out: there every source is within one block of its weight, ``share / period``,
+    which differs from the given weight by about 1 / ``PERIOD`` at most.
     Every row has a place: nothing is dropped or repeated.  Rows without a source are a
     source of their own; a source missing from ``weights`` is an error.
     """
@@ -142,22 +167,18 @@ def mix_order(docs: DataFrame, weights: dict | None = None, source: str = "sourc
     total = sum(shares.values())
     # The slot after the last block of the first source to run out.
     horizon = min((-(-n // block_bytes) * total // shares[s] for s, n in sizes.items()), default=0)
-    # Both tables follow from the weights alone: one row per source, one per slot of a period.
-    share_table = spark.createDataFrame(list(shares.items()), "t string, share long")
+    # A row may begin where its source's last block ends, so there is one block more.
+    blocks = {s: n // block_bytes + 1 for s, n in sizes.items()}
+    plan = scratch.cut(_schedule_table(spark, shares, blocks), "schedule")
+    share_table = spark.createDataFrame(list(shares.items()), "t string, share long")  # one row per source
     placed = (
         sized.withColumn("block", F.floor(F.col("_before") / F.lit(block_bytes)).cast("long"))
         .join(F.broadcast(share_table), F.col("_source").eqNullSafe(F.col("t")))
-        .withColumn("_j", F.col("block") % F.col("share"))
-        .join(
-            F.broadcast(_schedule_table(spark, shares)),
-            F.col("_source").eqNullSafe(F.col("s")) & (F.col("_j") == F.col("j")),
-        )
-        .withColumn("slot", F.floor(F.col("block") / F.col("share")).cast("long") * F.lit(total) + F.col("slot_in_period"))
+        .join(plan, F.col("_source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("j")))
     )
     return placed.select(
         F.col("_id").alias("doc_id"), F.col("_source").alias("source"), "block", "share", F.lit(total).cast("long").alias("period"), "slot",
-        F.ceil((F.col("block") + 1) * F.lit(total) / F.col("share")).cast("long").alias("due_slot"),
-        F.col("_before").alias("before"), F.col("_bytes").alias("n_bytes"), (F.col("slot") < F.lit(horizon)).alias("in_mix"),
+        "due_slot", F.col("_before").alias("before"), F.col("_bytes").alias("n_bytes"), (F.col("slot") < F.lit(horizon)).alias("in_mix"),
     )
 
 

@@ -66,6 +66,38 @@ def test_mix_order(spark):
     assert out.columns == docs.columns and out.count() == len(rows)
 
 
+@pytest.mark.parametrize("weights", [dict.fromkeys("abc", 1 / 3), {"big": 0.9} | {f"s{i}": 0.0001 for i in range(1000)}])
+def test_schedule_follows_the_given_weights(weights):
+    total = sum(weights.values())
+    blocks = {s: int(3000 * w / total) + 2 for s, w in weights.items()}
+    shares = mixing.whole_weights(weights, mixing.PERIOD)
+    plan = [x[:3] for x in mixing.slots(shares, blocks)]
+    assert {s: sum(x == s for x, _, _ in plan) for s in weights} == blocks
+    every = {s: 0 for s in weights}
+    for s, _, slot in plan:
+        if slot >= 3000:
+            break
+        every[s] += 1
+        assert abs(every[s] - weights[s] / total * (slot + 1)) < 1
+    assert all(abs(n - 3000 * weights[s] / total) < 1 for s, n in every.items())
+
+
+def test_mix_order_follows_the_given_weights(spark):
+    weights = {"a": 0.9} | {f"s{i:03}": 0.0001 for i in range(1000)}
+    rows = [(i, "x" * 10, "a") for i in range(2000)] + [(5000 + i, "y" * 10, f"s{i:03}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_order(docs, weights, block_bytes=10).filter("slot < 1500").collect()
+    total = sum(weights.values())
+    assert abs(sum(r.source == "a" for r in got) - 1500 * 0.9 / total) < 1
+    assert len({r.slot for r in got}) == len(got) == 1500
+    equal = spark.createDataFrame([(i, "z" * 10, "abc"[i % 3]) for i in range(9000)], "doc_id long, text string, source string")
+    rows = sorted(mixing.mix_order(equal, dict.fromkeys("abc", 1.0), block_bytes=10).collect(), key=lambda r: r.slot)
+    had = dict.fromkeys("abc", 0)
+    for k, r in enumerate(rows):
+        had[r.source] += 1
+        assert r.slot == k and all(abs(n - (k + 1) / 3) < 1 for n in had.values())
+
+
 # --- token files ------------------------------------------------------------
 
 
