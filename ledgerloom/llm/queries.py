@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.embedding_dedup import vector_groups
 from ledgerloom.llm.exact_dedup import exact_groups
+from ledgerloom.llm.html_text import main_texts
 from ledgerloom.llm.language import identify, learn_profiles
 from ledgerloom.llm.language_model import score_texts
 from ledgerloom.llm.merkle import merkle_manifest
@@ -170,3 +171,8 @@ FROM leaves l JOIN last f ON f.id = l.id AND f.n = 1 CROSS JOIN (SELECT h FROM t
 @_query("op12_merkle_manifest", _MERKLE_SQL)
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_html_extraction")
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(_table(spark, sf_dir, "pages"))
