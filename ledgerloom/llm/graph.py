@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.session import Scratch
 
+ROUNDS_BY_ID = 2
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, component)`` for each node of ``edges(a, b)``; the component is its smallest node.
 
-    Contraction: each node moves to the smallest of itself and its neighbours,
-    edges are renamed and repeated ones dropped, until no edge is left.  A node
-    is never replaced by a larger one, so the smallest node of a component
-    survives.  The number of nodes at least halves every two rounds or so.  Hub
-    nodes cost no more than others: the minimum is taken before the shuffle, and
-    the renaming joins read two plain tables, which adaptive execution can split.
+def _rank(node: str, turn: int) -> Column:
+    """Who is chosen: the smallest id in the first rounds, then the smallest hash, another one each round."""
+    return F.col(node).cast("long") if turn < ROUNDS_BY_ID else F.xxhash64(F.col(node).cast("long"), F.lit(turn))
+
+
+def contract(edges: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Contraction of ``edges(a, b)`` until no edge is left: one table ``(node, to)`` per round.
+
+    In a round each node moves to the first, by rank, of itself and its neighbours; edges are renamed, repeated ones
+    dropped.  Two rounds go by id, which ends stars around small ids at once.  After that the ranks are hashes drawn
+    anew each round, so the order of the ids along a chain does not matter: half the nodes of a chain stay in a
+    round (a node stays if it is first in one of three overlapping windows of three), fewer of a star or a denser
+    part.  The number of rounds grows with the logarithm of the longest chain.  Hub nodes cost no more than others:
+    the choice is made before the shuffle, and the renaming joins read two plain tables, which adaptive execution
+    can split.
     """
     edges = scratch.cut(
         edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
     )
     moved: list[DataFrame] = []
-    first, old = edges, []
     while not edges.isEmpty():
+        turn = len(moved)
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = scratch.cut(
-            both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "step"
+        best = F.least(
+            F.min(F.struct(_rank("b", turn).alias("rank"), F.col("b").alias("to"))),
+            F.first(F.struct(_rank("a", turn).alias("rank"), F.col("a").alias("to"))),
         )
+        step = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(best["to"].alias("to")), "step")
         moved.append(step)
         renamed = (
             edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("to_a")), "a")
@@ -36,10 +46,21 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        old.append(edges)
-        edges = scratch.cut(renamed, "edges")
+        old, edges = edges, scratch.cut(renamed, "edges")
+        scratch.drop(old)
+    scratch.drop(edges)
+    return moved
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, component)`` for each node of ``edges(a, b)``; the component is its smallest node.
+
+    Links of a node with itself are ignored; repeated links and either direction count once.  No links, no rows.
+    """
+    kinds = edges.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    moved = contract(edges, scratch)
     if not moved:
-        return first.select(F.col("a").alias("node"), F.col("a").alias("component"))
+        return scratch.cut(kinds.filter(F.lit(False)), "ends")
     # From the last round back: where each round's nodes ended up.
     ends = moved[-1].select("node", F.col("to").alias("component"))
     for step in reversed(moved[:-1]):
@@ -49,5 +70,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             ),
             "ends",
         )
-    scratch.drop(*old)
-    return ends
+    least = ends.groupBy("component").agg(F.min("node").alias("least"))
+    return scratch.cut(ends.join(least, "component").select("node", F.col("least").alias("component")), "ends")
