@@ -7,6 +7,7 @@ one order number may hold any share of the rows.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,7 +137,7 @@ def match_by_number(invoices: DataFrame, pos: DataFrame, row_id: str = "_row_id"
 
 @F.pandas_udf(T.IntegerType())
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence, one machine word row per text."""
+    """Length of the longest common subsequence: one bit row per pair, folded over all pairs of a batch at once."""
 
     def one(x: str, y: str) -> int:
         places: dict[str, int] = {}
@@ -149,124 +150,156 @@ def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
             row = ((row + hit) | (row - hit)) & full
         return len(x) - row.bit_count()
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
+    def letters(texts: list[str]) -> np.ndarray:
+        width = -(-max(map(len, texts)) // 8) * 8
+        return np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
+
+    def many(xs: list[str], ys: list[str]) -> np.ndarray:
+        x, y = letters(xs), letters(ys)
+        sizes, ends = np.array([len(t) for t in xs]), np.array([len(t) for t in ys])
+        full = (np.uint64(1) << sizes.astype(np.uint64)) - np.uint64(1)
+        row = full.copy()
+        bits = np.zeros((len(xs), 8), np.uint8)
+        for j in range(int(ends.max())):
+            bits[:, : x.shape[1] // 8] = np.packbits(x == y[:, j : j + 1], axis=1, bitorder="little")
+            hit = row & bits.view("<u8").ravel() & np.where(j < ends, full, np.uint64(0))
+            row = ((row + hit) | (row - hit)) & full
+        return sizes - np.bitwise_count(row)
 
+    longest = a.str.len().to_numpy()
+    out = np.zeros(len(a), np.int32)
+    short = np.flatnonzero((longest > 0) & (longest < 64) & (b.str.len().to_numpy() > 0))
+    for at in range(0, len(short), 4096):
+        rows = short[at : at + 4096]
+        out[rows] = many(a.iloc[rows].tolist(), b.iloc[rows].tolist())
+    for i in np.flatnonzero(longest >= 64):
+        out[i] = one(a.iloc[i], b.iloc[i])
+    return pd.Series(out)
 
-def _allowed_edits(total: Column, percent: int) -> Column:
-    """Most single-character inserts and deletes two texts of this total length may differ by."""
-    return F.floor(total * (100 - percent) / 100).cast("int")
 
+def _least_common(total: Column, percent: int) -> Column:
+    """Shortest common subsequence that two texts of this total length need."""
+    return F.ceil(total * percent / 200).cast("int")
 
-def _piece_bounds(length: Column, pieces: Column, i: Column) -> tuple[Column, Column]:
-    """Start (0-based) and size of piece ``i`` when a text is cut into equal pieces."""
-    start = F.floor(i * length / pieces).cast("int")
-    end = F.floor((i + 1) * length / pieces).cast("int")
-    return start, end - start
 
+def _bigrams(name: str) -> Column:
+    """The pairs of neighbouring characters of a text, repeated ones told apart by their number.
 
-def similar_names(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs (block, l_name, r_name, score) whose similarity reaches ``percent``.
-
-    Both sides have ``block`` and ``name`` (distinct).  Similarity is
-    200 * LCS / (length sum), so a pair within reach differs by at most k
-    inserts and deletes.  A text cut into k + 1 pieces then keeps at least one
-    piece whole, at most k places away: both sides are expanded to such pieces
-    and joined on them, which finds every pair within reach without comparing
-    all names of a block.  Only names that share a piece are scored.
+    Both ends count as a character of their own, so a text of n characters has n + 1 pairs.
     """
-    short, long = percent, 200 - percent
-    grown = lambda df: (
-        df.withColumn("_n", F.length("name"))
-        .filter("_n > 0")
-        .withColumn(
-            "_other",
-            F.explode(
-                F.sequence(
-                    F.ceil(F.col("_n") * short / long).cast("int"),
-                    F.floor(F.col("_n") * long / short).cast("int"),
-                )
-            ),
-        )
-        .withColumn("_k", _allowed_edits(F.col("_n") + F.col("_other"), percent))
-        .filter(F.abs(F.col("_n") - F.col("_other")) <= F.col("_k"))
+    padded = F.concat(F.lit("\x02"), F.col(name), F.lit("\x03"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.substr(padded, i, F.lit(2)))
+    return F.transform(
+        pairs, lambda pair, i: F.concat(pair, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda p: p == pair)).cast("string"))
     )
-    r = grown(right).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
-    start, size = _piece_bounds(F.col("_n"), F.col("_k") + 1, F.col("_i"))
-    pieces = r.select(
-        "block",
-        F.col("_other").alias("ln"),
-        F.col("_n").alias("rn"),
-        F.col("_i").alias("i"),
-        F.substr(F.col("name"), start + 1, size).alias("piece"),
-        F.col("name").alias("r_name"),
+
+
+def candidate_names(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs (block, l_name, r_name, total) that hold every pair whose similarity reaches ``percent``.
+
+    A pair of lengths n and m within reach has a common subsequence of at least L characters, so n + m - 2L
+    inserts and deletes, each of which breaks at most two character pairs.  Of the n + 1 and m + 1 pairs at least
+    o = L + 1 - (n + m - 2L) are common.  In one order of all pairs, rarest first, two texts with o common pairs
+    share one among their first n + 2 - o and m + 2 - o: only these first ones are joined, and only pairs with o
+    common ones in all are kept.  Common words weigh nothing, as their pairs stand last.  Lengths that leave o at
+    zero (short texts at a low percentage) are joined on their block alone.
+    """
+    names = left.select("block", "name", F.lit(True).alias("asked")).unionByName(
+        right.select("block", "name", F.lit(False).alias("asked"))
     )
-    left_grown = grown(left).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
-    start, size = _piece_bounds(F.col("_other"), F.col("_k") + 1, F.col("_i"))
-    shift = F.col("_n") - F.col("_other")
-    reach = F.explode(
-        F.sequence(
-            F.ceil((shift - F.col("_k")) / 2).cast("int"), F.floor((shift + F.col("_k")) / 2).cast("int")
-        )
+    texts = cut_lineage(names.filter("name != ''").withColumn("grams", _bigrams("name")))
+    pairs = texts.select("block", "name", "asked", F.explode("grams").alias("gram"))
+    rarity = pairs.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("times"))
+    ranked = (
+        pairs.join(rarity, ["block", "gram"])
+        .groupBy("block", "name", "asked")
+        .agg(F.array_sort(F.collect_list(F.struct("times", "gram"))).alias("order"))
     )
-    probes = (
-        left_grown.withColumns({"_start": start, "_size": size})
-        .withColumn("_move", reach)
-        .withColumn("_at", F.col("_start") + F.col("_move"))
-        .filter((F.col("_at") >= 0) & (F.col("_at") + F.col("_size") <= F.col("_n")))
-        .select(
-            "block",
-            F.col("_n").alias("ln"),
-            F.col("_other").alias("rn"),
-            F.col("_i").alias("i"),
-            F.substr(F.col("name"), F.col("_at") + 1, F.col("_size")).alias("piece"),
-            F.col("name").alias("l_name"),
-        )
-        .distinct()
+    n, m = F.length("l_name"), F.length("r_name")
+    least = _least_common(n + m, percent)
+    common = 3 * least + 1 - n - m
+
+    # The longest and the shortest partner within reach; the first pairs that any of them may need are joined.
+    size = F.length("name")
+    ends = [F.floor(size * (200 - percent) / percent).cast("int"), F.greatest(F.ceil(size * percent / (200 - percent)).cast("int"), F.lit(1))]
+    needed = lambda other: size + 2 - (3 * _least_common(size + other, percent) + 1 - size - other)
+    rows = ranked.select(
+        "block", "name", "asked",
+        F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(1), F.array_max(F.transform(F.sequence(ends[1], ends[0]), needed))))).alias("place", "pair"),
+    ).select("block", "name", "asked", "place", F.col("pair.gram").alias("gram"))
+    l_rows = rows.filter("asked").select("block", "gram", F.col("name").alias("l_name"), F.col("place").alias("l_place"))
+    r_rows = rows.filter("not asked").select("block", "gram", F.col("name").alias("r_name"), F.col("place").alias("r_place"))
+    near = least <= F.least(n, m)
+    first = (F.col("l_place") < n + 2 - common) & (F.col("r_place") < m + 2 - common)
+    by_pair = l_rows.join(r_rows, ["block", "gram"]).filter(near & (common > 0) & first).select("block", "l_name", "r_name").distinct()
+    # Whether o can be zero at all is known from the lengths; texts whose every partner needs a pair stay out.
+    loose = texts.filter(F.array_min(F.transform(F.sequence(ends[1], ends[0]), lambda o: size + 2 - needed(o))) <= 0)
+    l_loose = loose.filter("asked").select("block", F.col("name").alias("l_name"))
+    r_loose = loose.filter("not asked").select("block", F.col("name").alias("r_name"))
+    by_block = l_loose.join(r_loose, "block").filter(near & (common <= 0))
+    l_grams = texts.filter("asked").select("block", F.col("name").alias("l_name"), F.col("grams").alias("l_grams"))
+    r_grams = texts.filter("not asked").select("block", F.col("name").alias("r_name"), F.col("grams").alias("r_grams"))
+    counted = (
+        by_pair.join(l_grams, ["block", "l_name"])
+        .join(r_grams, ["block", "r_name"])
+        .filter(F.size(F.array_intersect("l_grams", "r_grams")) >= common)
+        .select("block", "l_name", "r_name")
     )
-    pairs = probes.join(pieces, ["block", "ln", "rn", "i", "piece"]).select("block", "l_name", "r_name", "ln", "rn").distinct()
-    scored = pairs.withColumn("_common", common_subsequence("l_name", "r_name"))
-    total = F.col("ln") + F.col("rn")
-    return scored.filter(F.col("_common") * 200 >= total * percent).select(
-        "block", "l_name", "r_name", (F.col("_common") * 200.0 / total).alias("score")
+    return counted.unionByName(by_block).withColumn("total", n + m)
+
+
+def similar_names(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs (block, l_name, r_name, score) whose similarity, 200 * LCS / (length sum), reaches ``percent``.
+
+    Both sides have ``block`` and ``name`` (distinct).  Every pair within reach is found; only candidates are scored.
+    """
+    scored = candidate_names(left, right, percent).withColumn("_common", common_subsequence("l_name", "r_name"))
+    return scored.filter(F.col("_common") * 200 >= F.col("total") * percent).select(
+        "block", "l_name", "r_name", (F.col("_common") * 200.0 / F.col("total")).alias("score")
     )
 
 
 def fuzzy_vendor_names(
-    names: DataFrame, pos: DataFrame, row_id: str = "_row_id", tiers: tuple[int, ...] = (94, FUZZY_PERCENT)
+    names: DataFrame,
+    pos: DataFrame,
+    row_id: str = "_row_id",
+    tiers: tuple[int, ...] = (94, FUZZY_PERCENT),
+    strict_reference: bool = False,
 ) -> DataFrame:
     """Best order row per distinct vendor name: (``vendor_name``, ``po``, ``score``).
 
-    Names are compared inside the block of the first three characters of vendor
-    key A, or with all orders when the block has none.  Equal token-sorted text
-    scores 100 and is an equi join; what is left goes through similarity tiers
-    from strict to wide, and a name found in one tier skips the wider ones.
+    Every name is compared with all orders' names, so a slip in its first letters costs nothing.  With
+    ``strict_reference`` names are compared inside the block of the first three characters of vendor key A only, or
+    with all orders when the block has none.  Equal token-sorted text scores 100 and is an equi join; what is left
+    goes through similarity tiers from strict to wide, and a name found in one tier skips the wider ones.
     """
+    prefix = lambda name: F.substring(vendor_key_a(name), 1, 3)
     orders = pos.select(
-        F.substring(vendor_key_a(text(pos, "vendor_name")), 1, 3).alias("block"),
+        prefix(text(pos, "vendor_name")).alias("block"),
         token_sorted(trim_all(text(pos, "vendor_name"))).alias("name"),
         order_struct(pos, row_id).alias("target"),
     ).filter(F.coalesce(F.col("name"), F.lit("")) != "")
     pick = F.min_by("target", F.col("target.row_id")).alias("target")
-    inside = orders.filter("block != ''").groupBy("block", "name").agg(pick)
-    anywhere = orders.withColumn("block", F.lit("")).groupBy("block", "name").agg(pick)
-    # Distinct names are few next to the rows; they are written once because every
-    # tier reads them again.
-    known = cut_lineage(inside.unionByName(anywhere))
-
     asked = (
         names.select("vendor_name")
         .distinct()
-        .withColumn("_block", F.substring(vendor_key_a("vendor_name"), 1, 3))
+        .withColumn("_block", prefix(F.col("vendor_name")))
         .withColumn("name", token_sorted(trim_all("vendor_name")))
-        .filter("_block != '' and name != ''")
-    )
-    blocks = known.filter("block != ''").select(F.col("block").alias("_block"), F.lit(True).alias("_taken")).distinct()
-    asked = (
-        asked.join(blocks, "_block", "left")
-        .withColumn("block", F.when(F.col("_taken"), F.col("_block")).otherwise(F.lit("")))
-        .select("vendor_name", "block", "name")
+        .filter("name != ''")
     )
-    asked = cut_lineage(asked)
+    # Distinct names are few next to the rows; they are written once because every
+    # tier reads them again.
+    known = orders.withColumn("block", F.lit("")).groupBy("block", "name").agg(pick)
+    if strict_reference:
+        known = cut_lineage(orders.filter("block != ''").groupBy("block", "name").agg(pick).unionByName(known))
+        blocks = known.filter("block != ''").select(F.col("block").alias("_block"), F.lit(True).alias("_taken")).distinct()
+        asked = asked.filter("_block != ''").join(blocks, "_block", "left").withColumn(
+            "block", F.when(F.col("_taken"), F.col("_block")).otherwise(F.lit(""))
+        )
+    else:
+        known = cut_lineage(known)
+        asked = asked.withColumn("block", F.lit(""))
+    asked = cut_lineage(asked.select("vendor_name", "block", "name"))
     wanted = asked.select("block", "name").distinct()
     equal = wanted.join(known, ["block", "name"]).select("block", "name", "target", F.lit(100.0).alias("score"))
     found = equal
@@ -286,11 +319,11 @@ def fuzzy_vendor_names(
 
 
 def match_invoices(
-    invoices: DataFrame, pos: DataFrame, row_id: str = "_row_id", fuzzy: bool = True
+    invoices: DataFrame, pos: DataFrame, row_id: str = "_row_id", fuzzy: bool = True, strict_reference: bool = False
 ) -> DataFrame:
     """All invoices with their best order: number first, then fuzzy vendor name.
 
-    Adds ``po``, ``match_type`` (``po_number``, ``fuzzy_vendor_name`` or NULL),
+    ``strict_reference`` keeps fuzzy names inside the block of their first three characters.  Adds ``po``, ``match_type`` (``po_number``, ``fuzzy_vendor_name`` or NULL),
     ``amount_diff``, ``amount_diff_pct``, ``amount_unknown``, ``currency_status``.
     """
     by_number = F.when(F.col("po").isNotNull(), F.lit("po_number"))
@@ -310,7 +343,7 @@ def match_invoices(
         .join(keys, "_join_key", "left_anti")
         .select("vendor_name")
     )
-    by_name = fuzzy_vendor_names(open_names, pos, row_id).select(
+    by_name = fuzzy_vendor_names(open_names, pos, row_id, strict_reference=strict_reference).select(
         F.col("vendor_name").alias("_name_key"), F.col("po").alias("_fuzzy")
     )
     open_name = F.when(F.col("po").isNull(), trim_all(text(invoices, "vendor_name")))

@@ -44,6 +44,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
             "cast(l_quantity as bigint) q", "cast(round(l_extendedprice * 100) as bigint) pc",
             "cast(round(l_discount * 100) as bigint) disc", "to_date(l_shipdate) ship",
         )
+        # However few row groups the file has, every core derives rows.
+        .repartition("ok", "ln", "pk", "sk")
         .selectExpr(
             "*",
             "concat_ws('-', lpad(ok, 12, '0'), lpad(ln, 2, '0'), lpad(pk, 10, '0'), lpad(sk, 8, '0'),"

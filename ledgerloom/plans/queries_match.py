@@ -193,13 +193,21 @@ def stale_po(spark, sf):
 # Vendor names by longest common subsequence.  A bit row per name is folded over the other name's
 # characters: bit i of a character's mask is set where the first name has it at place i.
 _WORDS = "array_to_string(list_sort(string_split(trim(vendor_name), ' ')), ' ')"
-_FUZZY = f"""
+_PREFIXED = f"""
 fknown AS MATERIALIZED (SELECT substr({key_a('vendor_name')}, 1, 3) AS block, {_WORDS} AS name, min(rid) AS rid FROM po GROUP BY ALL),
 fopen AS MATERIALIZED (SELECT rid, vendor_name, substr({key_a('vendor_name')}, 1, 3) AS block, {_WORDS} AS name FROM keyed k
  WHERE trim(vendor_name) <> '' AND NOT EXISTS (SELECT 1 FROM po p WHERE p.po_number = k.pokey)),
 fasked AS MATERIALIZED (SELECT DISTINCT block, name, EXISTS (SELECT 1 FROM fknown f WHERE f.block = o.block) AS known FROM fopen o WHERE block <> '' AND name <> ''),
 fcand AS MATERIALIZED (SELECT a.block, a.name, f.name AS other, f.rid FROM fasked a JOIN fknown f ON f.block = a.block WHERE known
- UNION ALL SELECT a.block, a.name, f.name, f.rid FROM fasked a CROSS JOIN fknown f WHERE NOT known),
+ UNION ALL SELECT a.block, a.name, f.name, f.rid FROM fasked a CROSS JOIN fknown f WHERE NOT known)"""
+# Every name with all orders' names.
+_COMPLETE = f"""
+fknown AS MATERIALIZED (SELECT {_WORDS} AS name, min(rid) AS rid FROM po GROUP BY ALL),
+fopen AS MATERIALIZED (SELECT rid, vendor_name, '' AS block, {_WORDS} AS name FROM keyed k
+ WHERE trim(vendor_name) <> '' AND NOT EXISTS (SELECT 1 FROM po p WHERE p.po_number = k.pokey)),
+fasked AS MATERIALIZED (SELECT DISTINCT block, name FROM fopen o WHERE name <> ''),
+fcand AS MATERIALIZED (SELECT a.block, a.name, f.name AS other, f.rid FROM fasked a CROSS JOIN fknown f)"""
+_FUZZY = """
 fmask AS MATERIALIZED (SELECT name, length(name) AS n, (1::HUGEINT << length(name)) - 1 AS ones, map(list(c), list(m)) AS masks FROM (
   SELECT name, c, sum(1::HUGEINT << i::INT)::HUGEINT AS m FROM (SELECT name, unnest(string_split(name, '')) AS c, generate_subscripts(string_split(name, ''), 1) - 1 AS i
    FROM (SELECT DISTINCT name FROM fasked)) GROUP BY name, c) GROUP BY name),
@@ -212,25 +220,31 @@ fbest AS MATERIALIZED (SELECT block, name, rid AS po_rid FROM (SELECT c.block, c
 fhit AS MATERIALIZED (SELECT o.rid, b.po_rid FROM fopen o JOIN fbest b USING (block, name))"""
 
 
-def _with_fuzzy(names, select: str) -> str:
-    return with_(names, "").rstrip() + f",\n{_FUZZY}\n{select}"
+def _with_fuzzy(names, select: str, candidates: str = _COMPLETE) -> str:
+    return with_(names, "").rstrip() + f",\n{candidates},\n{_FUZZY}\n{select}"
 
 
-@query(
-    "fuzzy_vendor_match",
-    _with_fuzzy(
-        ("keyed", "po"),
-        """SELECT k.rid, h.po_rid, k.vendor_name, p.vendor_name AS po_vendor_name FROM fhit h JOIN keyed k ON k.rid = h.rid JOIN po p ON p.rid = h.po_rid""",
-    ),
-)
-def fuzzy_vendor_match(spark, sf):
-    m = M.match_invoices(fx_invoice(spark, sf), fx_po(spark, sf), fuzzy=True)
+_FUZZY_ROWS = """SELECT k.rid, h.po_rid, k.vendor_name, p.vendor_name AS po_vendor_name FROM fhit h JOIN keyed k ON k.rid = h.rid JOIN po p ON p.rid = h.po_rid"""
+
+
+def _fuzzy_rows(spark, sf, strict_reference: bool):
+    m = M.match_invoices(fx_invoice(spark, sf), fx_po(spark, sf), fuzzy=True, strict_reference=strict_reference)
     return m.filter("match_type = 'fuzzy_vendor_name'").select(
         F.col("_row_id").alias("rid"), F.col("po.row_id").alias("po_rid"), "vendor_name",
         F.col("po.vendor_name").alias("po_vendor_name"),
     )
 
 
+@query("fuzzy_vendor_match", _with_fuzzy(("keyed", "po"), _FUZZY_ROWS))
+def fuzzy_vendor_match(spark, sf):
+    return _fuzzy_rows(spark, sf, strict_reference=False)
+
+
+@query("fuzzy_vendor_match_prefix", _with_fuzzy(("keyed", "po"), _FUZZY_ROWS, _PREFIXED))
+def fuzzy_vendor_match_prefix(spark, sf):
+    return _fuzzy_rows(spark, sf, strict_reference=True)
+
+
 # --- side tables and checks -------------------------------------------------
 
 
