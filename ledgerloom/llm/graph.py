@@ -10,9 +10,12 @@ from ledgerloom.session import Scratch
 ROUNDS_BY_ID = 2
 
 
-def _rank(node: str, turn: int) -> Column:
-    """Who is chosen: the smallest id in the first rounds, then the smallest hash, another one each round."""
-    return F.col(node).cast("long") if turn < ROUNDS_BY_ID else F.xxhash64(F.col(node).cast("long"), F.lit(turn))
+def _first_of(turn: int) -> Column:
+    """Of ``a`` and its neighbours ``b``: the smallest id in the first rounds, then the smallest hash, another one each round."""
+    if turn < ROUNDS_BY_ID:
+        return F.least(F.min("b"), F.first("a"))
+    ranked = lambda node: F.struct(F.xxhash64(F.col(node).cast("long"), F.lit(turn)).alias("rank"), F.col(node).alias("to"))
+    return F.least(F.min(ranked("b")), F.first(ranked("a")))["to"]
 
 
 def contract(edges: DataFrame, scratch: Scratch) -> list[DataFrame]:
@@ -33,11 +36,7 @@ def contract(edges: DataFrame, scratch: Scratch) -> list[DataFrame]:
     while not edges.isEmpty():
         turn = len(moved)
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = F.least(
-            F.min(F.struct(_rank("b", turn).alias("rank"), F.col("b").alias("to"))),
-            F.first(F.struct(_rank("a", turn).alias("rank"), F.col("a").alias("to"))),
-        )
-        step = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(best["to"].alias("to")), "step")
+        step = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(_first_of(turn).alias("to")), "step")
         moved.append(step)
         renamed = (
             edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("to_a")), "a")
