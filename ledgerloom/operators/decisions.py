@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.duplicates import with_line_key
+from ledgerloom.operators.findings import offered
 from ledgerloom.plans.reconcile import Reconciliation
 
 # What each kind of rule may approve.  Duplicates are in no list.
@@ -99,7 +100,7 @@ def approval_items(findings: DataFrame, rules: list[Rule] | None = None, strict_
         F.when(F.col("severity") == "High", "High").otherwise("Medium").alias("risk"),
         "rule_id",
         F.when(hit, "approved").otherwise("pending").alias("status"),
-        F.when(hit, F.coalesce(F.get("options", F.lit(0)), F.lit("Approved"))).alias("response"),
+        F.when(hit, F.coalesce(F.get(offered(F.col("finding_type")), F.lit(0)), F.lit("Approved"))).alias("response"),
         F.when(hit, "auto_rule").alias("responded_via"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,25 @@ OPTIONS = {
         "Hold all for manual review",
     ),
 }
+# The question asked per finding; names in braces are filled in.
+QUESTIONS = {
+    "no_po_match": 'Invoice "{number}" from "{vendor}" for {shown} has no matching PO. How should this be handled?',
+    "currency_mismatch": 'Invoice "{number}" is in {currency} but the matched PO is in {po_currency}. '
+    "Amounts cannot be reliably compared across currencies. How should this be resolved?",
+    "amount_mismatch": 'Invoice "{number}" amount is {shown} but PO amount is {po_shown} — a difference of {off} ({share}%). '
+    "How should this be resolved?",
+    "tax_discrepancy": 'Invoice "{number}" line items plus tax add up to {expected}, but the invoice total is {shown}. '
+    "How should this discrepancy be resolved?",
+    "no_goods_receipt": 'Invoice "{number}" references PO "{po}", but no goods receipt has been recorded against that PO yet. '
+    "How should this be handled?",
+    "quantity_mismatch": 'Invoice "{number}" bills for {actual} units, but {expected} units were recorded as received against '
+    'PO "{po}" ({share}% difference). How should this be resolved?',
+    "contract_price_variance": 'Invoice "{number}" unit price is {actual}, but the contracted rate for "{vendor}" is {expected} '
+    "({share}% variance). How should this be resolved?",
+    "duplicate_invoice": "Invoice number '{number}' has the same line submitted {copies} times. "
+    "Which occurrence should be kept for payment?",
+    "near_duplicate": 'Same vendor "{vendor}", amount {amount} within {days} day(s).',
+}
 # Position of a check inside its invoice; duplicates follow all invoices.
 CHECK_ORDER = {"status": 0, "tax": 1, "receipt": 2, "contract": 3, "duplicate": 9}
 
@@ -134,19 +155,32 @@ def match_status(matched: DataFrame) -> DataFrame:
     )
 
 
-def _finding(kind: str, check: str, base: str, amount: Column, **values: Column) -> Column:
-    """One finding struct."""
+def _question(kind: str, **values: Column) -> Column:
+    """The question of a finding with its values filled in."""
+    parts = re.split(r"\{(\w+)\}", QUESTIONS[kind])
+    return F.concat(*[values[part].cast("string") if i % 2 else F.lit(part) for i, part in enumerate(parts) if part])
+
+
+def offered(kind: Column) -> Column:
+    """The answers offered for a finding type."""
+    table = [F.lit(kind) if i == 0 else F.array(*[F.lit(o) for o in options]) for kind, options in OPTIONS.items() for i in (0, 1)]
+    return F.create_map(*table)[kind]
+
+
+def _finding(kind: str, check: str, base: str, amount: Column, texts: bool, values: dict[str, Column], **shown: Column) -> Column:
+    """One finding struct; ``shown`` are the values of its question, which is left out without ``texts``."""
     null = F.lit(None)
+    number = lambda name: values.get(name, null).cast("double").alias(name)
+    words = [
+        F.concat(priority_words(amount), _question(kind, **shown)).alias("question"),
+        F.array(*[F.lit(o) for o in OPTIONS[kind]]).alias("options"),
+    ]
     return F.struct(
         F.lit(kind).alias("finding_type"),
         F.lit(CHECK_ORDER[check]).alias("check_order"),
         severity(base, amount).alias("severity"),
-        values.get("diff", null).cast("double").alias("diff"),
-        values.get("diff_pct", null).cast("double").alias("diff_pct"),
-        values.get("expected", null).cast("double").alias("expected"),
-        values.get("actual", null).cast("double").alias("actual"),
-        F.concat(priority_words(amount), values["question"]).alias("question"),
-        F.array(*[F.lit(o) for o in OPTIONS[kind]]).alias("options"),
+        *[number(name) for name in ("diff", "diff_pct", "expected", "actual")],
+        *(words if texts else []),
     )
 
 
@@ -166,11 +200,14 @@ def invoice_findings(
     row_id: str = "_row_id",
     receipts: bool = False,
     contracts: bool = False,
+    texts: bool = True,
 ) -> DataFrame:
     """Findings of the row checks, one row per finding, from one pass over the matches.
 
     Every check is a CASE that yields a finding struct or NULL; the non-NULL ones
     are exploded.  So the match table is read once, whatever the number of checks.
+    Without ``texts`` the questions and answers are not built (``with_texts`` adds
+    them to the rows that are shown).
     """
     m = match_status(matched)
     amount = F.col("_amount")
@@ -178,129 +215,60 @@ def invoice_findings(
     vendor = F.coalesce(null_if_blank(trim_all(text(m, "vendor_name"))), F.lit("Unknown Vendor"))
     currency = text(m, "currency")
     shown = money_text(amount, currency)
-    head = F.concat(F.lit('Invoice "'), number, F.lit('"'))
     po_amount = F.col("po.amount")
-    po_shown = money_text(po_amount, F.col("po.currency"))
-
-    out = [
-        F.when(
-            F.col("status") == "no_po_match",
-            _finding(
-                "no_po_match", "status", "High", amount, actual=amount,
-                question=F.concat(
-                    head, F.lit(' from "'), vendor, F.lit('" for '), shown,
-                    F.lit(" has no matching PO. How should this be handled?"),
-                ),
-            ),
-        ),
-        F.when(
-            F.col("status") == "currency_mismatch",
-            _finding(
-                "currency_mismatch", "status", "High", amount, expected=po_amount, actual=amount,
-                question=F.concat(
-                    head, F.lit(" is in "), F.coalesce("_currency", F.lit("an unspecified currency")),
-                    F.lit(" but the matched PO is in "),
-                    F.coalesce("po.currency", F.lit("a different currency")),
-                    F.lit(". Amounts cannot be reliably compared across currencies. How should this be resolved?"),
-                ),
-            ),
-        ),
-        F.when(
-            F.col("status") == "amount_mismatch",
-            _finding(
-                "amount_mismatch", "status", "Medium", amount,
-                diff=F.col("amount_diff"), diff_pct=F.col("amount_diff_pct"),
-                expected=po_amount, actual=amount,
-                question=F.concat(
-                    head, F.lit(" amount is "), shown, F.lit(" but PO amount is "), po_shown,
-                    F.lit(" — a difference of "), plain_money_text(F.col("amount_diff")),
-                    F.lit(" ("), _pct(F.col("amount_diff_pct")),
-                    F.lit("%). How should this be resolved?"),
-                ),
-            ),
-        ),
-    ]
-
+    out: list[Column] = []
+
+    def check(when: Column, kind: str, order: str, base: str, values: dict[str, Column], **words: Column) -> None:
+        out.append(F.when(when, _finding(kind, order, base, amount, texts, values, number=number, **words)))
+
+    check(
+        F.col("status") == "no_po_match", "no_po_match", "status", "High", {"actual": amount}, vendor=vendor, shown=shown
+    )
+    check(
+        F.col("status") == "currency_mismatch", "currency_mismatch", "status", "High", {"expected": po_amount, "actual": amount},
+        currency=F.coalesce("_currency", F.lit("an unspecified currency")),
+        po_currency=F.coalesce("po.currency", F.lit("a different currency")),
+    )
+    check(
+        F.col("status") == "amount_mismatch", "amount_mismatch", "status", "Medium",
+        {"diff": F.col("amount_diff"), "diff_pct": F.col("amount_diff_pct"), "expected": po_amount, "actual": amount},
+        shown=shown, po_shown=money_text(po_amount, F.col("po.currency")),
+        off=plain_money_text(F.col("amount_diff")), share=_pct(F.col("amount_diff_pct")),
+    )
     if "line_items" in m.columns:
-        tax = typed(m, "tax", money=False)
         items = items_total(F.col("line_items"))
-        expected = items + tax
+        expected = items + typed(m, "tax", money=False)
         off = F.abs(amount.cast("double") - expected)
-        wrong = (F.size("line_items") > 0) & (items > 0) & (expected > 0) & (
-            off * 100 > expected * TAX_PERCENT
-        )
-        out.append(
-            F.when(
-                wrong,
-                _finding(
-                    "tax_discrepancy", "tax", "Medium", amount,
-                    diff=off, diff_pct=off / expected, expected=expected, actual=amount,
-                    question=F.concat(
-                        head, F.lit(" line items plus tax add up to "),
-                        plain_money_text(expected, currency),
-                        F.lit(", but the invoice total is "), shown,
-                        F.lit(". How should this discrepancy be resolved?"),
-                    ),
-                ),
-            )
-        )
-
+        check(
+            (F.size("line_items") > 0) & (items > 0) & (expected > 0) & (off * 100 > expected * TAX_PERCENT),
+            "tax_discrepancy", "tax", "Medium", {"diff": off, "diff_pct": off / expected, "expected": expected, "actual": amount},
+            expected=plain_money_text(expected, currency), shown=shown,
+        )
     quantity = typed(m, "quantity", money=False)
     if receipts:
         got = F.col("po.received_quantity")
         po_key = match_key("po.po_number")
         known = F.col("po").isNotNull() & po_key.isNotNull() & quantity.isNotNull()
         off = F.abs(quantity - got)
-        out.append(
-            F.when(
-                known & got.isNull(),
-                _finding(
-                    "no_goods_receipt", "receipt", "Medium", amount, actual=quantity,
-                    question=F.concat(
-                        head, F.lit(' references PO "'), po_key,
-                        F.lit('", but no goods receipt has been recorded against that PO yet. How should this be handled?'),
-                    ),
-                ),
-            )
-        )
-        out.append(
-            F.when(
-                known & (got > 0) & (off * 100 > got * QUANTITY_PERCENT),
-                _finding(
-                    "quantity_mismatch", "receipt", "Medium", amount,
-                    diff=off, diff_pct=off / got, expected=got, actual=quantity,
-                    question=F.concat(
-                        head, F.lit(" bills for "), _plain(quantity), F.lit(" units, but "), _plain(got),
-                        F.lit(' units were recorded as received against PO "'), po_key, F.lit('" ('),
-                        _pct(off / got), F.lit("% difference). How should this be resolved?"),
-                    ),
-                ),
-            )
-        )
+        check(known & got.isNull(), "no_goods_receipt", "receipt", "Medium", {"actual": quantity}, po=po_key)
+        check(
+            known & (got > 0) & (off * 100 > got * QUANTITY_PERCENT), "quantity_mismatch", "receipt", "Medium",
+            {"diff": off, "diff_pct": off / got, "expected": got, "actual": quantity},
+            actual=_plain(quantity), expected=_plain(got), po=po_key, share=_pct(off / got),
+        )
     if contracts:
         price = F.col("contract_price")
         actual = amount.cast("double") / quantity
         # Compared without the division: gap and limit both times the quantity.
         off = F.abs(amount.cast("double") - price * quantity)
-        wrong = (quantity != 0) & (amount != 0) & (price > 0) & (
-            off * 100 > price * F.abs(quantity) * PRICE_PERCENT
-        )
-        out.append(
-            F.when(
-                wrong,
-                _finding(
-                    "contract_price_variance", "contract", "Medium", amount,
-                    diff=F.abs(actual - price), diff_pct=F.abs(actual - price) / price,
-                    expected=price, actual=actual,
-                    question=F.concat(
-                        head, F.lit(" unit price is "), plain_money_text(actual, currency),
-                        F.lit(', but the contracted rate for "'), vendor, F.lit('" is '),
-                        plain_money_text(price, currency), F.lit(" ("), _pct(F.abs(actual - price) / price),
-                        F.lit("% variance). How should this be resolved?"),
-                    ),
-                ),
-            )
-        )
+        gap = F.abs(actual - price)
+        check(
+            (quantity != 0) & (amount != 0) & (price > 0) & (off * 100 > price * F.abs(quantity) * PRICE_PERCENT),
+            "contract_price_variance", "contract", "Medium",
+            {"diff": gap, "diff_pct": gap / price, "expected": price, "actual": actual},
+            actual=plain_money_text(actual, currency), vendor=vendor, expected=plain_money_text(price, currency),
+            share=_pct(gap / price),
+        )
 
     found = m.select(
         F.col(row_id).alias("inv_row_id"),
@@ -318,9 +286,30 @@ def invoice_findings(
     )
 
 
-def duplicate_findings(invoices: DataFrame, row_id: str = "_row_id") -> DataFrame:
-    """One finding per group of repeated invoice lines, under its first row."""
+FINDING_KEY = ("inv_row_id", "check_order", "finding_type", "group_key")
+
+
+def with_texts(queue: DataFrame, findings: DataFrame) -> DataFrame:
+    """Add ``question`` and ``options`` to rows of a queue that was built without texts.
+
+    ``findings`` are the same run's findings with texts.  Meant for the rows that are shown, such as one page: a
+    finding is told by its invoice row, check, type and group.
+    """
+    same = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keys = [same(c).alias(f"_key_{c}") for c in FINDING_KEY]
+    named = findings.select(*keys, "question", "options")
+    columns = [c for c in queue.columns if c not in ("question", "options")]
+    joined = queue.select(*columns, *keys).join(named, [f"_key_{c}" for c in FINDING_KEY], "left")
+    return joined.select(*columns, "question", "options")
+
+
+def duplicate_findings(invoices: DataFrame, row_id: str = "_row_id", texts: bool = True) -> DataFrame:
+    """One finding per group of repeated invoice lines, under its first row; ``texts`` as for the row checks."""
     groups = duplicate_lines(invoices, row_id)
+    words = [
+        _question("duplicate_invoice", number=F.col("invoice_key"), copies=F.col("copies")).alias("question"),
+        F.array(*[F.lit(o) for o in OPTIONS["duplicate_invoice"]]).alias("options"),
+    ]
     return groups.select(
         F.col("first_row_id").alias("inv_row_id"),
         F.lit(None).cast(invoices.schema[row_id].dataType).alias("po_row_id"),
@@ -332,12 +321,7 @@ def duplicate_findings(invoices: DataFrame, row_id: str = "_row_id") -> DataFram
         F.lit(CHECK_ORDER["duplicate"]).alias("check_order"),
         F.lit("High").alias("severity"),
         *[F.lit(None).cast("double").alias(c) for c in ("diff", "diff_pct", "expected", "actual")],
-        F.concat(
-            F.lit("Invoice number '"), F.col("invoice_key"), F.lit("' has the same line submitted "),
-            F.col("copies").cast("string"),
-            F.lit(" times. Which occurrence should be kept for payment?"),
-        ).alias("question"),
-        F.array(*[F.lit(o) for o in OPTIONS["duplicate_invoice"]]).alias("options"),
+        *(words if texts else []),
         F.col("line_key").alias("group_key"),
         F.col("copies").alias("group_rows"),
     )
@@ -360,10 +344,8 @@ def near_duplicate_findings(near: DataFrame, invoices: DataFrame, row_id: str =
         F.lit("near_duplicate").alias("finding_type"),
         F.lit("Medium").alias("severity"),
         "partners",
-        F.concat(
-            F.lit('Same vendor "'), F.col("vendor_name"), F.lit('", amount '),
-            F.col("bucket_amount").cast("string"),
-            F.coalesce(F.concat(F.lit(" "), F.col("currency")), F.lit("")),
-            F.lit(" within "), F.col("linked_days").cast("string"), F.lit(" day(s)."),
+        _question(
+            "near_duplicate", vendor=F.col("vendor_name"), days=F.col("linked_days"),
+            amount=F.concat(F.col("bucket_amount").cast("string"), F.coalesce(F.concat(F.lit(" "), F.col("currency")), F.lit(""))),
         ).alias("question"),
     )

@@ -28,7 +28,7 @@ _RULE = """CASE WHEN finding_type = 'duplicate_invoice' THEN NULL
 
 
 def findings(spark, sf):
-    return number_findings(dup_run(spark, sf).findings)
+    return number_findings(dup_run(spark, sf).queue)
 
 
 def queue(spark, sf):
@@ -38,7 +38,7 @@ def queue(spark, sf):
 @query("auto_rules", with_("finding", f"SELECT * FROM (SELECT inv_rid, finding_type, {_RULE} AS rule_id FROM finding) WHERE rule_id IS NOT NULL"))
 def auto_rules(spark, sf):
     return (
-        dup_run(spark, sf).findings.withColumn("rule_id", X.matching_rule(RULES))
+        dup_run(spark, sf).queue.withColumn("rule_id", X.matching_rule(RULES))
         .filter("rule_id is not null")
         .select(F.col("inv_row_id").alias("inv_rid"), "finding_type", "rule_id")
     )
@@ -54,7 +54,7 @@ def auto_rules(spark, sf):
 )
 def auto_rules_strict(spark, sf):
     rule = X.matching_rule(RULES, strict_reference=True)
-    return dup_run(spark, sf).findings.groupBy(rule.alias("rule_id")).agg(F.count(F.lit(1)).alias("findings")).filter("rule_id is not null")
+    return dup_run(spark, sf).queue.groupBy(rule.alias("rule_id")).agg(F.count(F.lit(1)).alias("findings")).filter("rule_id is not null")
 
 
 _FIRST = """CASE finding_type WHEN 'no_po_match' THEN 'Approve for payment' WHEN 'amount_mismatch' THEN 'Approve invoice amount'
@@ -108,7 +108,7 @@ def _decided(query_text: str) -> str:
 
 def _payable(spark, sf, strict=False):
     run = dup_run(spark, sf, keep=True)
-    found = number_findings(run.findings)
+    found = number_findings(run.queue)
     return X.apply_decisions(run, found, answers(found), fx_invoice_dup(spark, sf), strict_reference=strict)
 
 
@@ -187,7 +187,7 @@ def queue_summary(spark, sf):
     with_("finding", "SELECT coalesce(vendor_name, 'Unknown Vendor') AS vendor_name, count(*) AS items FROM finding GROUP BY 1 ORDER BY items DESC, vendor_name LIMIT 10"),
 )
 def top_vendors(spark, sf):
-    return X.top_vendors(dup_run(spark, sf).findings)
+    return X.top_vendors(dup_run(spark, sf).queue)
 
 
 @query("newest_page", "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET 50")

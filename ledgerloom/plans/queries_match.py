@@ -358,7 +358,7 @@ def reconcile_summary(spark, sf):
     ),
 )
 def finding_queue(spark, sf):
-    return number_findings(dup_run(spark, sf).findings).select(
+    return number_findings(dup_run(spark, sf).queue).select(
         "finding_id", F.col("inv_row_id").alias("inv_rid"), "finding_type", "severity", "group_key", "group_rows"
     )
 

@@ -18,14 +18,16 @@ from ledgerloom.session import cut_lineage
 
 @dataclass
 class Reconciliation:
-    """``matches``: every invoice with its order and status.  ``findings``: the queue.
-    ``duplicates``: groups of repeated lines.  ``repeats``: on a stream, lines
+    """``matches``: every invoice with its order and status.  ``findings``: all findings with question
+    and answers.  ``queue``: the same findings without those texts, for numbering, counting and
+    deciding.  ``duplicates``: groups of repeated lines.  ``repeats``: on a stream, lines
     that came in an earlier batch.  All lazy."""
 
     matches: DataFrame
     findings: DataFrame
     duplicates: DataFrame
     repeats: DataFrame | None = None
+    queue: DataFrame | None = None
 
     @property
     def matched(self) -> DataFrame:
@@ -59,21 +61,26 @@ def reconcile(
     if keep:
         matched = cut_lineage(matched)
     matches = match_status(matched)
-    rows = invoice_findings(matched, row_id, receipts is not None, contracts is not None)
+    found = lambda texts: invoice_findings(
+        matched, row_id, receipts is not None, contracts is not None, texts
+    ).unionByName(duplicate_findings(invoices, row_id, texts))
     return Reconciliation(
         matches=matches,
-        findings=rows.unionByName(duplicate_findings(invoices, row_id)),
+        findings=found(True),
         duplicates=duplicate_lines(invoices, row_id),
+        queue=found(False),
     )
 
 
 def number_findings(findings: DataFrame) -> DataFrame:
     """Add ``finding_id``: the 0-based place in the queue.
 
-    Invoices in row order, inside an invoice status, tax, receipt, contract;
+    All columns given are written once, sorted; give ``run.queue`` and add the
+    texts of the rows to be shown with ``with_texts``.  Invoices in row order, inside an invoice status, tax, receipt, contract;
     duplicate groups after all invoices.
     """
-    ordered = findings.withColumn("_late", (F.col("check_order") == 9).cast("int"))
+    # Written before the sort, whose sampling would otherwise run the matching a second time.
+    ordered = cut_lineage(findings.withColumn("_late", (F.col("check_order") == 9).cast("int")))
     order = ["_late", "inv_row_id", "check_order", "group_key"]
     return dense_positions(ordered, order, "finding_id").drop("_late")
 
@@ -85,7 +92,7 @@ def run_summary(run: Reconciliation) -> DataFrame:
         F.count_if(F.col("status") == "matched").alias("matched"),
         F.count_if(F.col("status") != "matched").alias("flagged"),
     )
-    found = run.findings.agg(
+    found = run.queue.agg(
         F.count(F.lit(1)).alias("findings"),
         F.coalesce(
             F.sum(F.when(F.col("check_order") == 9, F.col("group_rows") - 1)), F.lit(0)
