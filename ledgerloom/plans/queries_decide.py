@@ -236,9 +236,9 @@ def _selections(spark, sf):
 
 
 _SEL = """, sel AS (SELECT DISTINCT user_id AS id, (['range', 'indices', 'count', 'range', 'empty', 'range', 'count'])[(user_id % 7 + 1)::INT] AS kind FROM events),
-openq AS (SELECT finding_id, row_number() OVER (ORDER BY finding_id) AS k FROM queue WHERE NOT answered),
-picked AS MATERIALIZED (SELECT id AS selection_id, finding_id FROM sel JOIN queue ON kind = 'range' AND finding_id BETWEEN id * 31 AND id * 31 + id % 50 AND NOT answered
- UNION ALL SELECT id, finding_id FROM sel JOIN openq ON kind = 'count' AND k <= id * 3 + 1
+openq AS MATERIALIZED (SELECT finding_id, row_number() OVER (ORDER BY finding_id) AS k FROM queue WHERE NOT answered),
+picked AS MATERIALIZED (SELECT id AS selection_id, finding_id FROM (SELECT id, unnest(range(id * 31, id * 31 + id % 50 + 1)) AS p FROM sel WHERE kind = 'range') JOIN openq ON finding_id = p
+ UNION ALL SELECT id, finding_id FROM (SELECT id, unnest(range(1, id * 3 + 2)) AS p FROM sel WHERE kind = 'count') JOIN openq ON k = p
  UNION ALL SELECT DISTINCT id, finding_id FROM (SELECT id, unnest([id, id * 2 + 1, id * 5 + 2]) AS p FROM sel WHERE kind = 'indices') JOIN queue ON finding_id = p)
 """
 
@@ -253,23 +253,25 @@ def selection_resolve(spark, sf):
     with_("queue", "").rstrip() + _SEL + "SELECT finding_id FROM queue ANTI JOIN (SELECT DISTINCT finding_id FROM picked) USING (finding_id) WHERE NOT answered",
 )
 def selection_remaining(spark, sf):
-    q = queue(spark, sf)
-    return L.remaining_items(q, L.resolve_selections(q, _selections(spark, sf))).select("finding_id")
+    return L.unclaimed_items(queue(spark, sf), _selections(spark, sf))
+
+
+_KINDS = "'range', 'count', 'indices', 'remaining', 'range', 'empty', 'remaining'"
 
 
 def _wide_selections(spark, sf):
-    """Few selections, of the kinds that may take the whole queue as well."""
-    kinds = "array('range', 'count', 'indices', 'remaining', 'range', 'all', 'remaining')"
-    return _selections(spark, sf).filter("selection_id < 7").selectExpr(
-        "selection_id", f"element_at({kinds}, cast(selection_id as int) + 1) as kind", "selection_id * 100 as start",
-        "selection_id * 100 + 900 as end", "1200 as n", "positions",
+    """One selection per user, of the kinds that may take much of the queue as well; every 500th takes all."""
+    return _selections(spark, sf).selectExpr(
+        "selection_id",
+        f"if(selection_id % 500 = 5, 'all', element_at(array({_KINDS}), cast(selection_id % 7 as int) + 1)) as kind",
+        "selection_id * 100 as start", "selection_id * 100 + 900 as end", "1200 as n", "positions",
     )
 
 
-_WIDE = """, sel AS (SELECT DISTINCT user_id AS id, (['range', 'count', 'indices', 'remaining', 'range', 'all', 'remaining'])[(user_id + 1)::INT] AS kind FROM events WHERE user_id < 7),
+_WIDE = f""", sel AS (SELECT DISTINCT user_id AS id, CASE WHEN user_id % 500 = 5 THEN 'all' ELSE ([{_KINDS}])[(user_id % 7 + 1)::INT] END AS kind FROM events),
 openq AS MATERIALIZED (SELECT finding_id, row_number() OVER (ORDER BY finding_id) AS k FROM queue WHERE NOT answered),
-picked AS MATERIALIZED (SELECT id AS selection_id, finding_id FROM sel JOIN openq ON kind = 'range' AND finding_id BETWEEN id * 100 AND id * 100 + 900
- UNION ALL SELECT id, finding_id FROM sel JOIN openq ON kind = 'count' AND k <= 1200
+picked AS MATERIALIZED (SELECT id AS selection_id, finding_id FROM (SELECT id, unnest(range(id * 100, id * 100 + 901)) AS p FROM sel WHERE kind = 'range') JOIN openq ON finding_id = p
+ UNION ALL SELECT id, finding_id FROM (SELECT id, unnest(range(1, 1201)) AS p FROM sel WHERE kind = 'count') JOIN openq ON k = p
  UNION ALL SELECT id, finding_id FROM sel JOIN openq ON kind = 'all'
  UNION ALL SELECT DISTINCT id, finding_id FROM (SELECT id, unnest([id, id * 2 + 1, id * 5 + 2]) AS p FROM sel WHERE kind = 'indices') JOIN queue ON finding_id = p),
 first AS (SELECT min(id) AS m FROM sel WHERE kind = 'remaining'),

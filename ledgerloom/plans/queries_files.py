@@ -11,6 +11,7 @@ from ledgerloom.plans.fixture_sql import blank, with_
 from ledgerloom.plans.fixtures import fx_dirty, table
 from ledgerloom.session import Scratch
 from ledgerloom.sources import files
+from ledgerloom.sources.byte_ranges import opened
 
 _CUSTOMER = ["c_custkey", "c_name", "c_mktsegment"]
 
@@ -92,10 +93,11 @@ def xml_parents(spark, sf):
     folder = Scratch(spark).path("xml")
     nested = (
         table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy(F.col("n_name").alias("_name"))
+        # An element holds at most a thousand customers, so a nation of any size has as many as it needs.
+        .groupBy(F.col("n_name").alias("_name"), F.floor(F.col("c_custkey") / 1000).alias("part"))
         .agg(F.collect_list(F.struct("c_custkey")).alias("customer"))
     )
-    nested.write.format("xml").option("rowTag", "nation").option("rootTag", "nations").save(folder)
+    nested.drop("part").write.format("xml").option("rowTag", "nation").option("rootTag", "nations").save(folder)
     read = files.read_xml(spark, folder, "customer", "nation")
     sizes = read.groupBy("_parent_nation_name").agg(F.count(F.lit(1)).alias("siblings"))
     return read.join(sizes, "_parent_nation_name").select("_parent_nation_name", F.col("c_custkey").cast("long").alias("c_custkey"), "siblings")
@@ -139,25 +141,48 @@ def schema_groups(spark, sf):
     )
 
 
-_TRIAGE = """CASE doc_id % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.exe' WHEN 2 THEN '.pdf' WHEN 3 THEN '.xml' WHEN 4 THEN '.doc' ELSE '.PNG' END"""
+_TRIAGE = "element_at(array('.Csv', '.eXe', '.Pdf', '.xmL', '.doc', '.PNG'), cast(pmod(doc_id, 6) as int) + 1)"
+
+
+def _write_each(df, folder: str):
+    """Write each row's ``content`` as a file ``name``; a task run again writes the same files."""
+
+    def write(batches):
+        for batch in batches:
+            system, base, _ = opened(folder)
+            system.create_dir(base, recursive=True)
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                with system.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(content)
+            yield batch.select(["name"])
+
+    df.select("name", "content").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
 
 
 @query(
     "file_triage",
-    f"""SELECT doc_id, lower({_TRIAGE}) AS ext, CASE doc_id % 6 WHEN 1 THEN 'dangerous_extension' WHEN 4 THEN 'unsupported_extension'
- ELSE CASE WHEN doc_id % 5 = 0 THEN 'empty_file' WHEN doc_id % 6 = 3 AND doc_id % 7 = 0 THEN 'ok' WHEN doc_id % 6 = 3 THEN 'invalid_xml'
-  WHEN doc_id % 6 IN (2, 5) AND doc_id % 7 > 0 THEN 'signature_mismatch' ELSE 'ok' END END AS verdict FROM documents WHERE regexp_matches(text, '^[A-Za-zÀ-ÿ]')""",
+    r"""SELECT doc_id, ext, bytes AS length, CASE WHEN ext = '.exe' THEN 'dangerous_extension' WHEN ext = '.doc' THEN 'unsupported_extension'
+ WHEN bytes = 0 THEN 'empty_file' WHEN ext = '.xml' AND regexp_matches(lower(head), '^\s*(<!doctype\s+html|<html|<svg)') THEN 'not_xml_markup'
+ WHEN ext = '.xml' AND NOT regexp_matches(head, '^\s*<[?!A-Za-z_]') THEN 'invalid_xml'
+ WHEN ext = '.xml' AND regexp_matches(head, '(?i)<!DOCTYPE\s') AND regexp_matches(head, '(?i)<!ENTITY\s') THEN 'entity_declaration'
+ WHEN ext IN ('.pdf', '.png') AND bytes < 8 THEN 'too_small' WHEN ext IN ('.pdf', '.png') AND NOT signed THEN 'signature_mismatch' ELSE 'ok' END AS verdict
+FROM (SELECT doc_id, ext, left(body, 4096) AS head, strlen(body) + CASE WHEN signed THEN 4 ELSE 0 END AS bytes, signed FROM (
+ SELECT doc_id, ext, doc_id % 5 <> 0 AND doc_id % 7 = 0 AND ext IN ('.pdf', '.png') AS signed,
+  CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 AND ext = '.xml' THEN '<a>' || coalesce(text, '') ELSE coalesce(text, '') END AS body
+ FROM (SELECT *, (['.csv', '.exe', '.pdf', '.xml', '.doc', '.png'])[(doc_id % 6 + 1)::INT] AS ext FROM documents)))""",
 )
 def file_triage(spark, sf):
-    """Verdicts on the documents as if they were uploads: name, size and leading bytes per document."""
-    doc = F.col("doc_id")
-    ext = F.expr(_TRIAGE)
-    # Every seventh file begins as its kind should, every fifth is empty.
-    start = F.when(doc % 7 == 0, F.when(ext == ".pdf", "25504446").when(ext == ".PNG", "89504E47")).otherwise(F.lit(""))
-    body = F.when((doc % 7 == 0) & (ext == ".xml"), F.concat(F.lit("<a>"), "text")).otherwise(F.col("text"))
-    seen = table(spark, sf, "documents").filter(F.col("text").rlike(r"\A[A-Za-zÀ-ÿ]")).select(
-        "doc_id", F.lower(ext).alias("ext"), F.when(doc % 5 == 0, F.lit(0)).otherwise(F.octet_length(body)).alias("length"),
-        F.concat(F.coalesce(start, F.lit("")), F.hex(F.substring(body, 1, 12))).alias("head"), F.substring(body, 1, 4096).alias("text_head"),
-    )
-    verdict = files.signature_verdict(F.col("ext"), F.greatest("length", F.when(F.col("length") > 0, F.lit(8)).otherwise(F.lit(0))), F.col("head"), F.col("text_head"))
-    return seen.select("doc_id", "ext", verdict.alias("verdict"))
+    """All documents written as files, extensions in any case, every fifth empty, then judged by their leading bytes."""
+    folder = Scratch(spark).path("triage")
+    ext, doc = F.expr(_TRIAGE), F.col("doc_id")
+    # Every seventh file begins as its kind should.
+    start = F.when(doc % 7 == 0, F.when(ext == ".Pdf", F.lit("25504446")).when(ext == ".PNG", F.lit("89504E47")).when(ext == ".xmL", F.hex(F.lit("<a>"))))
+    body = F.concat(F.unhex(F.coalesce(start, F.lit(""))), F.coalesce("text", F.lit("")).cast("binary"))
+    _write_each(
+        table(spark, sf, "documents").select(
+            F.concat(doc.cast("string"), ext).alias("name"), F.when(doc % 5 == 0, F.lit(b"")).otherwise(body).alias("content")
+        ),
+        folder,
+    )
+    number = F.regexp_extract("path", r"(\d+)\.[A-Za-z]+\z", 1).cast("long")
+    return files.triage_files(spark, folder).select(number.alias("doc_id"), "ext", "length", "verdict")

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import csv
-import zipfile
-from collections.abc import Iterator
-from io import BytesIO
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.blocks import running_totals
+from ledgerloom.sources.byte_ranges import archive_entries, file_heads
+
+HEAD_BYTES = 1 << 16  # bytes of a file that are read for its header line
 
 # Extensions and limits of the file checks.
 TABLE_EXTENSIONS = (".csv", ".xlsx", ".xls", ".xml")
@@ -61,31 +62,33 @@ def _delimiter(sample: list[str]) -> str:
     return best
 
 
-def _raw_lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
-    """Unparsed lines of text files, with their file and place."""
-    lines = spark.read.schema("line string").csv(path, sep="\x01", quote="", encoding=encoding, header=False)
-    return lines.select("line", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+def _lines(head: bytes, encoding: str, most: int) -> list[str]:
+    """The first lines of a file's head that are not empty, without a byte order mark."""
+    text = head.decode(encoding, "replace").lstrip("\ufeff")
+    return [line for line in re.split(r"\r\n|\n|\r", text) if line][:most]
 
 
 def sniff_delimiter(spark: SparkSession, path: str, lines: int = 40, encoding: str = "UTF-8") -> str:
-    """Delimiter judged on the first lines of a file; at most ``lines`` lines come to the driver."""
-    return _delimiter([r[0] for r in _raw_lines(spark, path, encoding).select("line").limit(lines).collect() if r[0]])
+    """Delimiter judged on the first lines of a file, of which the first 64 KB are read."""
+    first = file_heads(spark, path, HEAD_BYTES, lines=True).filter("length > 0").limit(1).collect()
+    return _delimiter([line for r in first for line in _lines(r["head"], encoding, lines)])
 
 
 def header_groups(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> list[tuple[str, list[str]]]:
     """Files by header line, in the order of their names: (header, files).
 
-    One row per file comes to the driver, as the scans that follow list files anyway.
+    Of each file the first 64 KB are read, more only where the header is longer.  One
+    row per file comes to the driver, as the scans that follow list files anyway.
     """
-    first = (
-        _raw_lines(spark, path, encoding)
-        .groupBy("file")
-        .agg(F.min_by("line", "at").alias("header"))
-        .orderBy("file")
-    )
+
+    @F.pandas_udf("string")
+    def header(heads: pd.Series) -> pd.Series:
+        return heads.map(lambda head: next(iter(_lines(head, encoding, 1)), None))
+
+    found = file_heads(spark, path, HEAD_BYTES, lines=True).filter("length > 0")
     groups: dict[str, list[str]] = {}
-    for r in first.collect():
-        groups.setdefault(r["header"].lstrip("\ufeff"), []).append(r["file"])
+    for r in found.select("path", header("head").alias("header")).filter("header IS NOT NULL").orderBy("path").collect():
+        groups.setdefault(r["header"], []).append(r["path"])
     return list(groups.items())
 
 
@@ -285,19 +288,8 @@ def plain_path(c: Column) -> Column:
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Path, size and extension of files, without reading them.
-
-    A scan leaves out empty files, so the names come from the listing that Spark
-    holds for the scan anyway.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    names = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")
-    sized = files.select(plain_path(F.col("path")).alias("path"), "length")
-    return (
-        names.select(plain_path(F.col("path")).alias("path"))
-        .join(sized, "path", "left")
-        .select("path", F.coalesce("length", F.lit(0)).alias("length"), extension(F.col("path")).alias("ext"))
-    )
+    """Path, size and extension of files, empty ones too, without opening them."""
+    return file_heads(spark, path, 0).select(plain_path(F.col("path")).alias("path"), "length", extension(F.col("path")).alias("ext"))
 
 
 def batch_status(files: DataFrame, rows: DataFrame) -> DataFrame:
@@ -362,32 +354,19 @@ def signature_verdict(ext: Column, length: Column, head: Column, text_head: Colu
 
 
 def triage_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Verdict per file from name, size and leading bytes.
+    """Verdict per file from name, size and leading bytes; every file gets one, whatever the case of its extension.
 
-    Only files with an accepted extension and an accepted size are opened: the
-    name pattern and the limit on ``length`` are part of the file scan.
+    The first 4 KB are read, and only of files with an accepted extension and size.
     """
     accepted = sorted({*TABLE_EXTENSIONS, *SIGNATURES, *TEXT_EXTENSIONS})
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    glob = "*.{" + ",".join(c for e in accepted for c in (e[1:], e[1:].upper())) + "}"
+    seen = file_heads(spark, path, 4096, opens=accepted, most=MAX_ARCHIVE_BYTES)
     ext = extension(F.col("path"))
-    inside = F.col("length") <= MAX_ARCHIVE_BYTES
-    opened = scan.option("pathGlobFilter", glob).load(path).filter(inside).select(
+    head, text_head = F.hex(F.substring("head", 1, 12)), F.coalesce(F.decode("head", "ISO-8859-1"), F.lit(""))
+    return seen.select(
         plain_path(F.col("path")).alias("path"),
         "length",
-        F.hex(F.substring("content", 1, 12)).alias("head"),
-        F.coalesce(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"), F.lit("")).alias("text_head"),
-    )
-    closed = (
-        list_files(spark, path)
-        .filter(~ext.isin(*accepted) | ~inside | (F.col("length") == 0))
-        .select("path", "length", F.lit("").alias("head"), F.lit("").alias("text_head"))
-    )
-    return opened.unionByName(closed).select(
-        "path",
-        "length",
         ext.alias("ext"),
-        signature_verdict(ext, F.col("length"), F.col("head"), F.col("text_head")).alias("verdict"),
+        signature_verdict(ext, F.col("length"), head, text_head).alias("verdict"),
     )
 
 
@@ -395,32 +374,11 @@ def triage_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def archive_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per archive entry: a small helper around ``zipfile``, for archives that fit in a cell.
+    """One row per archive entry: archive_id, entry_no, name, compressed_size, file_size, encrypted.
 
-    Large archives are better listed where they arrive; the verdicts take any manifest.
+    Only an archive's last bytes and its directory are read, the latter in pieces, so archives of any size do.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(BytesIO(content)) as z:
-                    infos = z.infolist()
-                yield pd.DataFrame(
-                    {
-                        "archive_id": [p] * len(infos),
-                        "entry_no": range(len(infos)),
-                        "name": [i.filename for i in infos],
-                        "compressed_size": [i.compress_size for i in infos],
-                        "file_size": [i.file_size for i in infos],
-                        "encrypted": [bool(i.flag_bits & 1) for i in infos],
-                    }
-                )
-
-    return files.mapInPandas(
-        entries,
-        "archive_id string, entry_no long, name string, compressed_size long, file_size long, encrypted boolean",
-    )
+    return archive_entries(spark, path).withColumn("archive_id", plain_path(F.col("archive_id")))
 
 
 def safe_entry_name(name: Column) -> Column:

@@ -1,6 +1,7 @@
 """Selections, commands, text fields, hash chains, files and streams."""
 
 import datetime as dt
+import gzip
 import json
 import os
 import random
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import audit as A
 from ledgerloom.operators import selections as L
 from ledgerloom.operators import text_fields as X
-from ledgerloom.sources import files
+from ledgerloom.operators.runs import gap_runs, list_runs, union_runs
+from ledgerloom.sources import byte_ranges, files
 from ledgerloom.streaming import approvals as P
 from ledgerloom.streaming import events as E
 from ledgerloom.streaming.reconcile_stream import clean_stream
@@ -120,6 +122,51 @@ def test_csv_xml_and_archives(spark):
     assert seen["z.doc"] == "unsupported_extension"
 
 
+def test_byte_ranges(spark):
+    """Large files, mixed-case names, 64-bit archives and odd ones, read in part only."""
+    d = folder()
+    for name in ("a.csv", "b.Csv", "c.CSV", "d.Pdf", "e.pdf", "_f.csv", ".g.csv", "sub/h.eXe"):
+        os.makedirs(os.path.dirname(f"{d}/t/{name}"), exist_ok=True)
+        with open(f"{d}/t/{name}", "w") as f:
+            f.write("x,y\n1,2\n")
+    with open(f"{d}/t/huge.Pdf", "wb") as f:
+        f.write(b"%PDF-1.7 ")
+        f.truncate(480 << 20)
+    seen = {os.path.basename(r.path): (r.ext, r.verdict) for r in files.triage_files(spark, f"{d}/t").collect()}
+    assert seen == {
+        "a.csv": (".csv", "ok"), "b.Csv": (".csv", "ok"), "c.CSV": (".csv", "ok"), "d.Pdf": (".pdf", "signature_mismatch"),
+        "e.pdf": (".pdf", "signature_mismatch"), "h.eXe": (".exe", "dangerous_extension"), "huge.Pdf": (".pdf", "file_too_large"),
+    }
+    heads = {os.path.basename(r.path): (r.length, bytes(r.head)) for r in byte_ranges.file_heads(spark, [f"{d}/t/*.Pdf"], 4).collect()}
+    assert heads == {"d.Pdf": (8, b"x,y\n"), "huge.Pdf": (480 << 20, b"%PDF")}
+    with open(f"{d}/wide.csv", "w") as f:
+        f.write(",".join(f"c{i}" for i in range(20_000)) + "\n" + ",".join("1" * 20_000) + "\n")
+    ((header, _),) = files.header_groups(spark, f"{d}/wide.csv")
+    assert header.count(",") == 19_999
+    with gzip.open(f"{d}/z.csv.gz", "wt") as f:
+        f.write("k;v\n1;2\n")
+    assert [tuple(r) for r in files.read_csv(spark, f"{d}/z.csv.gz").select("k", "v").collect()] == [("1", "2")]
+
+    os.makedirs(f"{d}/zips")
+    names = [f"dir/näme{i}.csv" for i in range(30_000)]
+    with zipfile.ZipFile(f"{d}/zips/many.ZIP", "w") as z:
+        for i, name in enumerate(names):
+            z.writestr(name, b"y" * (i % 3))
+        z.comment = b"c" * 60_000
+    with open(f"{d}/zips/holes.zip", "wb") as f:
+        f.truncate(5 << 30)
+        f.seek(0, 2)
+        with zipfile.ZipFile(f, "a") as z:
+            z.writestr("late.txt", "z" * 9)
+    for name, content in (("no.zip", b"PK nothing"), ("empty.zip", b"")):
+        with open(f"{d}/zips/{name}", "wb") as f:
+            f.write(content)
+    got = files.archive_manifest(spark, f"{d}/zips").collect()
+    rows = sorted((r.entry_no, r.name, r.file_size, r.compressed_size, r.encrypted) for r in got if r.archive_id.endswith("many.ZIP"))
+    assert rows == [(i, name, i % 3, i % 3, False) for i, name in enumerate(names)]
+    assert [(r.name, r.file_size) for r in got if not r.archive_id.endswith("many.ZIP")] == [("late.txt", 9)]
+
+
 def at(hours):
     return dt.datetime(2024, 1, 1) + dt.timedelta(hours=hours)
 
@@ -225,13 +272,48 @@ def test_reconcile_stream_finds_lines_of_earlier_batches(spark):
     assert len(got) == 2 and {i for i, _ in got} <= {1, 3, 5, 7}
 
 
-def test_uncovered_rows(spark):
+def test_runs(spark):
+    """Union, gaps and listing of runs against sets of numbers, with small blocks and crowded ones."""
     rnd = random.Random(6)
-    spans = [(rnd.randrange(300), rnd.randrange(40)) for _ in range(12)]
-    queue = spark.range(400).select(F.col("id").alias("finding_id"))
-    frame = spark.createDataFrame([(a, a + n) for a, n in spans] + [(5, None), (9, 3)], "start long, end long")
-    got = sorted(r.finding_id for r in L.uncovered(queue, frame, block=7).collect())
-    assert got == [i for i in range(400) if not any(a <= i <= a + n for a, n in spans)]
+    spans = [(a, a + rnd.randrange(40)) for a in (rnd.randrange(1, 300) for _ in range(12))]
+    frame = spark.createDataFrame(spans + [(5, None), (9, 3), (60, 60), (61, 61)], "start long, end long")
+    inside = {i for a, b in spans for i in range(a, b + 1)} | {60, 61}
+    merged = sorted(map(tuple, union_runs(frame, block=7).collect()))
+    assert {i for a, b in merged for i in range(a, b + 1)} == inside
+    assert all(b + 1 < c for (_, b), (c, _) in zip(merged, merged[1:]))
+    for last in (400, 250):
+        gaps = sorted(map(tuple, gap_runs(frame, 1, last, block=7).collect()))
+        assert [i for a, b in gaps for i in range(a, b + 1)] == [i for i in range(1, last + 1) if i not in inside]
+    assert [tuple(r) for r in gap_runs(frame.filter("start < 0"), 1, 9).collect()] == [(1, 9)]
+    items = spark.range(1, 400).select("id", (F.col("id") * 10).alias("v"))
+    many = [(k, 1, 3 + k % 20) for k in range(700)] + [(1000, 250, 399)]
+    got = list_runs(spark.createDataFrame(many, "k long, start long, end long"), items, "k", "id", "v", block=16).collect()
+    assert sorted(map(tuple, got)) == sorted((k, i * 10) for k, a, b in many for i in range(a, b + 1))
+
+
+def test_selections_equal_sets(spark):
+    rnd = random.Random(9)
+    answered = [rnd.random() < 0.4 for _ in range(500)]
+    queue = spark.createDataFrame(list(enumerate(answered)), "finding_id long, answered boolean")
+    sel = [(i, "range", rnd.randrange(-5, 520), rnd.randrange(0, 560), None, None) for i in range(20)]
+    sel += [(20, "all", None, None, None, None), (21, "count", None, None, 30, None), (22, "count", None, None, 9999, None), (23, "count", None, None, 0, None)]
+    sel += [(24, "indices", None, None, None, [0, 3, 3, 499, 500, -1])]
+    for first in (4, 19, 30):
+        rows = sel + [(first + 0.5, "remaining", None, None, None, None), (40.5, "remaining", None, None, None, None)]
+        frame = spark.createDataFrame([(float(i), *r) for i, *r in rows], "selection_id double, kind string, start long, end long, n int, positions array<long>")
+        open_ = [i for i in range(500) if not answered[i]]
+        want, taken = [], set()
+        for i, kind, start, end, n, positions in sorted(rows, key=lambda r: r[0]):
+            got = {
+                "range": lambda: [p for p in open_ if start <= p <= end], "all": lambda: open_, "count": lambda: open_[: n or 0],
+                "indices": lambda: sorted({p for p in positions if 0 <= p < 500}), "remaining": lambda: [p for p in open_ if p not in taken],
+            }[kind]()
+            taken |= set(got)
+            want += [(float(i), p) for p in got]
+        assert sorted(map(tuple, L.resolve_selections(queue, frame).collect())) == sorted(want)
+    few = frame.filter("kind = 'range' AND selection_id < 3")
+    covered = {p for i, _, a, b, *_ in sel[:3] for p in range(a, b + 1)}
+    assert sorted(r.finding_id for r in L.unclaimed_items(queue, few).collect()) == [p for p in open_ if p not in covered]
 
 
 def test_csv_files_with_other_headers(spark):
