@@ -293,9 +293,68 @@ def top_vendors(queue: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
+PAGE_RANGES = 4096  # ranges counted in one pass
+PAGE_ROWS = 100_000  # rows sorted for a page, about; a page of more rows is sorted whole
+
+
+def _whole_number(df: DataFrame, column: str) -> Column | None:
+    """An order-preserving whole number of a column; None for kinds without one."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind == "timestamp":
+        return F.unix_micros(column)
+    if kind == "date":
+        return F.unix_date(column).cast("long")
+    return F.col(column).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else None
+
+
+def _narrowed(df: DataFrame, key: Column, offset: int, limit: int) -> tuple[Column, int, bool]:
+    """The range of ``key`` (falling) that holds the page, the rows before it, and whether one value fills the page's range.
+
+    The rows per range are counted, the ranges of the page are cut again, until they hold few rows or one value.
+    """
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    before = 0
+    while True:
+        width = (high - low) // PAGE_RANGES + 1
+        inside = df.filter(key.between(low, high))
+        counts = inside.groupBy(F.floor((key - low) / F.lit(width)).cast("long").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+        rows, first, last, held = 0, None, None, 0
+        for r, n in sorted(counts.collect(), reverse=True):
+            if first is None and before + rows + n > offset:
+                first, skipped = r, rows
+            rows += n
+            if first is not None:
+                last, held = r, rows - skipped
+                if before + rows >= offset + limit:
+                    break
+        if first is None:  # the page begins behind all values
+            return key < low, before + rows, False
+        before += skipped
+        low, high, old = low + last * width, min(high, low + (first + 1) * width - 1), (low, high)
+        if low == high or held <= max(PAGE_ROWS, 2 * limit) or (low, high) == old:
+            return key.between(low, high), before, low == high
+
+
 def newest_page(df: DataFrame, by: str, tie: str, offset: int, limit: int) -> DataFrame:
-    """One page of the newest rows first."""
-    return df.orderBy(F.col(by).desc(), F.col(tie).desc()).offset(offset).limit(limit)
+    """One page of the newest rows first; a deep page sorts no more than its own neighbourhood.
+
+    Whole numbers, dates and times are narrowed down by counting rows per range, so the rows before the page are
+    counted but never sorted; where one value of ``by`` holds the page, ``tie`` is narrowed as well.  Rows without
+    ``by`` come last.  Other kinds are sorted as a whole.
+    """
+    page = df.orderBy(F.col(by).desc(), F.col(tie).desc())
+    key = _whole_number(df, by)
+    if key is None or limit <= 0 or df.filter(key.isNotNull()).isEmpty():
+        return page.offset(offset).limit(limit)
+    inside, before, single = _narrowed(df.filter(key.isNotNull()), key, offset, limit)
+    second = _whole_number(df, tie)
+    if single and second is not None:
+        same = df.filter(inside & second.isNotNull())
+        # The page may end behind this value; then the rest of it is looked up as a page of its own.
+        if before + df.filter(inside).count() >= offset + limit and not same.isEmpty():
+            within, skipped, _ = _narrowed(same, second, offset - before, limit)
+            inside, before = inside & (within | second.isNull()), before + skipped
+    return page.filter(inside | key.isNull()).offset(offset - before).limit(limit)
 
 
 def message_counts(warnings: DataFrame, column: str = "message") -> DataFrame:

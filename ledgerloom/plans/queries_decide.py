@@ -195,6 +195,12 @@ def newest_page(spark, sf):
     return X.newest_page(table(spark, sf, "events"), "ts", "event_id", 50, 25).select("event_id", "user_id")
 
 
+@query("deep_page", "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 40 OFFSET (SELECT count(*) * 7 // 10 FROM events)")
+def deep_page(spark, sf):
+    events = table(spark, sf, "events")
+    return X.newest_page(events, "ts", "event_id", events.count() * 7 // 10, 40).select("event_id", "user_id")
+
+
 @query("warning_counts", "SELECT event_type AS message, count(*) AS times FROM events GROUP BY 1")
 def warning_counts(spark, sf):
     return X.message_counts(table(spark, sf, "events").select(F.col("event_type").alias("message")))

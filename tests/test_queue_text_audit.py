@@ -11,6 +11,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import audit as A
+from ledgerloom.operators import decisions as D
 from ledgerloom.operators import selections as L
 from ledgerloom.operators import text_fields as X
 from ledgerloom.operators.runs import gap_runs, list_runs, union_runs
@@ -336,3 +337,18 @@ def test_csv_files_with_other_headers(spark):
     with open(f"{d}/lines.csv", "w") as f:
         f.write('k,v\n1,"a\nb"\n2,c\n')
     assert sorted(tuple(r) for r in files.read_csv(spark, f"{d}/lines.csv", multi_line=True).select("k", "v").collect()) == [("1", "a\nb"), ("2", "c")]
+
+
+def test_pages_of_any_depth(spark, monkeypatch):
+    monkeypatch.setattr(D, "PAGE_RANGES", 5)
+    monkeypatch.setattr(D, "PAGE_ROWS", 4)
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 5, 5, 5, rnd.randrange(-50, 50)]), i if i % 9 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "at int, id long").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is None, -(r[1] or 0)))
+    for offset, limit in ((0, 5), (60, 7), (100, 3), (110, 60), (150, 100), (199, 5), (250, 5), (3, 0)):
+        got = [tuple(r) for r in D.newest_page(df, "at", "id", offset, limit).collect()]
+        assert got == order[offset : offset + limit], (offset, limit)
+    assert D.newest_page(df.limit(0), "at", "id", 3, 5).collect() == []
+    texts = df.select(F.col("at").cast("string").alias("at"), "id")
+    assert len(D.newest_page(texts, "at", "id", 10, 5).collect()) == 5
