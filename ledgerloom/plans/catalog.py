@@ -26,5 +26,5 @@ def query(name: str, oracle: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def load_all() -> None:
     from ledgerloom.plans import (  # noqa: F401
-        queries_cells, queries_clean, queries_decide, queries_events, queries_files, queries_match, queries_text,
+        queries_cells, queries_clean, queries_decide, queries_events, queries_files, queries_match, queries_stream, queries_text,
     )

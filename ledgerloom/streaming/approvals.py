@@ -77,6 +77,53 @@ def approval_stream(actions: DataFrame) -> DataFrame:
     )
 
 
+class TimedApprovalProcessor(StatefulProcessor):
+    """Holds the actions of an item until the watermark has passed them, then applies them in the order of their times."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.item = handle.getValueState("item", STATE)
+        self.held = handle.getMapState("held", "us long, action_id long", "action string, actor string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for chunk in rows:
+            for a, actor, i, t in zip(chunk["action"], chunk["actor"], chunk["action_id"], _micros(chunk["ts"])):
+                self.held.updateValue((int(t), int(i)), (a, actor))
+                self.handle.registerTimer(int(t) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        due = sorted((k, v) for k, v in self.held.iterator() if k[0] < until)
+        state = tuple(self.item.get()) if self.item.exists() else _START
+        out = []
+        for (us, number), (action, actor) in due:
+            state, outcome = act(state, action, actor, us)
+            out.append((key[0], number, action, actor, outcome, state[0]))
+            self.held.removeKey((us, number))
+        if due:
+            self.item.update(state)
+        yield pd.DataFrame(out, columns=["approval_id", "action_id", "action", "actor", "outcome", "status"])
+
+    def close(self) -> None:
+        pass
+
+
+def timed_approval_stream(actions: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Outcome per action in the order of the actions' times, however they arrive within ``delay``.
+
+    An action is answered once the watermark has passed it; what comes later than ``delay`` is dropped, as by any
+    watermark.  The answers are those of ``approval_outcomes`` over the same actions.  ``action_id`` tells actions of
+    one time apart.
+    """
+    return actions.withWatermark("ts", delay).groupBy("approval_id").transformWithStateInPandas(
+        statefulProcessor=TimedApprovalProcessor(),
+        outputStructType=OUTCOME,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
 def approval_outcomes(actions: DataFrame) -> DataFrame:
     """Batch twin: actions sorted per item by Spark, streamed through with one state at a time."""
     ordered = (

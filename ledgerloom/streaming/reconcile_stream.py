@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +12,9 @@ from ledgerloom.operators.cleaning import Step
 from ledgerloom.operators.duplicates import with_line_key
 from ledgerloom.plans.reconcile import Reconciliation, reconcile
 from ledgerloom.plans.steps import run_steps, step_name
+from ledgerloom.session import cut_lineage
+
+LINE_BUCKETS = 256  # parts the memory of all lines is kept in
 
 # Steps that look at one row at a time, so they run unchanged on a stream.
 ROW_STEPS = (
@@ -30,19 +33,41 @@ def clean_stream(stream: DataFrame, steps: list[Step]) -> DataFrame:
     return run_steps(stream, steps).df
 
 
-def earlier_repeats(batch: DataFrame, batch_id: int, seen: str, row_id: str = "_row_id") -> DataFrame:
+def seen_lines(spark: SparkSession, seen: str, buckets: list[int]) -> DataFrame:
+    """``line_key, bucket, batch`` of the lines kept in some buckets; no other bucket is listed or opened."""
+    return spark.read.option("basePath", seen).parquet(*[f"{seen}/bucket={b}" for b in buckets])
+
+
+def earlier_repeats(
+    batch: DataFrame, batch_id: int, seen: str, row_id: str = "_row_id", buckets: int = LINE_BUCKETS
+) -> DataFrame:
     """Lines of this batch that an earlier batch has brought: ``line_key, _row_id, first_batch``.
 
-    Line keys are kept as a table in the folder ``seen``, one part per batch; a
-    batch that is run again replaces its own part, so the result is the same.
+    Line keys are kept as a table in the folder ``seen``, dealt into buckets by their hash, with one part per bucket and
+    batch.  A batch reads the buckets its own lines fall into, however many batches came before; a batch that is run
+    again replaces its own parts, so the result is the same.
     """
     spark = batch.sparkSession
-    keys = with_line_key(batch).filter(F.col("_line_key").isNotNull()).select(
-        F.concat_ws("|", "_number_key", "_line_key").alias("line_key"), F.col(row_id).alias("_row_id")
+    key = F.concat_ws("|", "_number_key", "_line_key")
+    keys = cut_lineage(
+        with_line_key(batch)
+        .filter(F.col("_line_key").isNotNull())
+        .select(key.alias("line_key"), F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), F.col(row_id).alias("_row_id"))
+    )
+    touched = sorted(r.bucket for r in keys.select("bucket").distinct().collect())  # at most one row per bucket
+    if not touched:
+        return keys.select("line_key", "_row_id", F.lit(None).cast("int").alias("first_batch"))
+    (
+        keys.select("line_key", "bucket", F.lit(batch_id).alias("batch"))
+        .distinct()
+        .repartition("bucket")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket", "batch")
+        .parquet(seen)
     )
-    keys.write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
-    known = spark.read.parquet(seen).filter(F.col("batch") < batch_id).groupBy("line_key").agg(F.min("batch").alias("first_batch"))
-    return spark.read.parquet(f"{seen}/batch={batch_id}").join(known, "line_key").select("line_key", "_row_id", "first_batch")
+    known = seen_lines(spark, seen, touched).filter(F.col("batch") < batch_id).groupBy("line_key").agg(F.min("batch").alias("first_batch"))
+    return keys.join(known, "line_key").select("line_key", "_row_id", "first_batch")
 
 
 def reconcile_stream(

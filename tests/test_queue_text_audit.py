@@ -18,6 +18,7 @@ from ledgerloom.operators.runs import gap_runs, list_runs, union_runs
 from ledgerloom.sources import byte_ranges, files
 from ledgerloom.streaming import approvals as P
 from ledgerloom.streaming import events as E
+from ledgerloom.streaming import reconcile_stream as R
 from ledgerloom.streaming.reconcile_stream import clean_stream
 from ledgerloom.operators.cleaning import Step
 
@@ -352,3 +353,44 @@ def test_pages_of_any_depth(spark, monkeypatch):
     assert D.newest_page(df.limit(0), "at", "id", 3, 5).collect() == []
     texts = df.select(F.col("at").cast("string").alias("at"), "id")
     assert len(D.newest_page(texts, "at", "id", 10, 5).collect()) == 5
+
+
+def test_line_memory_reads_touched_buckets_only(spark):
+    d = folder()
+    schema = "_row_id long, invoice_number string, amount string"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    first = [(i, f"N{i}", "5") for i in range(200)]
+    assert R.earlier_repeats(frame(first), 0, f"{d}/seen", buckets=64).count() == 0
+    again = [(900, "N7", "5"), (901, "N7", "6"), (902, None, "5"), (903, "N900", "1")]
+    for _ in range(2):  # a batch run again gives the same
+        got = R.earlier_repeats(frame(again), 1, f"{d}/seen", buckets=64).collect()
+        assert [(r._row_id, r.first_batch) for r in got] == [(900, 0)]
+    assert R.earlier_repeats(frame([(1, None, "x")]), 2, f"{d}/seen", buckets=64).count() == 0
+    touched = os.listdir(f"{d}/seen")
+    assert len([t for t in touched if t.startswith("bucket=")]) > 50
+    two = R.seen_lines(spark, f"{d}/seen", [int(t.split("=")[1]) for t in touched if t.startswith("bucket=")][:2])
+    assert len({os.path.dirname(os.path.dirname(f)) for f in two.inputFiles()}) == 2
+
+
+def test_timed_approvals_equal_the_twin_in_any_order(spark):
+    rnd = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [
+        (rnd.randrange(3), i, t0 + dt.timedelta(seconds=7 * i + rnd.randrange(3)), rnd.choice(["lock", "renew", "release", "approve", "reject", "odd"]), rnd.choice(["ann", "bob"]))
+        for i in range(90)
+    ]
+    late = [(r[0] + 3, r[1] + 100, *r[2:]) for r in rows if r[3] not in ("approve", "reject")]
+    schema = "approval_id long, action_id long, ts timestamp, action string, actor string"
+    rows += late
+    shuffled = sorted(rows, key=lambda r: r[2] + dt.timedelta(seconds=rnd.randrange(100)))
+    end = [(99, 9999, t0 + dt.timedelta(days=1), "lock", "ann")]
+    d = folder()
+    for at in range(0, len(shuffled), 30):
+        spark.createDataFrame(shuffled[at : at + 30], schema).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    spark.createDataFrame(end, schema).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in")
+    P.timed_approval_stream(stream).writeStream.option("checkpointLocation", f"{d}/cp").trigger(availableNow=True).start(
+        f"{d}/out", format="parquet"
+    ).awaitTermination(400)
+    got = sorted(map(tuple, spark.read.parquet(f"{d}/out").collect()))
+    assert got == sorted(map(tuple, P.approval_outcomes(spark.createDataFrame(rows, schema)).collect()))
