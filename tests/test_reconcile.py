@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import decisions as X
@@ -61,23 +63,47 @@ def lcs(a, b):
     return row[-1]
 
 
-def test_fuzzy_names_against_brute_force(spark):
+@pytest.mark.parametrize("strict", [False, True])
+def test_fuzzy_names_against_brute_force(spark, strict):
     rnd = random.Random(5)
     words = ["Acme", "Acmee", "Boreal", "Trading", "Tradng", "Metals", "North", "Ltd", "Inc", "Supply 001", "Supply 002"]
     name = lambda: " ".join(rnd.sample(words, rnd.randrange(1, 4)))
     po_names = [name() for _ in range(60)]
     asked = sorted({name() for _ in range(60)} | {"Zzyzx Ltd", "Boreall Metals"})
     po = spark.createDataFrame([(i, "", n, "1", "USD") for i, n in enumerate(po_names)], PO)
-    got = {r.vendor_name: r.po.row_id for r in M.fuzzy_vendor_names(spark.createDataFrame([(n,) for n in asked], "vendor_name string"), po).collect()}
+    got = {r.vendor_name: r.po.row_id for r in M.fuzzy_vendor_names(spark.createDataFrame([(n,) for n in asked], "vendor_name string"), po, strict_reference=strict).collect()}
     key = {n: k for n, k in zip(*[[r[i] for r in spark.createDataFrame([(n,) for n in {*po_names, *asked}], "n string").select("n", M.vendor_key_a("n")).collect()] for i in (0, 1)])}
     sort = lambda n: " ".join(sorted(n.split()))
     for n in asked:
-        block = [i for i, p in enumerate(po_names) if key[p][:3] == key[n][:3]] or range(len(po_names))
+        block = range(len(po_names))
+        if strict:
+            block = [i for i in block if key[po_names[i]][:3] == key[n][:3]] or block
         score = lambda i: 200 * lcs(sort(n), sort(po_names[i])) / (len(sort(n)) + len(sort(po_names[i])))
         best = max(block, key=lambda i: (score(i), -i))
         assert got.get(n) == (best if score(best) >= 85 else None), n
 
 
+def test_similar_names_find_every_pair(spark):
+    """Short and long texts, repeated characters, percentages down to where no pair of characters need be common."""
+    rnd = random.Random(11)
+
+    def spoilt(t):
+        t = list(t)
+        for _ in range(rnd.randrange(6)):
+            at = rnd.randrange(len(t) + 1)
+            t[at : at + rnd.randrange(2)] = rnd.choice(["", "x", "a", "é"])
+        return "".join(t)
+
+    base = ["".join(rnd.choice("ab c") for _ in range(rnd.randrange(1, 14))) for _ in range(40)] + ["q" * 90, "abc " * 20, "z"]
+    left, right = sorted({spoilt(b) for b in base} - {""}), sorted({spoilt(b) for b in base} | set(base))
+    frame = lambda names: spark.createDataFrame([("", n) for n in names], "block string, name string")
+    for percent in (94, 85, 60, 30):
+        got = {(r.l_name, r.r_name): r.score for r in M.similar_names(frame(left), frame(right), percent).collect()}
+        scores = {(a, b): 200 * lcs(a, b) / (len(a) + len(b)) for a in left for b in right if b}
+        want = {k: v for k, v in scores.items() if 200 * lcs(*k) >= percent * (len(k[0]) + len(k[1]))}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), percent
+
+
 def test_vendor_amount_prefers_smallest_share(spark):
     inv = spark.createDataFrame([(1, "a", "ACME Ltd", "", "100", "USD", None), (2, "b", "Acme", "", "100", "", None), (3, "c", "Acme", "", "103", "USD", None)], INV)
     po = spark.createDataFrame([(1, "X", "Acme, Inc", "101", "USD"), (2, "Y", "acme", "99.5", "EUR"), (3, "Z", "acme", "98.5", "")], PO)
