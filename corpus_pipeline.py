@@ -44,7 +44,7 @@ STAGES = [
     ("mixing to target weights", mix), ("best-fit packing", packs),
 ]
 
-#: SQL expresses neither the classifier nor the packing; tests hold both against plain versions.
+#: SQL expresses neither the classifier nor the packing; tests hold the stages' operators, one by one, against plain versions.
 ORACLE_SQL = None
 
 
