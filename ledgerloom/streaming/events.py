@@ -9,11 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MEMORY_HOURS = 24
+STRETCH = 8
 MAX_AGE_SECONDS, MAX_AHEAD_SECONDS = 300, 30
 
 # Requests allowed per window, by kind of request.
@@ -34,44 +37,152 @@ def drop_repeats(stream: DataFrame, event_id: str = "event_id", ts: str = "ts",
     return stream.withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark([event_id])
 
 
-def first_sightings(events: DataFrame, event_id: str = "event_id", ts: str = "ts", hours: int = MEMORY_HOURS) -> DataFrame:
+def first_sightings(
+    events: DataFrame, event_id: str = "event_id", ts: str = "ts", hours: int = MEMORY_HOURS, stretch: int = STRETCH
+) -> DataFrame:
     """Batch twin: (id, time) of the events kept.
 
     An event is kept when its id was not kept within the ``hours`` before; a
     repeat does not renew the memory.  Equal (id, time) rows are merged before the
-    shuffle.  The times of a task arrive sorted and are streamed through in
-    batches with one carried time per id, so an id of any size needs constant
-    memory.
+    shuffle.  An id's times are cut into stretches of ``stretch`` times the
+    memory, and each (id, stretch) is walked apart, so an id that holds much of
+    the table is spread over tasks, gaps or none:
+
+    1. What a stretch does to the memory it is entered with is a step function:
+       only its first ``hours`` can be inside that memory, and walks that meet in
+       one event go on as one.  A stretch gives one row per step.
+    2. Per id these rows, at most one per event of a stretch's first ``hours``,
+       are streamed through in order and say which memory enters each stretch.
+    3. Each stretch is walked from there.
+
+    A task holds the times of one (id, stretch), eight bytes each.  Rows without
+    an id are one id; those without a time are not kept.  Empty in, empty out.
     """
-    span = np.timedelta64(hours, "h")
-    times = events.select(event_id, ts).distinct()
-    ordered = times.repartition(event_id).sortWithinPartitions(event_id, ts)
-    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_id, last_kept = None, None
+    span = hours * 3_600_000_000
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    times = (
+        events.filter(F.col(ts).isNotNull())
+        .select(F.col(event_id).alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+        .distinct()
+        .withColumn("stretch", F.expr(f"(us - pmod(us, {span * stretch})) div {span * stretch}"))
+    )
+    walked = "id {0}, stretch long, {1}".format(kinds[event_id], "{}")
+    steps = times.select("id", "stretch", "us").repartition("id", "stretch").sortWithinPartitions("id", "stretch", "us")
+    steps = steps.mapInArrow(_by_group(["id", "stretch"], lambda group: _steps(group, span)), walked.format("upto long, left long"))
+    entered = steps.repartition("id").sortWithinPartitions("id", "stretch", "upto")
+    entered = entered.mapInArrow(_carried(span), walked.format("us long"))
+    # The memory comes first in its stretch: it is told from a time by its kind.
+    both = times.select("id", "stretch", F.lit(1).alias("kind"), "us").unionByName(entered.withColumn("kind", F.lit(0)))
+    both = both.repartition("id", "stretch").sortWithinPartitions("id", "stretch", "kind", "us")
+    kept = both.mapInArrow(_by_group(["id", "stretch"], lambda group: _walk(group, span)), walked.format("us long"))
+    return kept.select(F.col("id").alias(event_id), F.timestamp_micros("us").cast(kinds[ts]).alias(ts))
+
+
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
+    """The runs of equal ``keys`` in a sorted batch: keys, first row, rows."""
+    n = batch.num_rows
+    if n == 0:
+        return
+    new = np.zeros(n, bool)
+    for key in keys:
+        code = pc.fill_null(pc.dictionary_encode(batch.column(key)).indices, -1).to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    starts = np.append(0, np.flatnonzero(new))
+    for start, end in zip(starts, np.append(starts[1:], n)):
+        yield tuple(batch.column(key)[int(start)].as_py() for key in keys), int(start), batch.slice(start, end - start)
+
+
+def _by_group(keys: list[str], work):
+    """A task over batches sorted by ``keys``: ``work`` gets one group at a time, as arrays, and answers with arrays."""
+
+    def finished(key: tuple, parts: list[pa.RecordBatch]) -> dict:
+        own = {c: np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in parts[0].schema.names if c not in keys}
+        return {"key": key, **work(own)}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, done, kind = None, [], [], None
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            for found, _, run in _runs(batch, keys):
+                if parts and found != key:
+                    done.append(finished(key, parts))
+                    parts = []
+                key = found
+                parts.append(run)
+            if done:
+                yield _columns(keys, done, kind)
+                done = []
+        if parts:
+            yield _columns(keys, [finished(key, parts)], kind)
+
+    return task
+
+
+def _columns(keys: list[str], groups: list[dict], kind: pa.DataType) -> pa.RecordBatch:
+    names = [c for c in groups[0] if c != "key"]
+    counts = np.array([len(g[names[0]]) for g in groups])
+    at = pa.array(np.repeat(np.arange(len(groups)), counts))
+    of_key = [pa.array([g["key"][i] for g in groups], kind if name == "id" else pa.int64()).take(at) for i, name in enumerate(keys)]
+    values = [pa.array(np.concatenate([g[c] for g in groups]).astype(np.int64)) for c in names]
+    return pa.RecordBatch.from_arrays([*of_key, *values], names=[*keys, *names])
+
+
+def _steps(group: dict, span: int) -> dict:
+    """A stretch as a step function: entered with a memory that ends before ``upto``, it is left with the event ``left``.
+
+    Each walk starts at a time of the first ``span``, or at the first time after it; all go on side by side.
+    """
+    at = group["us"]
+    first = np.arange(min(int(np.searchsorted(at, at[0] + span, side="right")) + 1, len(at)))
+    place = first.copy()
+    going = np.arange(len(first))
+    while len(going):
+        ahead = np.searchsorted(at, at[place[going]] + span, side="right")
+        going, ahead = going[ahead < len(at)], ahead[ahead < len(at)]
+        place[going] = ahead
+    # Walks that end in the same event are one step; its largest start bounds it.
+    last = np.append(place[1:] != place[:-1], True)
+    return {"upto": at[first[last]], "left": at[place[last]]}
+
+
+def _carried(span: int):
+    """A task over step rows in the order of an id: the memory's end with which each stretch is entered."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, memory, seen, settled = object(), None, None, None
         for batch in batches:
-            ids = batch[event_id].to_numpy()
-            at = batch[ts].to_numpy(dtype="datetime64[us]")
-            change = np.flatnonzero(ids[1:] != ids[:-1]) + 1 if len(ids) else []
-            starts = np.concatenate(([0], change)).astype(int) if len(ids) else []
-            ends = np.append(starts[1:], len(ids)) if len(ids) else []
             rows: list[int] = []
-            for s, e in zip(starts, ends):
-                run = at[s:e]
-                if ids[s] == last_id and last_kept is not None:
-                    i = int(np.searchsorted(run, last_kept + span, side="right"))
-                else:
-                    i = 0
-                while i < len(run):
-                    rows.append(int(s) + i)
-                    last_kept = run[i]
-                    i = int(np.searchsorted(run, last_kept + span, side="right"))
-                if ids[s] != last_id:
-                    last_id = ids[s]
-            yield batch.iloc[rows]
-
-    return ordered.mapInPandas(keep, ", ".join(f"`{c}` {kinds[c]}" for c in (event_id, ts)))
+            ends: list[int] = []
+            for (of, stretch), start, run in _runs(batch, ["id", "stretch"]):
+                if of != now:
+                    now, memory, seen, settled = of, None, None, None
+                if seen != stretch and memory is not None:
+                    rows.append(start)
+                    ends.append(memory)
+                seen = stretch
+                upto = run.column("upto").to_numpy()
+                i = 0 if memory is None else int(np.searchsorted(upto, memory, side="right"))
+                # A stretch's steps may go on in the next batch; with none left, the memory outlasts the stretch.
+                if settled != stretch and i < len(upto):
+                    memory, settled = run.column("left")[i].as_py() + span, stretch
+            picked = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [picked.column("id"), picked.column("stretch"), pa.array(ends, pa.int64())], names=["id", "stretch", "us"]
+            )
+
+    return task
+
+
+def _walk(group: dict, span: int) -> dict:
+    """The times kept in a stretch, from the memory it is entered with, if any."""
+    at = group["us"][group["kind"] == 1]
+    memory = group["us"][group["kind"] == 0]
+    i = int(np.searchsorted(at, memory[0], side="right")) if len(memory) else 0
+    kept: list[int] = []
+    while i < len(at):
+        kept.append(int(at[i]))
+        i = int(np.searchsorted(at, at[i] + span, side="right"))
+    return {"us": np.array(kept, np.int64)}
 
 
 # --- age --------------------------------------------------------------------

@@ -179,6 +179,53 @@ def test_first_sightings_are_greedy(spark):
     assert got == [("a", at(0)), ("a", at(25)), ("a", at(60)), ("b", at(3))]
 
 
+def _kept(times, span):
+    out, last = [], None
+    for t in sorted(set(times)):
+        if last is None or t > last + span:
+            out.append(t)
+            last = t
+    return out
+
+
+def test_first_sightings_of_a_hot_id_in_stretches(spark):
+    """Dense, sparse, regular and repeated times, before 1970 too, equal the plain walk, in stretches of any length."""
+    rnd = random.Random(11)
+    hour = dt.timedelta(hours=1)
+    start = dt.datetime(1969, 12, 1)
+    times = {
+        "hot": [start + hour * rnd.uniform(0, 24 * 90) for _ in range(6000)],
+        "regular": [start + hour * 24 * i for i in range(200)] + [start + hour * 12 * i for i in range(300)],
+        "sparse": [start + hour * rnd.uniform(0, 24 * 2000) for _ in range(80)],
+        "burst": [start + hour * 24 * 8 * k + hour * rnd.uniform(-1, 1) for k in range(12) for _ in range(5)],
+        None: [start + hour * rnd.uniform(0, 24 * 40) for _ in range(50)],
+    }
+    rows = [(i, t) for i, own in times.items() for t in own] * 2 + [("hot", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "event_id string, ts timestamp")
+    want = sorted(((i, t) for i, own in times.items() for t in _kept(own, hour * 24)), key=repr)
+    for stretch in (1, 2, 8):
+        got = sorted(map(tuple, E.first_sightings(df, stretch=stretch).collect()), key=repr)
+        assert got == want, stretch
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups and steps that go on over batches
+    try:
+        assert sorted(map(tuple, E.first_sightings(df, stretch=3).collect()), key=repr) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert E.first_sightings(df.limit(0)).count() == 0
+
+
+def test_steps_of_a_stretch():
+    """A hot stretch is told by few steps where its walks meet, and its tasks get an equal share of the times."""
+    import numpy as np
+
+    at = np.unique(np.random.default_rng(3).integers(0, 8_000, 3_000))
+    steps = E._steps({"us": at}, 1_000)
+    for memory in range(-1, 1_000, 7):
+        kept = E._walk({"us": np.append(memory, at), "kind": np.append(0, np.ones(len(at), int))}, 1_000)["us"]
+        assert steps["left"][np.searchsorted(steps["upto"], memory, side="right")] == kept[-1]
+    assert len(steps["upto"]) < 400
+
+
 def _stream(spark, df, parts):
     d = folder()
     for i, p in enumerate(parts):
