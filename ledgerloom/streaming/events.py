@@ -55,7 +55,7 @@ def first_sightings(
        are streamed through in order and say which memory enters each stretch.
     3. Each stretch is walked from there.
 
-    A task holds the times of one (id, stretch), eight bytes each.  Rows without
+    A task holds the times of one (id, stretch), or of a batch of short ones.  Rows without
     an id are one id; those without a time are not kept.  Empty in, empty out.
     """
     span = hours * 3_600_000_000
@@ -66,123 +66,137 @@ def first_sightings(
         .distinct()
         .withColumn("stretch", F.expr(f"(us - pmod(us, {span * stretch})) div {span * stretch}"))
     )
-    walked = "id {0}, stretch long, {1}".format(kinds[event_id], "{}")
+    walked = f"id {kinds[event_id]}, stretch long, "
     steps = times.select("id", "stretch", "us").repartition("id", "stretch").sortWithinPartitions("id", "stretch", "us")
-    steps = steps.mapInArrow(_by_group(["id", "stretch"], lambda group: _steps(group, span)), walked.format("upto long, left long"))
+    steps = steps.mapInArrow(lambda batches: map(lambda b: _steps(b, span), _whole_groups(batches)), walked + "upto long, left long")
     entered = steps.repartition("id").sortWithinPartitions("id", "stretch", "upto")
-    entered = entered.mapInArrow(_carried(span), walked.format("us long"))
+    entered = entered.mapInArrow(lambda batches: _carried(batches, span, span * stretch), walked + "us long")
     # The memory comes first in its stretch: it is told from a time by its kind.
     both = times.select("id", "stretch", F.lit(1).alias("kind"), "us").unionByName(entered.withColumn("kind", F.lit(0)))
     both = both.repartition("id", "stretch").sortWithinPartitions("id", "stretch", "kind", "us")
-    kept = both.mapInArrow(_by_group(["id", "stretch"], lambda group: _walk(group, span)), walked.format("us long"))
+    kept = both.mapInArrow(lambda batches: map(lambda b: _walk(b, span), _whole_groups(batches)), walked + "us long")
     return kept.select(F.col("id").alias(event_id), F.timestamp_micros("us").cast(kinds[ts]).alias(ts))
 
 
-def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
-    """The runs of equal ``keys`` in a sorted batch: keys, first row, rows."""
-    n = batch.num_rows
-    if n == 0:
-        return
-    new = np.zeros(n, bool)
-    for key in keys:
-        code = pc.fill_null(pc.dictionary_encode(batch.column(key)).indices, -1).to_numpy(zero_copy_only=False)
-        new[1:] |= code[1:] != code[:-1]
-    starts = np.append(0, np.flatnonzero(new))
-    for start, end in zip(starts, np.append(starts[1:], n)):
-        yield tuple(batch.column(key)[int(start)].as_py() for key in keys), int(start), batch.slice(start, end - start)
-
-
-def _by_group(keys: list[str], work):
-    """A task over batches sorted by ``keys``: ``work`` gets one group at a time, as arrays, and answers with arrays."""
-
-    def finished(key: tuple, parts: list[pa.RecordBatch]) -> dict:
-        own = {c: np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in parts[0].schema.names if c not in keys}
-        return {"key": key, **work(own)}
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, done, kind = None, [], [], None
-        for batch in batches:
-            kind = batch.schema.field("id").type
-            for found, _, run in _runs(batch, keys):
-                if parts and found != key:
-                    done.append(finished(key, parts))
-                    parts = []
-                key = found
-                parts.append(run)
-            if done:
-                yield _columns(keys, done, kind)
-                done = []
-        if parts:
-            yield _columns(keys, [finished(key, parts)], kind)
-
-    return task
-
-
-def _columns(keys: list[str], groups: list[dict], kind: pa.DataType) -> pa.RecordBatch:
-    names = [c for c in groups[0] if c != "key"]
-    counts = np.array([len(g[names[0]]) for g in groups])
-    at = pa.array(np.repeat(np.arange(len(groups)), counts))
-    of_key = [pa.array([g["key"][i] for g in groups], kind if name == "id" else pa.int64()).take(at) for i, name in enumerate(keys)]
-    values = [pa.array(np.concatenate([g[c] for g in groups]).astype(np.int64)) for c in names]
-    return pa.RecordBatch.from_arrays([*of_key, *values], names=[*keys, *names])
-
-
-def _steps(group: dict, span: int) -> dict:
-    """A stretch as a step function: entered with a memory that ends before ``upto``, it is left with the event ``left``.
-
-    Each walk starts at a time of the first ``span``, or at the first time after it; all go on side by side.
+def _starts(batch: pa.RecordBatch, keys: tuple[str, ...] = ("id", "stretch")) -> np.ndarray:
+    """Where a row of a sorted batch differs from the one before in its keys; the first does."""
+    new = np.ones(batch.num_rows, bool)
+    codes = [pc.fill_null(pc.dictionary_encode(batch.column(k)).indices, -1).to_numpy(zero_copy_only=False) for k in keys]
+    new[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+    return new
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by id and stretch, cut anew so that none ends inside a group."""
+    joined = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    last_key = lambda batch, i: (batch.column("id")[i].as_py(), batch.column("stretch")[i].as_py())
+    pending: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        last = int(np.flatnonzero(_starts(batch))[-1])
+        if last == 0 and pending and last_key(pending[-1], pending[-1].num_rows - 1) == last_key(batch, 0):
+            pending.append(batch)
+            continue
+        if last or pending:
+            yield joined([*pending, batch.slice(0, last)])
+        pending = [batch.slice(last)]
+    if pending:
+        yield joined(pending)
+
+
+def _placed(batch: pa.RecordBatch, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times of all groups on one axis, more than ``span`` apart from group to group; group of each row; what was added."""
+    us = batch.column("us").to_numpy()
+    starts = _starts(batch)
+    group = np.cumsum(starts) - 1
+    low = np.minimum.reduceat(us, np.flatnonzero(starts))
+    high = np.maximum.reduceat(us, np.flatnonzero(starts))
+    ends = np.cumsum(high - low + 2 * span)
+    shift = (np.append(0, ends[:-1]) - low)[group]
+    return us + shift, group, shift
+
+
+def _steps(batch: pa.RecordBatch, span: int) -> pa.RecordBatch:
+    """Stretches as step functions: entered with a memory that ends before ``upto``, one is left with the event ``left``.
+
+    Each walk starts at a time of a stretch's first ``span``, or at the first time after it; all go on side by side.
     """
-    at = group["us"]
-    first = np.arange(min(int(np.searchsorted(at, at[0] + span, side="right")) + 1, len(at)))
-    place = first.copy()
-    going = np.arange(len(first))
+    at, group, shift = _placed(batch, span)
+    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    before = np.append(at[0], at[:-1])
+    first = np.flatnonzero((before - at[begins][group] <= span) | (np.arange(len(at)) == begins[group]))
+    place, going = first.copy(), np.arange(len(first))
     while len(going):
         ahead = np.searchsorted(at, at[place[going]] + span, side="right")
-        going, ahead = going[ahead < len(at)], ahead[ahead < len(at)]
+        goes = ahead < len(at)
+        goes[goes] = group[ahead[goes]] == group[place[going[goes]]]
+        going, ahead = going[goes], ahead[goes]
         place[going] = ahead
     # Walks that end in the same event are one step; its largest start bounds it.
     last = np.append(place[1:] != place[:-1], True)
-    return {"upto": at[first[last]], "left": at[place[last]]}
-
-
-def _carried(span: int):
-    """A task over step rows in the order of an id: the memory's end with which each stretch is entered."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, memory, seen, settled = object(), None, None, None
-        for batch in batches:
-            rows: list[int] = []
-            ends: list[int] = []
-            for (of, stretch), start, run in _runs(batch, ["id", "stretch"]):
-                if of != now:
-                    now, memory, seen, settled = of, None, None, None
-                if seen != stretch and memory is not None:
-                    rows.append(start)
-                    ends.append(memory)
-                seen = stretch
-                upto = run.column("upto").to_numpy()
-                i = 0 if memory is None else int(np.searchsorted(upto, memory, side="right"))
-                # A stretch's steps may go on in the next batch; with none left, the memory outlasts the stretch.
-                if settled != stretch and i < len(upto):
-                    memory, settled = run.column("left")[i].as_py() + span, stretch
-            picked = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [picked.column("id"), picked.column("stretch"), pa.array(ends, pa.int64())], names=["id", "stretch", "us"]
-            )
-
-    return task
-
-
-def _walk(group: dict, span: int) -> dict:
-    """The times kept in a stretch, from the memory it is entered with, if any."""
-    at = group["us"][group["kind"] == 1]
-    memory = group["us"][group["kind"] == 0]
-    i = int(np.searchsorted(at, memory[0], side="right")) if len(memory) else 0
-    kept: list[int] = []
-    while i < len(at):
-        kept.append(int(at[i]))
-        i = int(np.searchsorted(at, at[i] + span, side="right"))
-    return {"us": np.array(kept, np.int64)}
+    first, place = first[last], place[last]
+    rows = batch.take(pa.array(first))
+    return pa.RecordBatch.from_arrays(
+        [rows.column("id"), rows.column("stretch"), rows.column("us"), pa.array(at[place] - shift[place])], names=["id", "stretch", "upto", "left"]
+    )
+
+
+def _carried(batches: Iterator[pa.RecordBatch], span: int, length: int) -> Iterator[pa.RecordBatch]:
+    """From step rows in the order of an id: the memory's end with which a stretch is entered, where it reaches into it."""
+    last_id, memory, seen, settled = object(), None, None, None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        begins = np.flatnonzero(_starts(batch))
+        of_id = np.cumsum(_starts(batch, ("id",)))[begins].tolist()
+        stretches = batch.column("stretch").to_numpy()[begins].tolist()
+        upto, left = batch.column("upto").to_numpy(), batch.column("left").to_numpy()
+        ends = np.append(begins[1:], batch.num_rows).tolist()
+        now = of_id[0] if batch.column("id")[0].as_py() == last_id else None
+        rows: list[int] = []
+        memories: list[int] = []
+        for own, stretch, start, end in zip(of_id, stretches, begins.tolist(), ends):
+            if own != now:
+                now, memory, seen, settled = own, None, None, None
+            if seen != stretch and memory is not None and memory >= stretch * length:
+                rows.append(start)
+                memories.append(memory)
+            seen = stretch
+            # A stretch's steps may go on in the next batch; with none left, the memory outlasts the stretch.
+            if settled != stretch:
+                i = start if memory is None else start + int(np.searchsorted(upto[start:end], memory, side="right"))
+                if i < end:
+                    memory, settled = int(left[i]) + span, stretch
+        last_id = batch.column("id")[batch.num_rows - 1].as_py()
+        picked = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [picked.column("id"), picked.column("stretch"), pa.array(memories, pa.int64())], names=["id", "stretch", "us"]
+        )
+
+
+def _walk(batch: pa.RecordBatch, span: int) -> pa.RecordBatch:
+    """The times kept in each stretch, from the memory it is entered with, if any."""
+    at, group, _ = _placed(batch, span)
+    is_time = batch.column("kind").to_numpy() == 1
+    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    rows = np.flatnonzero(is_time)
+    times, of = at[rows], group[rows]
+    place = np.where(is_time[begins], np.searchsorted(rows, begins), 0)
+    entered = ~is_time[begins]
+    lows = np.searchsorted(of, np.flatnonzero(entered), side="left")
+    highs = np.searchsorted(of, np.flatnonzero(entered), side="right")
+    place[entered] = [lo + int(np.searchsorted(times[lo:hi], m, side="right")) for lo, hi, m in zip(lows, highs, at[begins[entered]])]
+    wanted = np.arange(len(begins))
+    kept = []
+    while len(place):
+        goes = place < len(times)
+        goes[goes] = of[place[goes]] == wanted[goes]
+        place, wanted = place[goes], wanted[goes]
+        kept.append(place)
+        place = np.searchsorted(times, times[place] + span, side="right") if len(place) else place
+    found = np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+    return batch.take(pa.array(rows[found])).select(["id", "stretch", "us"])
 
 
 # --- age --------------------------------------------------------------------
@@ -280,19 +294,47 @@ class SubscriptionProcessor(StatefulProcessor):
     A field is overwritten only by a later event (time, then event id), so events
     may arrive in any order, in one batch or in several, and the record is that
     of ``subscription_state`` over all of them.  Rows are read chunk by chunk.
+
+    With ``idle_us`` a user's record is forgotten once the watermark is that far
+    behind the user's newest event: one timer per user, moved with each batch that
+    brings a newer event.
     """
 
+    def __init__(self, idle_us: int | None = None) -> None:
+        self.idle_us = idle_us
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         times = ", ".join(f"{f}_us long, {f}_id long" for f in _FIELDS)
+        self.handle = handle
         self.record = handle.getValueState("record", f"{SUBSCRIPTION_STATE}, {times}")
+        if self.idle_us is not None:
+            self.newest = handle.getValueState("newest", "us long, timer_ms long")
+
+    def _move_timer(self, newest: int, watermark_ms: int) -> None:
+        known = self.newest.get() if self.newest.exists() else None
+        if known is not None and known[0] >= newest:
+            return
+        if known is not None:
+            self.handle.deleteTimer(known[1])
+        # Rounded up, and never behind the watermark, where a timer would not fire.
+        timer = max(-(-(newest + self.idle_us) // 1000), watermark_ms + 1)
+        self.handle.registerTimer(timer)
+        self.newest.update((newest, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.record.clear()
+        self.newest.clear()
+        return iter(())
 
     def handleInputRows(self, key, rows, timerValues):
         kept = self.record.get() if self.record.exists() else None
         n = len(_FIELDS)
         record = list(kept[:n]) if kept else [None] * n
         since = [(kept[n + 2 * i], kept[n + 2 * i + 1]) for i in range(n)] if kept else [(None, None)] * n
+        newest = None
         for chunk in rows:
             times = chunk["ts"].astype("datetime64[us]").astype("int64")
+            newest = max(times) if newest is None else max(newest, max(times))
             for e, us in zip(chunk.itertuples(index=False), times):
                 value = lambda name: None if pd.isna(getattr(e, name)) else getattr(e, name)
                 at = (int(us), int(e.event_id))
@@ -300,6 +342,8 @@ class SubscriptionProcessor(StatefulProcessor):
                     if new is not _KEEP and (since[i][0] is None or at > since[i]):
                         record[i], since[i] = new, at
         self.record.update((*record, *[x for at in since for x in at]))
+        if self.idle_us is not None:
+            self._move_timer(int(newest), timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame({"user_id": [key[0]], **{f: [v] for f, v in zip(_FIELDS, record)}})
 
     def close(self) -> None:
@@ -327,11 +371,20 @@ def _fields_set(kind: str, value) -> list[tuple]:
     return list(out.items())
 
 
-def subscription_stream(stream: DataFrame) -> DataFrame:
-    """Records per user as the stream goes on (needs the RocksDB state store)."""
-    return stream.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=SubscriptionProcessor(),
+def subscription_stream(stream: DataFrame, idle: str | None = None, late: str = "1 day") -> DataFrame:
+    """Records per user as the stream goes on (needs the RocksDB state store).
+
+    Without ``idle`` every user's record is kept for good.  With it (``"400 days"``)
+    a user without events for that long is forgotten, so the state holds the users of
+    the last ``idle`` + ``late`` only: the last record in the sink stands, and a user
+    who comes back starts from an empty one.  Events more than ``late`` behind the
+    newest are then dropped, as a watermark does.
+    """
+    us = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1_000_000)
+    timed = stream if idle is None else stream.withWatermark("ts", late)
+    return timed.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=SubscriptionProcessor(us),
         outputStructType=f"user_id long, {SUBSCRIPTION_STATE}",
         outputMode="Update",
-        timeMode="None",
+        timeMode="None" if idle is None else "EventTime",
     )

@@ -217,13 +217,16 @@ def test_first_sightings_of_a_hot_id_in_stretches(spark):
 def test_steps_of_a_stretch():
     """A hot stretch is told by few steps where its walks meet, and its tasks get an equal share of the times."""
     import numpy as np
+    import pyarrow as pa
 
     at = np.unique(np.random.default_rng(3).integers(0, 8_000, 3_000))
-    steps = E._steps({"us": at}, 1_000)
+    batch = lambda **columns: pa.RecordBatch.from_pydict({"id": [1] * len(columns["us"]), "stretch": [0] * len(columns["us"]), **columns})
+    steps = E._steps(batch(us=at), 1_000)
     for memory in range(-1, 1_000, 7):
-        kept = E._walk({"us": np.append(memory, at), "kind": np.append(0, np.ones(len(at), int))}, 1_000)["us"]
-        assert steps["left"][np.searchsorted(steps["upto"], memory, side="right")] == kept[-1]
-    assert len(steps["upto"]) < 400
+        kept = E._walk(batch(kind=[0] + [1] * len(at), us=np.append(memory, at)), 1_000).column("us")
+        step = np.searchsorted(steps.column("upto").to_numpy(), memory, side="right")
+        assert steps.column("left")[step] == kept[len(kept) - 1]
+    assert steps.num_rows < 400
 
 
 def _stream(spark, df, parts):
@@ -297,6 +300,33 @@ def test_subscription_stream_out_of_order(spark):
     assert {tuple(r) for r in want} <= {tuple(r) for r in seen.collect()}
 
 
+def test_subscription_stream_forgets_idle_users(spark):
+    """The state holds the users of the last ``idle`` only; one who comes back starts anew, one who stays keeps all fields."""
+    event = lambda i, user, hours, kind, plan: (i, user, at(hours), kind, plan, "active", f"r{i}", f"s{i}", None)
+    day = 24
+    batches = [
+        [event(i, i, 0, "subscription.activated", "p") for i in range(40)],
+        *[[event(100 + d, 0, d * day, "subscription.updated", None), event(200 + d, 200 + d, d * day, "subscription.activated", "q")] for d in range(5, 60, 5)],
+        [event(300, 7, 60 * day, "subscription.updated", None)],
+    ]
+    schema = "event_id long, user_id long, ts timestamp, event_type string, plan string, status string, renews_at string, subscription_id string, canceled_at string"
+    d = folder()
+    out: list = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{d}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{d}/in")
+        q = (
+            E.subscription_stream(stream, idle="10 days", late="1 hour").writeStream.outputMode("update").option("checkpointLocation", f"{d}/cp")
+            .foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).trigger(availableNow=True).start()
+        )
+        q.awaitTermination(240)
+    kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    # A user holds a record, a newest time and a timer with its index; some five of the 51 users are within reach.
+    assert kept <= 6 * 6, kept
+    assert [r for r in out if r[0] == 0][-1][2] == "p"
+    assert [r for r in out if r[0] == 7] == [(7, True, "p", "active", "r7", "s7", None), (7, None, None, "active", "r300", None, None)]
+
+
 def test_reconcile_stream_finds_lines_of_earlier_batches(spark):
     from ledgerloom.streaming.reconcile_stream import reconcile_stream
 
