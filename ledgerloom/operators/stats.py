@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import number_prefix
@@ -37,52 +37,76 @@ def exact_mean(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, column: str) -> DataFrame:
-    """One row (``fill``): the middle value, or the mean of the middle two.
+def order_key(x: Column) -> Column:
+    """A long that orders doubles as they compare, one step per double: sign, power of two, 52 bits of mantissa.
+
+    Scaling by a power of two is exact, so no two doubles share a key, but the two
+    zeros.  Infinities are the ends.
+    """
+    size = F.when((x != 0) & (F.abs(x) != float("inf")), F.abs(x))
+    guess = F.floor(F.log2(size))
+    # The logarithm rounds, so just below a power of two it may name that power.  Below the smallest
+    # power of full precision all doubles are steps of one size.
+    power = F.greatest(guess - F.when(size < F.pow(F.lit(2.0), guess), 1).otherwise(0), F.lit(-1022))
+    magnitude = (power + 1022) * F.lit(1 << 52) + (size / F.pow(F.lit(2.0), power) * F.lit(2.0**52)).cast("long")
+    key = F.coalesce(magnitude, F.when(x == 0, F.lit(0)).otherwise(F.lit(2047 << 52)))
+    return F.when(x < 0, -key).otherwise(key).cast("long")
+
+
+#: Bits of the order key that are left to tell after each counting pass.
+_LEFT = (42, 21, 0)
+
+
+def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (``column``, ``fill``, ``n``) per column that holds numbers: the middle value, or the mean of the middle two.
 
-    Selection by narrowing, exact to the last digit for any finite value.  The
-    first pass counts the values per sign and power of two; each further pass
-    cuts the group that holds the wanted rank into 65,536 equal ranges.  Groups
-    are counted before the shuffle.  A power of two holds 2**52 doubles, so four
-    cuts leave a single value.
+    A radix selection on ``order_key``, exact to the last digit: three passes,
+    whatever the number of columns and values.  Each counts the cells per column
+    and next 21 bits, before the shuffle, and keeps the group that holds a wanted
+    rank: at most 2**22 counts of a column meet in a window.  A cell is read once
+    a pass; the two middle ranks of an even number share the counts, and are two
+    groups only from where they part.
     """
     x = F.col("x")
-    sides = F.array(F.lit(0), F.lit(1))  # the two wanted ranks, equal when the count is odd
-    cells = numeric_cells(df, column).select("x", F.explode(sides).alias("side"))
-    power = F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x))) + 1100)).cast("long")
-    upto = Window.partitionBy("side").orderBy("part")
-    whole = Window.partitionBy("side")
-    cum, size = F.sum("c").over(upto), F.sum("c").over(whole)
-    # n: how many values there are; rank: the wanted place, counted from the group's first value.
-    found = (
-        cells.groupBy("side", power.alias("part"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("low"), F.max("x").alias("high"))
-        .withColumns({"n": size, "cum": cum})
-        .withColumn("rank", F.when(F.col("side") == 0, F.floor((F.col("n") + 1) / 2)).otherwise(F.floor(F.col("n") / 2 + 1)))
-    )
-    holds = (F.col("cum") >= F.col("rank")) & (F.col("cum") - F.col("c") < F.col("rank"))
-    kept = ("side", "n", (F.col("rank") - (F.col("cum") - F.col("c"))).alias("rank"), "low", "high")
-    found = found.filter(holds).select(*kept)
-    part = F.when(F.col("high") == F.col("low"), F.lit(0)).otherwise(
-        F.floor((x - F.col("low")) / (F.col("high") - F.col("low")) * 65535)
-    ).cast("long")
-    for _ in range(4):
-        # Two rows: a broadcast of proven size.
-        inside = cells.join(F.broadcast(found), "side").filter((x >= F.col("low")) & (x <= F.col("high")))
-        found = (
-            inside.groupBy("side", "n", "rank", part.alias("part"))
-            .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("low"), F.max("x").alias("high"))
-            .withColumn("cum", cum)
-            .filter(holds)
-            .select(*kept)
+    cell = lambda i, c: F.struct(F.lit(i).alias("at"), number_prefix(F.col(c)).alias("x"))
+    stacked = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)])))
+    cells = stacked.filter(x.isNotNull() & ~F.isnan(x)).select("at", "x", order_key(x).alias("key"))
+    found = None
+    for left in _LEFT:
+        part = F.shiftright("key", left)
+        if found is None:
+            counted = cells.groupBy("at", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("x"))
+            group = Window.partitionBy("at")
+            n = F.sum("c").over(group)
+            ranks = F.array_distinct(F.array(F.floor((n + 1) / 2), F.floor(n / 2 + 1)))
+            counted = counted.select("at", "part", "c", "x", n.alias("n"), ranks.alias("ranks"))
+        else:
+            # At most two rows a column: a broadcast of proven size.
+            inside = cells.join(F.broadcast(found), (cells["at"] == F.col("of")) & (F.shiftright("key", before) == F.col("prefix")))
+            counted = inside.groupBy("at", "prefix", "n", "ranks", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("x"))
+            group = Window.partitionBy("at", "prefix")
+        below = F.sum("c").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
+        own = F.filter("ranks", lambda r: (r > F.col("below")) & (r <= F.col("below") + F.col("c")))
+        here = counted.withColumn("below", below).withColumn("own", own).filter(F.size("own") > 0)
+        found = here.select(
+            F.col("at").alias("of"), F.col("part").alias("prefix"), "n", F.transform("own", lambda r: r - F.col("below")).alias("ranks"), "x"
         )
-    middle = F.sum("low") / F.count(F.lit(1))
+        before, last = left, found
+        found = found.drop("x")
+    # The halves are summed, so that two large numbers do not overflow.
+    middle = F.when(F.count(F.lit(1)) == 1, F.max("x")).otherwise(F.sum(x / 2))
     halved = F.when(F.abs(middle * 100) < 2.0**53, F.floor(middle * 100 + 0.5) / F.lit(100.0)).otherwise(middle)
+    names = F.array(*[F.lit(c) for c in columns])
+    return last.groupBy("of", "n").agg(F.when(F.col("n") % 2 == 0, halved).otherwise(middle).alias("fill")).select(
+        names[F.col("of")].alias("column"), "fill", "n"
+    )
+
+
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row (``fill``): ``exact_medians`` of one column; an error where it holds no number."""
     message = F.lit(f"no numeric values in column {column}")
-    return found.agg(
-        F.when(F.count(F.lit(1)) == 0, F.raise_error(message).cast("double"))
-        .otherwise(F.when(F.max("n") % 2 == 0, halved).otherwise(middle))
-        .alias("fill")
+    return exact_medians(df, [column]).agg(
+        F.when(F.count(F.lit(1)) == 0, F.raise_error(message).cast("double")).otherwise(F.max("fill")).alias("fill")
     )
 
 

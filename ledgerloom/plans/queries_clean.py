@@ -8,6 +8,7 @@ from ledgerloom.operators import cleaning as C
 from ledgerloom.operators import profile as P
 from ledgerloom.operators import validate as V
 from ledgerloom.operators.cleaning import Step
+from ledgerloom.operators.stats import exact_medians
 from ledgerloom.plans import steps as S
 from ledgerloom.plans.catalog import query
 from ledgerloom.plans.fixture_sql import NSP, SP, blank, percent, prefix, trim, with_
@@ -43,6 +44,14 @@ _clean(
     _dirty(amount=_fill(f"SELECT CASE WHEN count(*) % 2 = 0 THEN floor(median(x) * 100 + 0.5) / 100 ELSE median(x) END FROM {_NUM}")),
     lambda d: C.fill_missing(d, "amount", "median"),
 )
+_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+query(
+    "column_medians",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CASE WHEN count({c}) % 2 = 0 THEN floor(median({c}::DOUBLE) * 100 + 0.5) / 100 ELSE median({c}::DOUBLE) END AS fill, count({c}) AS n FROM lineitem"""
+        for c in _MEASURES
+    ),
+)(lambda spark, sf: exact_medians(table(spark, sf, "lineitem"), list(_MEASURES)))
 _clean(
     "clean_fill_mode",
     _dirty(

@@ -103,6 +103,29 @@ def xml_parents(spark, sf):
     return read.join(sizes, "_parent_nation_name").select("_parent_nation_name", F.col("c_custkey").cast("long").alias("c_custkey"), "siblings")
 
 
+@query(
+    "xml_many_children",
+    "SELECT n_name, c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
+)
+def xml_many_children(spark, sf):
+    """Records with up to a thousand children: maps, listed as rows again."""
+    folder = Scratch(spark).path("xml")
+    nested = (
+        table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy(F.col("n_name").alias("_name"), F.floor(F.col("c_custkey") / 1000).alias("_part"))
+        .agg(F.collect_list(F.struct(F.col("c_custkey").alias("_key"), F.col("c_name").alias("name"))).alias("customer"))
+    )
+    nested.write.format("xml").option("rowTag", "nation").option("rootTag", "nations").save(folder)
+    read = files.read_xml(spark, folder, "nation", widest=5)
+    cells = read.select("name", "part", F.explode("customer").alias("cell", "value"))
+    number, field = (F.regexp_extract("cell", r"\Acustomer_(\d+)_(\w+)\z", i) for i in (1, 2))
+    value = lambda name: F.max(F.when(F.col("field") == name, F.col("value")))
+    children = cells.withColumns({"number": number, "field": field}).groupBy("name", "part", "number")
+    return children.agg(value("key").cast("long").alias("c_custkey"), value("name").alias("c_name")).select(
+        F.col("name").alias("n_name"), "c_custkey", "c_name"
+    )
+
+
 @query(
     "batch_status",
     """SELECT s.status, s.files, CASE s.status WHEN 'success' THEN (SELECT count(*) FROM customer) ELSE 0 END AS row_count

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,7 @@ MAX_ARCHIVE_FILES = 200
 MAX_ARCHIVE_BYTES = 500 * 1024 * 1024
 MAX_RATIO = 100
 PREVIEW_LIMIT = 1000
+WIDEST = 100  # columns that one repeated child may take
 DELIMITERS = (",", "\t", ";", "|")
 
 
@@ -204,22 +206,48 @@ def choose_row_tag(spark: SparkSession, path: str) -> str:
     return best[0]["tag"] if best else root[0]["tag"]
 
 
-def flatten_structs(df: DataFrame, max_items: dict[str, int], depth: int = 5) -> DataFrame:
+def _flat_cells(c: Column, kind: T.DataType, name: str, level: int, depth: int) -> Column:
+    """All values under ``c`` as an array of (name, text), named as the columns would be, repeats of any number."""
+    if isinstance(kind, T.StructType) and level <= depth:
+        inner = lambda f: name if f.name == "_VALUE" else f"{name}_{f.name.removeprefix('_')}"
+        parts = [_flat_cells(c[f.name], f.dataType, inner(f), level + 1, depth) for f in kind.fields]
+        return F.concat(*parts)
+    if isinstance(kind, T.ArrayType) and level <= depth:
+        # Inside the repeat, names are relative to it; its number is put before them.
+        def numbered(item: Column, i: Column) -> Column:
+            cells = _flat_cells(item, kind.elementType, "", level, depth)
+            return F.transform(cells, lambda x: F.struct(F.concat(F.lit(f"{name}_"), i.cast("string"), x["name"]).alias("name"), x["value"].alias("value")))
+
+        return F.coalesce(F.flatten(F.transform(c, numbered)), F.array().cast("array<struct<name: string, value: string>>"))
+    return F.array(F.struct(F.lit(name).alias("name"), c.cast("string").alias("value")))
+
+
+def flatten_structs(df: DataFrame, max_items: dict[str, int], depth: int = 5, widest: int = WIDEST) -> DataFrame:
     """Nested XML columns to flat ones: ``child_field``, repeats numbered ``child_0_field``.
 
-    ``max_items`` gives the number of columns to make per repeated child.
+    ``max_items`` gives the number of columns to make per repeated child, by its
+    name without numbers.  A child that would take more than ``widest`` of them (one
+    inside repeats times theirs) becomes one map column ``child`` instead, from the
+    names the columns would have had to their texts; values that are missing have no
+    entry.  So the number of columns is bounded by the tags of a record, not by its
+    repeats, and nothing is left out.
     """
     out: list[Column] = []
 
-    def walk(c: Column, kind: T.DataType, name: str, level: int) -> None:
+    def walk(c: Column, kind: T.DataType, name: str, plain: str, level: int, copies: int) -> None:
         if isinstance(kind, T.StructType) and level <= depth:
             for f in kind.fields:
                 clean = f.name.removeprefix("_")
-                inner = name if f.name == "_VALUE" else (f"{name}_{clean}" if name else clean)
-                walk(c[f.name], f.dataType, inner, level + 1)
+                under = lambda above: above if f.name == "_VALUE" else (f"{above}_{clean}" if above else clean)
+                walk(c[f.name], f.dataType, under(name), under(plain), level + 1, copies)
         elif isinstance(kind, T.ArrayType) and level <= depth:
-            for i in range(max_items.get(name, 0)):
-                walk(F.get(c, F.lit(i)), kind.elementType, f"{name}_{i}", level)
+            copies *= max_items.get(plain, 0)
+            if copies > widest:
+                present = F.filter(_flat_cells(c, kind, name, level, depth), lambda x: x["value"].isNotNull())
+                out.append(F.map_from_entries(present).alias(name))
+            else:
+                for i in range(max_items.get(plain, 0)):
+                    walk(F.get(c, F.lit(i)), kind.elementType, f"{name}_{i}", plain, level, copies)
         else:
             out.append(c.cast("string").alias(name))
 
@@ -227,34 +255,38 @@ def flatten_structs(df: DataFrame, max_items: dict[str, int], depth: int = 5) ->
         if f.name.startswith("_parent_"):
             out.append(F.col(f.name))
         else:
-            walk(F.col(f"`{f.name}`"), f.dataType, f.name.removeprefix("_"), 1)
+            name = f.name.removeprefix("_")
+            walk(F.col(f"`{f.name}`"), f.dataType, name, name, 1, 1)
     return df.select(*out)
 
 
 def _array_sizes(df: DataFrame) -> dict[str, int]:
-    """Longest length of each repeated child (one aggregation, one row back)."""
+    """Longest length of each repeated child, inside repeats too (one aggregation, one row back)."""
     paths: list[tuple[str, Column]] = []
 
-    def walk(c: Column, kind: T.DataType, name: str) -> None:
+    def walk(longest: Callable[[Callable[[Column], Column]], Column], kind: T.DataType, name: str) -> None:
+        # ``longest`` gives the largest value that a function takes on the instances of this place in a record.
         if isinstance(kind, T.StructType):
             for f in kind.fields:
                 clean = f.name.removeprefix("_")
-                walk(c[f.name], f.dataType, f"{name}_{clean}" if name else clean)
+                under = name if f.name == "_VALUE" else (f"{name}_{clean}" if name else clean)
+                walk(lambda fn, f=f: longest(lambda c: fn(c[f.name])), f.dataType, under)
         elif isinstance(kind, T.ArrayType):
-            paths.append((name, c))
+            paths.append((name, longest(F.size)))
+            walk(lambda fn: longest(lambda c: F.array_max(F.transform(c, lambda x: fn(x)))), kind.elementType, name)
 
     for f in df.schema.fields:
-        walk(F.col(f"`{f.name}`"), f.dataType, f.name.removeprefix("_"))
+        walk(lambda fn, f=f: fn(F.col(f"`{f.name}`")), f.dataType, f.name.removeprefix("_"))
     if not paths:
         return {}
-    row = df.agg(*[F.max(F.size(c)).alias(f"s{i}") for i, (_, c) in enumerate(paths)]).first()
-    return {name: int(row[f"s{i}"] or 0) for i, (name, _) in enumerate(paths)}
+    row = df.agg(*[F.max(c).alias(f"s{i}") for i, (_, c) in enumerate(paths)]).first()
+    return {name: max(0, int(row[f"s{i}"] or 0)) for i, (name, _) in enumerate(paths)}
 
 
 def read_xml(
-    spark: SparkSession, path: str, row_tag: str | None = None, parent_tag: str | None = None
+    spark: SparkSession, path: str, row_tag: str | None = None, parent_tag: str | None = None, widest: int = WIDEST
 ) -> DataFrame:
-    """XML records as flat text columns.
+    """XML records as flat text columns; a child with more than ``widest`` repeats is a map column (``flatten_structs``).
 
     With ``parent_tag`` the parent's attributes are copied to each record as
     ``_parent_<tag>_<attribute>``.
@@ -272,7 +304,7 @@ def read_xml(
         df = parents.select(*copied, F.explode(records).alias("_r")).select(
             *[F.col(f"_parent_{parent_tag}{c}") for c in attrs], "_r.*"
         )
-    return flatten_structs(df, _array_sizes(df))
+    return flatten_structs(df, _array_sizes(df), widest=widest)
 
 
 # --- batches of files and file triage ---------------------------------------

@@ -128,3 +128,37 @@ def test_median_and_mean_of_any_doubles(spark):
         halves = lambda y: y if abs(y * 100) >= 2**53 else math.floor(y * 100 + 0.5) / 100
         assert exact_median(df, "v").first().fill == (halves(m) if len(numbers) % 2 == 0 else m)
         assert math.isclose(exact_mean(df, "v").first().fill, halves(mean), rel_tol=1e-12)
+
+
+def test_order_keys_and_medians_of_many_columns(spark):
+    import random
+    import struct
+    from statistics import median
+
+    rnd = random.Random(5)
+    bits = lambda i: struct.unpack("<d", struct.pack("<q", i))[0]
+    values = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf")]
+    values += [2.0**e for e in range(-1074, 1024, 7)] + [math.nextafter(2.0**e, 0) for e in range(-1000, 1024, 3)]
+    values += [bits(rnd.randrange(0x7FEFFFFFFFFFFFFF)) for _ in range(500)]
+    values = sorted(set(values + [-v for v in values]))
+    keys = [r.k for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", stats.order_key(F.col("x")).alias("k")).orderBy("x").collect()]
+    assert all(a < b for a, b in zip(keys, keys[1:]))
+    whole = [v for v in values if v >= 0]
+    assert [struct.unpack("<q", struct.pack("<d", v))[0] for v in whole] == keys[len(values) - len(whole) :]
+
+    # One column per kind: near doubles, equal ones, one value, none; odd and even numbers of rows.
+    table = [
+        [repr(math.nextafter(1.0, i)) if i % 2 else "1" for i in range(40)], [str(i // 9) for i in range(40)], ["7"] + [None] * 39,
+        ["x"] * 40, [str(rnd.uniform(-1e6, 1e6)) for _ in range(39)] + [""], ["1e308", "1.5e308"] * 20,
+    ]
+    names = [f"c{i}" for i in range(len(table))]
+    df = spark.createDataFrame(list(zip(*table)), ", ".join(f"{c} string" for c in names))
+    got = {r.column: (r.fill, r.n) for r in stats.exact_medians(df, names).collect()}
+    assert set(got) == {"c0", "c1", "c2", "c4", "c5"}
+    for c, cells in zip(names, table):
+        if c not in got:
+            continue
+        numbers = [float(v) for v in cells if v not in (None, "", "x")]
+        want = median(numbers) if c != "c5" else 1.25e308
+        even = len(numbers) % 2 == 0 and abs(want * 100) < 2**53
+        assert got[c] == (math.floor(want * 100 + 0.5) / 100 if even else want, len(numbers)), c

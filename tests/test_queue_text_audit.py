@@ -124,6 +124,31 @@ def test_csv_xml_and_archives(spark):
     assert seen["z.doc"] == "unsupported_extension"
 
 
+def test_xml_repeats_as_columns_or_maps(spark):
+    """Repeats inside repeats; a record with many children makes one map column, whose entries are the columns it replaces."""
+    d = folder()
+    lines = "".join(f'<line no="{i}"><q>{i % 7}</q>{"<tag>a</tag><tag>b</tag>" if i == 1 else "<tag>c</tag>"}</line>' for i in range(3))
+    with open(f"{d}/a.xml", "w") as f:
+        f.write(f'<orders><order id="1">{lines}</order><order id="2"><line no="9"/></order><order id="3"><note>n</note></order></orders>')
+    wide = {r.id: {k: v for k, v in r.asDict().items() if v is not None} for r in files.read_xml(spark, f"{d}/a.xml", "order").collect()}
+    assert wide["1"] == {"id": "1", **{f"line_{i}_no": str(i) for i in range(3)}, **{f"line_{i}_q": str(i) for i in range(3)},
+                         "line_0_tag_0": "c", "line_1_tag_0": "a", "line_1_tag_1": "b", "line_2_tag_0": "c"}
+    maps = files.read_xml(spark, f"{d}/a.xml", "order", widest=2)
+    assert set(maps.columns) == {"id", "line", "note"}
+    for r in maps.collect():
+        assert {"id": r.id, **({"note": r.note} if r.note else {}), **(r.line or {})} == wide[r.id]
+    # Three lines fit, their tags (three times two) do not.
+    some = files.read_xml(spark, f"{d}/a.xml", "order", widest=3)
+    row = some.filter("id = 1").first()
+    assert row.line_1_no == "1" and row.line_1_tag == {"line_1_tag_0": "a", "line_1_tag_1": "b"} and "line_1_tag_0" not in some.columns
+
+    with open(f"{d}/b.xml", "w") as f:
+        f.write('<all><r id="x">' + "".join(f"<v>{i}</v>" for i in range(20_000)) + '</r><r id="y"><v>1</v><v>2</v></r></all>')
+    many = files.read_xml(spark, f"{d}/b.xml", "r")
+    assert set(many.columns) == {"id", "v"}
+    assert {r.id: (r.n, r.last) for r in many.selectExpr("id", "size(v) AS n", "v['v_19999'] AS last").collect()} == {"x": (20_000, "19999"), "y": (2, None)}
+
+
 def test_byte_ranges(spark):
     """Large files, mixed-case names, 64-bit archives and odd ones, read in part only."""
     d = folder()
