@@ -143,6 +143,28 @@ def test_best_fit_takes_the_least_room_and_closes_the_fullest():
     assert [bins.place(n) for n in (6, 9, 5, 1, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6), (2, 5)]
 
 
+@pytest.mark.parametrize("length, most", [(16, 1), (16, 3), (100, 8), (4096, 64)])
+def test_best_fit_against_a_linear_scan(length, most):
+    """The bitset gives what a scan of all open bins gives: least room first, the fullest closes; of equals the latest."""
+    rng = random.Random(length + most)
+    bins, open_bins, made = packing.BestFit(length, most), [], 0
+    for _ in range(5000):
+        size = rng.choice([rng.randint(1, length), rng.randint(1, max(1, length // 4)), length])
+        latest = [(free, -at, number) for at, (free, number) in enumerate(open_bins)]
+        fitting = [b for b in latest if b[0] >= size]
+        if fitting:
+            free, at, number = min(fitting)
+            open_bins.pop(-at)
+        else:
+            if len(open_bins) >= most:
+                open_bins.pop(-min(latest)[1])
+            free, number, made = length, made, made + 1
+        assert bins.place(size) == (number, length - free)
+        if free > size:
+            open_bins.append((free - size, number))
+        assert bins.open == len(open_bins) <= most
+
+
 def test_pack_documents(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["word", "other", "thing,"]) for _ in range(rng.randint(0, 90)))) for i in range(200)]

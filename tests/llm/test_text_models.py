@@ -98,6 +98,48 @@ def test_languages(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def _plain_ranks(texts):
+    """The n-grams of texts as strings, most frequent first, with nothing but a counter; equal counts by the library's hash."""
+    counts = Counter()
+    for text in texts:
+        for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            padded = f" {word} "
+            counts.update(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1))
+    del counts[" "]
+
+    def number(gram):
+        code = 0
+        for c in gram:
+            code = code << 21 | ord(c)
+        return int(textkit.mix(np.array([code + len(gram)], np.uint64))[0]) >> 24
+
+    ranked = sorted(counts, key=lambda g: (-counts[g], number(g)))[: language.PROFILE]
+    return {g: i for i, g in enumerate(ranked)}
+
+
+def test_out_of_place_distance_against_a_plain_one(spark):
+    rng = random.Random(8)
+    alphabets = {"aa": "abcdefgh", "bb": "defghijk", "cc": "àéîõüßñö", "dd": "abcxyz"}
+    known = [(i, words(rng, rng.randint(1, 120), alphabets[lang]), lang) for i, lang in enumerate(list(alphabets) * 12)]
+    mixed = [words(rng, rng.randint(1, 60), alphabets[rng.choice("abcd") * 2] + rng.choice(["", "qrs", "XYZ"])) for _ in range(60)]
+    asked = [*mixed, "", None, "12 3!", "a", "A-b_c.D", " zz  zz\n", "ab " * 3000, mixed[0], "\U0001f600 da \U00010400", known[3][1]]
+    docs = spark.createDataFrame(known, "doc_id long, text string, lang string")
+    profiles = language.learn_profiles(docs, sample=1000)
+    plain = {lang: _plain_ranks([t for _, t, own in known if own == lang]) for lang in sorted(alphabets)}
+    queries = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(queries, profiles).collect()}
+    assert len(got) == len(asked)
+    for i, text in enumerate(asked):
+        ranks = _plain_ranks([text])
+        if not ranks:
+            assert got[i] == ("und", 0.0)
+            continue
+        apart = {lang: sum(abs(p[g] - k) if g in p else language.PROFILE for g, k in ranks.items()) for lang, p in plain.items()}
+        best = min(apart, key=lambda lang: (apart[lang], lang))
+        assert got[i][0] == best, (text, apart)
+        assert math.isclose(got[i][1], 1 - apart[best] / (len(ranks) * language.PROFILE), abs_tol=1e-12)
+
+
 # --- language model ---------------------------------------------------------
 
 
