@@ -37,6 +37,35 @@ def test_best_line_status_and_limits(spark):
     assert len(m) == 7
 
 
+def test_order_numbers_of_any_size_give_the_same_lines(spark):
+    """Sorted runs and blocks agree: all numbers taken as small, some as large, all as large."""
+    rnd = random.Random(5)
+    key = lambda: rnd.choice(["hot", "hot", "hot", None, "", *(f"k{i}" for i in range(6))])
+    price = lambda: rnd.choice([None, "", "x", f"{rnd.randrange(1, 60)}.50", str(1000 * rnd.randrange(4))])
+    po = spark.createDataFrame([(rnd.randrange(90) if i % 9 else None, key(), "V", price(), "USD") for i in range(120)], PO)
+    inv = spark.createDataFrame([(i // 2, "n", "V", key(), price(), "USD", None) for i in range(160)], INV)
+    rows = lambda large: sorted(
+        (r._row_id, r._po_key or "", str(r._amount), r.po.row_id if r.po else -1, str(r.po.amount) if r.po else "")
+        for r in M.match_by_number(inv, po, large=large).collect()
+    )
+    few, some, many = rows(10_000), rows(30), rows(0)
+    # Rows that share an id may stand for each other.
+    ids = lambda found: [r[:4] for r in found]
+    assert len(few) == 160 and ids(few) == ids(some) == ids(many)
+
+
+def test_numbers_match_shuffles_each_table_once(spark, capsys):
+    """The match by number sorts both tables in one shuffle; the rest moves sketches and large numbers only."""
+    po = spark.createDataFrame([(1, "p", "V", "1", "USD")], PO)
+    inv = spark.createDataFrame([(1, "n", "V", "p", "1", "USD", None)], INV)
+    small = M._match_small(
+        inv.withColumns({"_po_key": F.col("po_number"), "_amount": F.lit(1).cast("decimal(18,2)")}),
+        po.select(F.col("po_number").alias("_po_key"), M.order_struct(po, "_row_id").alias("_target")), "_row_id",
+    )
+    small.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+
+
 def test_long_orders_equal_short_ones(spark):
     """The two ways through an order number give the same lines, also for a key with most rows."""
     rnd = random.Random(3)
