@@ -27,6 +27,16 @@ def folder():
     return tempfile.mkdtemp(prefix="run-")
 
 
+def test_a_field_is_searched_once_per_pattern(spark, capsys):
+    """The first pattern with a value decides, and the plan names each search once."""
+    df = spark.createDataFrame([("Invoice No: A-1\nref: B",), ("ref: B",), ("nothing",), (None,)], "t string")
+    got = df.select(X.first_match(F.col("t"), X.PATTERNS["invoice_number"]).alias("n"))
+    assert [r.n for r in got.collect()] == ["A-1", "B", None, None]
+    one = df.select(X.first_match(F.col("t"), X.PATTERNS["tax"]).alias("n"))
+    one.explain()
+    assert capsys.readouterr().out.count("regexp_extract(") == 1
+
+
 def test_commands(spark):
     texts = ["approve items 51 to 100", "reject first 5 rows", "please approve row number 3", "hold the remaining", "request purchase order for items 2 - 4", "sing"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, c string")

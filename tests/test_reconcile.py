@@ -211,3 +211,13 @@ def test_rules_and_decisions(spark):
     base = [(1, "matched"), (2, "approved_with_flag"), (4, "held"), (5, "matched"), (6, "matched")]
     assert shown(False) == base
     assert shown(True) == sorted(base + [(3, "held"), (5, "duplicate_kept"), (6, "duplicate_kept")])
+
+
+def test_repeated_rows_are_told_by_written_fingerprints(spark, capsys):
+    """Members of repeated rows, NULL cells included; the wide rows are in no shuffle."""
+    rows = [(1, "a", None), (2, "a", None), (3, "a", "x"), (4, None, None), (5, None, None), (6, None, "null")]
+    members = D.exact_duplicate_members(spark.createDataFrame(rows, "_row_id long, wide string, other string"))
+    got = {r._row_id: (r.copies, r.is_first) for r in members.collect()}
+    assert got == {1: (2, True), 2: (2, False), 4: (2, True), 5: (2, False)}
+    members.explain()
+    assert "wide" not in capsys.readouterr().out
