@@ -249,3 +249,11 @@ def test_repeated_runs_equal_brute_force(spark):
         if run >= html_text.MIN_RUN:
             want[h, s] = max(run, want.get((h, s), 0))
     assert got == want and len(want) > 50
+
+
+def test_suffixes_start_at_every_word_of_a_long_block():
+    from ledgerloom.llm import html_text
+
+    text = " ".join(f"word{i}" for i in range(40))
+    spans = [(0, 0, len(text))]
+    assert list(html_text.anchors(text, spans)) == [i for i in range(len(text)) if i == 0 or text[i - 1] == " "]
