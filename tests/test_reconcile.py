@@ -221,3 +221,27 @@ def test_repeated_rows_are_told_by_written_fingerprints(spark, capsys):
     assert got == {1: (2, True), 2: (2, False), 4: (2, True), 5: (2, False)}
     members.explain()
     assert "wide" not in capsys.readouterr().out
+
+
+def test_received_quantities_ride_on_the_match(spark, capsys):
+    """The match brings the received quantity itself: order rows are not joined to receipts before it."""
+    inv = spark.createDataFrame(
+        [(1, "a", "Acme Foods", "p1", "5", "USD", "3"), (1, "a", "Acme Foods", "p1", "5", "USD", "3"), (2, "b", "Acme Foods", "P2", None, "USD", "3"),
+         (3, "c", "Acme Foods", None, "5", "USD", "3"), (4, "d", "Other", "p9", "5", "USD", "3")],
+        INV,
+    )
+    po = spark.createDataFrame(
+        [(1, "P1", "Acme Foods", "5", "USD"), (2, " p1 ", "Acme Foods", "9", "USD"), (3, "P2", "Acme Foods", "5", "USD"), (None, "P9", "Z", "1", "USD")], PO
+    )
+    receipts = spark.createDataFrame([("p1", "2"), ("P1 ", "1.5"), (None, "4"), ("P9", "7"), ("P2", None)], "po_number string, quantity string")
+    received = R.received_quantities(receipts)
+    got = lambda m: sorted((r._row_id, r.po and r.po.received_quantity) for r in m.collect())
+    expected = [(1, 3.5), (1, 3.5), (2, None), (3, None), (4, None)]
+    for large in (10_000, 0):
+        assert got(M.match_by_number(inv, po, large=large, received=received)) == expected
+    # A vendor found by name takes the quantity of the order that was found.
+    assert got(M.match_invoices(inv, po, received=received).dropDuplicates(["_row_id"])) == [(1, 3.5), (2, None), (3, 3.5), (4, None)]
+    run = reconcile(inv, po, receipts, fuzzy=False)
+    capsys.readouterr()
+    run.matches.explain()
+    assert "_po_join" not in capsys.readouterr().out
