@@ -43,10 +43,10 @@ def stream_repeats(spark, sf):
     place = (F.substring("_row_id", 1, 12).cast("long") + F.expr("right(_row_id, 1)").cast("long")) % BATCHES
 
     def sink(run, batch_id):
-        run.repeats.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        run.repeats.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={batch_id}")
 
     for batch in range(BATCHES):
-        invoices.filter(place == batch).write.mode("append").parquet(arriving)
+        invoices.filter(place == batch).write.mode("append").option("compression", "zstd").parquet(arriving)
         stream = spark.readStream.schema(invoices.schema).parquet(arriving)
         reconcile_stream(stream, pos, sink, checkpoint, fuzzy=False).awaitTermination()
     found = spark.read.parquet(out)

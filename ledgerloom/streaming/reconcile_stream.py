@@ -12,7 +12,6 @@ from ledgerloom.operators.cleaning import Step
 from ledgerloom.operators.duplicates import with_line_key
 from ledgerloom.plans.reconcile import Reconciliation, reconcile
 from ledgerloom.plans.steps import run_steps, step_name
-from ledgerloom.session import cut_lineage
 
 LINE_BUCKETS = 256  # parts the memory of all lines is kept in
 
@@ -34,7 +33,7 @@ def clean_stream(stream: DataFrame, steps: list[Step]) -> DataFrame:
 
 
 def seen_lines(spark: SparkSession, seen: str, buckets: list[int]) -> DataFrame:
-    """``line_key, bucket, batch`` of the lines kept in some buckets; no other bucket is listed or opened."""
+    """``hash, bucket, batch`` of the lines kept in some buckets; no other bucket is listed or opened."""
     return spark.read.option("basePath", seen).parquet(*[f"{seen}/bucket={b}" for b in buckets])
 
 
@@ -43,31 +42,38 @@ def earlier_repeats(
 ) -> DataFrame:
     """Lines of this batch that an earlier batch has brought: ``line_key, _row_id, first_batch``.
 
-    Line keys are kept as a table in the folder ``seen``, dealt into buckets by their hash, with one part per bucket and
-    batch.  A batch reads the buckets its own lines fall into, however many batches came before; a batch that is run
+    Lines are kept as a table in the folder ``seen``, dealt into buckets by their hash, with one part per bucket and
+    batch.  Only the bytes of the line key are kept: a line's content holds its number, so lines of one hash have one
+    number.  A batch reads the buckets its own lines fall into, however many batches came before; a batch that is run
     again replaces its own parts, so the result is the same.
     """
     spark = batch.sparkSession
-    key = F.concat_ws("|", "_number_key", "_line_key")
-    keys = cut_lineage(
-        with_line_key(batch)
-        .filter(F.col("_line_key").isNotNull())
-        .select(key.alias("line_key"), F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), F.col(row_id).alias("_row_id"))
-    )
-    touched = sorted(r.bucket for r in keys.select("bucket").distinct().collect())  # at most one row per bucket
-    if not touched:
-        return keys.select("line_key", "_row_id", F.lit(None).cast("int").alias("first_batch"))
+    lines = with_line_key(batch).filter(F.col("_line_key").isNotNull()).withColumn("hash", F.unhex("_line_key"))
     (
-        keys.select("line_key", "bucket", F.lit(batch_id).alias("batch"))
-        .distinct()
+        lines.select("hash", F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(batch_id).alias("batch"))
+        # One shuffle, for the distinct lines and for the files.
         .repartition("bucket")
+        .distinct()
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy("bucket", "batch")
         .parquet(seen)
     )
-    known = seen_lines(spark, seen, touched).filter(F.col("batch") < batch_id).groupBy("line_key").agg(F.min("batch").alias("first_batch"))
-    return keys.join(known, "line_key").select("line_key", "_row_id", "first_batch")
+    touched = _buckets_of(spark, seen, batch_id)
+    key = F.concat_ws("|", "_number_key", F.lower(F.hex("hash"))).alias("line_key")
+    if not touched:
+        return lines.select(key, F.col(row_id).alias("_row_id"), F.lit(None).cast("int").alias("first_batch"))
+    known = seen_lines(spark, seen, touched).filter(F.col("batch") < batch_id).groupBy("hash").agg(F.min("batch").alias("first_batch"))
+    mine = lines.select("_number_key", "hash", F.col(row_id).alias("_row_id"))
+    return mine.join(known, "hash").select(key, "_row_id", "first_batch")
+
+
+def _buckets_of(spark: SparkSession, seen: str, batch_id: int) -> list[int]:
+    """The buckets that hold lines of a batch, from the folder names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{seen}/bucket=*/batch={batch_id}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
 
 
 def reconcile_stream(
