@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates as D
 from ledgerloom.functions import numbers as N
 from ledgerloom.functions import text as T
+from ledgerloom.plans.queries_cells import text_quality
 from ledgerloom.sources.roles import canonicalise, typed, with_row_id
 
 
@@ -74,3 +75,23 @@ def test_canonical_names(spark):
     assert canonicalise(spark.createDataFrame([("1", "2")], ["amount", "Total"])).first()["amount"] == "1"
     assert df.select(typed(df, "missing")).first()[0] is None
     assert with_row_id(df, ["Supplier"]).first()["_row_id"].Supplier == "A"
+
+
+def test_text_quality_equals_the_plain_patterns(spark, capsys):
+    """Counts and marks as the plain classes give them, and texts of one row group dealt over the cores."""
+    texts = [
+        None, "", " \u00a0", "a", "ab c1 d-e", "é ab\u2003cd\u200bx", "x\x00y z", "pay 123 US$", "USDX EUR_ aUSD", "1 USD", "\nUSD", "EUR", "ÄGBP é", "€5",
+        "\u0664\u0665\u0666 ok", "ab\ufeffcd", "(ab) ab, a:b", "日本語 テキスト", "x\x1fy\x7f zz", "\U0001f600USD 😀 ab😀", "CNY\u0301 AEDé",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    total = F.regexp_count("text", F.lit(rf"{T.NOT_SPACE}++"))
+    good = F.regexp_count("text", F.lit(rf"(?<!{T.NOT_SPACE})[\p{{L}}\p{{N}}_.,\-/:]{{2,}}+(?!{T.NOT_SPACE})"))
+    mark = r"[$£€₹¥₩]|(?<![\p{L}\p{N}_])(?:USD|EUR|GBP|INR|NPR|AED|SAR|CNY)(?![\p{L}\p{N}_])"
+    extra = lambda p: F.when(F.col("text").rlike(p), 200).otherwise(0)
+    score = F.least(F.lit(1000), F.floor((good * 1200 + total) / (total * 2)) + extra(r"\p{Nd}{3}") + extra(mark)) / F.lit(1000.0)
+    plain = F.when(T.is_blank("text"), F.lit(0.0)).otherwise(score)
+    for r in df.select("i", "text", T.text_quality("text").alias("a"), plain.alias("b")).collect():
+        assert r.a == r.b, r.text
+    capsys.readouterr()
+    text_quality(spark, "/root/testdata/sf0.001").explain()
+    assert "REPARTITION" in capsys.readouterr().out
