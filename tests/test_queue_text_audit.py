@@ -10,6 +10,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import clean_cell
 from ledgerloom.operators import audit as A
 from ledgerloom.operators import decisions as D
 from ledgerloom.operators import selections as L
@@ -506,3 +507,45 @@ def test_timed_approvals_equal_the_twin_in_any_order(spark):
     ).awaitTermination(400)
     got = sorted(map(tuple, spark.read.parquet(f"{d}/out").collect()))
     assert got == sorted(map(tuple, P.approval_outcomes(spark.createDataFrame(rows, schema)).collect()))
+
+
+def test_line_memory_keeps_distinct_hashes_only(spark):
+    """What is kept of a line is its hash, once per batch: no text key and no row id is written or shuffled for it."""
+    d = folder()
+    schema = "_row_id long, invoice_number string, amount string"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    R.earlier_repeats(frame([(1, "n1", "5"), (2, "n1", "5"), (None, "N2", None)]), 0, f"{d}/seen", buckets=4)
+    kept = spark.read.parquet(f"{d}/seen")
+    assert sorted(kept.columns) == ["batch", "bucket", "hash"] and kept.count() == 2
+    got = R.earlier_repeats(frame([(7, "N2", None), (8, "n1", "5"), (8, "n1", "5"), (9, "N1", "5")]), 1, f"{d}/seen", buckets=4).collect()
+    assert sorted((r._row_id, r.first_batch, r.line_key.split("|")[0]) for r in got) == [(7, 0, "N2"), (8, 0, "N1"), (8, 0, "N1")]
+
+
+ODD_LINES = (
+    "Vendor: Acme", "Thank you", "a b", "   Total   :: 5 ", "Date\t2024", "x", "", "key:", ": value", "K\x01ey: v\x02al", "a/b#c. d", "Amount = 7",
+    "GRAND TOTAL $ 9", "total: ", "p.o. 77", "P O 5", "purchase order: 3", "bılled by me", "purcha\u017fe order 8", "\u212aey: 1", "Invoice No: INV-1/2",
+    "invoice numbers", "update: now", "from  here", "Balance Due: 4 total 6", "a\u2028b: c", "Zahl\u00a0: \u00e4", "due date: x", "PO7", "Rechnung: 1.000",
+)
+
+
+def test_lines_are_searched_once_with_the_same_result(spark, capsys):
+    """Each line is searched once per pattern, and results equal the plain patterns one after the other."""
+    df = spark.createDataFrame([(0, "\n".join(ODD_LINES)), (1, None), (2, " \n ")], "d int, t string")
+    lines = X.text_lines(df, "t")
+    pattern = r"\A([A-Za-z\s#/\.]+)[\s:]+(.+)\z"
+    part = lambda i: clean_cell(F.regexp_extract("line", pattern, i))
+    plain = lines.filter((F.length("line") >= 5) & F.col("line").rlike(pattern)).select("d", "line_no", part(1).alias("k"), part(2).alias("v"))
+    expected = plain.filter("k != '' and v != ''").collect()
+    found = X.key_values(df, "t")
+    assert sorted(map(tuple, found.select("d", "line_no", "key", "value").collect())) == sorted(map(tuple, expected)) and len(expected) > 10
+    tags = X.tag_lines(df, "t")
+    got = {(r.d, r.line_no): (r.tag, r.tag_value) for r in tags.collect()}
+    for r in lines.collect():
+        one = spark.range(1).select(*[F.regexp_extract(F.lit(r.line), "(?iU)" + p, 1) for _, p in X.LINE_TAGS]).first()
+        hit = next(((name, v.strip()) for (name, _), v in zip(X.LINE_TAGS, one) if v), (None, None))
+        assert got[r.d, r.line_no] == hit, r.line
+    capsys.readouterr()
+    found.explain()
+    assert capsys.readouterr().out.count("regexp_extract") == 2
+    tags.explain()
+    assert capsys.readouterr().out.lower().count("rlike") == len(X.LINE_TAGS)
