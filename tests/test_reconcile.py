@@ -245,3 +245,51 @@ def test_received_quantities_ride_on_the_match(spark, capsys):
     capsys.readouterr()
     run.matches.explain()
     assert "_po_join" not in capsys.readouterr().out
+
+
+def test_only_named_order_columns_are_shuffled(spark):
+    """``fields`` limits ``po`` and the shuffle; the lines found stay the same on both ways through an order number."""
+    rnd = random.Random(7)
+    po = spark.createDataFrame([(i, f"k{i % 5}", f"V{i}", rnd.choice(["", f"{i % 13}.50"]), rnd.choice(["USD", None])) for i in range(60)], PO)
+    inv = spark.createDataFrame([(i // 2, "n", "V", rnd.choice(["k1", "K2 ", None, "x"]), rnd.choice([None, "3", "9"]), "USD", None) for i in range(60)], INV)
+    for large in (10_000, 0):
+        slim = M.match_by_number(inv, po, large=large, fields=("currency",))
+        assert slim.schema["po"].dataType.names == ["row_id", "amount", "currency"]
+        key = lambda rows: sorted(map(repr, rows))
+        full = M.match_by_number(inv, po, large=large).select("_row_id", "po").collect()
+        assert key((r._row_id, r.po and (r.po.row_id, r.po.amount, r.po.currency)) for r in full) == key(
+            (r._row_id, r.po and (r.po.row_id, r.po.amount, r.po.currency)) for r in slim.collect()
+        )
+
+
+def test_small_price_table_does_not_shuffle_the_invoices(spark, capsys):
+    """Whatever contracts are made from, the size of the price table itself decides how it is joined."""
+    inv = spark.createDataFrame([(1, "Acme Ltd"), (2, None), (3, "Other")], "_row_id long, vendor_name string")
+    contracts = spark.range(50_000_000).filter("id < 2").selectExpr("id as _row_id", "'ACME' as vendor_name", "cast(id + 1 as string) as unit_price")
+    priced = R.with_contract(inv, contracts)
+    capsys.readouterr()
+    priced.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r._row_id, r.contract_price) for r in priced.collect()) == [(1, 2.0), (2, None), (3, None)]
+
+
+def test_totals_of_line_items_give_the_same_findings(spark):
+    items = "array<struct<total: double>>"
+    inv = spark.createDataFrame(
+        [(1, "a", "V", "p", "100", "USD", "1", "5", [(60.0,), (20.0,)]), (2, "b", "V", "p", "85", "USD", "1", "5", [(60.0,), (20.0,)]),
+         (3, "c", "V", "p", "100", "USD", "1", "5", []), (4, "d", "V", "p", "100", "USD", "1", "5", None), (5, "e", "V", "p", "100", "USD", "1", "5", [(None,)])],
+        f"{INV}, tax string, line_items {items}",
+    )
+    po = spark.createDataFrame([(1, "p", "V", "100", "USD")], PO)
+    found = lambda i: sorted(map(repr, R.invoice_findings(M.match_invoices(i, po, fuzzy=False), texts=False).collect()))
+    assert found(R.with_items_total(inv)) == found(inv)
+    assert sum("tax_discrepancy" in r for r in found(inv)) == 1
+
+
+def test_tables_read_in_parts_are_not_shuffled_to_deal_them(spark):
+    from ledgerloom.plans.fixtures import dealt
+
+    half = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism // 2)
+    assert dealt(half, "id") is half
+    assert dealt(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() > 1
