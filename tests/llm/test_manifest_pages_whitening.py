@@ -257,3 +257,39 @@ def test_suffixes_start_at_every_word_of_a_long_block():
     text = " ".join(f"word{i}" for i in range(40))
     spans = [(0, 0, len(text))]
     assert list(html_text.anchors(text, spans)) == [i for i in range(len(text)) if i == 0 or text[i - 1] == " "]
+
+
+def test_article_words_are_compared_with_what_other_pages_show_around_theirs(spark):
+    rng = random.Random(5)
+    line, passage, title = words(rng, 12), words(rng, 30), words(rng, 8)
+    own = [words(rng, 20) for _ in range(6)]
+    article = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    data = [
+        ("http://c/1", f"<div>{line}</div><p>{title}</p>" + article(own[0], passage)),
+        ("http://c/2", article(own[1], line, passage)),  # around the first page's article, and inside the third's
+        ("http://c/3", article("so: " + line + " end", own[2])),  # found at a word inside a block
+        ("http://c/4", f"<div>{line}</div>" + article(own[3], line)),  # its own page has it around the article
+        ("http://d/1", article(own[4], line)),  # another host
+        ("http://c/5", article(line)),  # would lose all
+        ("http://c/6", article(title, own[5])),  # its headline stands around the first page's article only
+        ("http://c/7", f"<p>{passage}</p><p>{title}</p><p>own words of this one page</p>"),  # no article
+    ]
+    # A passage that articles share is content there, and repeated on a page without an article.
+    assert texts(spark, data) == [
+        f"{own[0]}\n\n{passage}", f"{own[1]}\n\n{passage}", own[2], f"{own[3]}\n\n{line}", f"{own[4]}\n\n{line}", line,
+        f"{title}\n\n{own[5]}", "own words of this one page",
+    ]
+
+
+def test_filter_of_beginnings_misses_none(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["x", "y"]), words(rng, 8)[:40], 1, 0) for _ in range(3000)]
+    bits = html_text.beginnings_filter(spark.createDataFrame(rows, "host string, suffix string, page long, at int").repartition(4))
+    for host in ("x", "y"):
+        own = "".join(s[: html_text.MIN_RUN] for h, s, _, _ in rows if h == host)
+        other = words(rng, 6000)
+        for text, least, most in ((own, 1, 1), (other, 0, 0.02)):
+            places = list(range(0, len(text) - html_text.MIN_RUN + 1, html_text.MIN_RUN))
+            hashes = html_text.beginning_hashes(text, places, html_text._host_hash(host))
+            hit = np.all([bits[p >> 3] >> (p & 7) & 1 for p in html_text.filter_places(hashes, 8 * len(bits))], axis=0)
+            assert least <= hit.mean() <= most
