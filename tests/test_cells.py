@@ -95,3 +95,28 @@ def test_text_quality_equals_the_plain_patterns(spark, capsys):
     capsys.readouterr()
     text_quality(spark, "/root/testdata/sf0.001").explain()
     assert "REPARTITION" in capsys.readouterr().out
+
+
+def test_plain_vendor_keys_equal_the_step_by_step_ones(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    parts = ["acme", "Foods", "ltd", "PVT", "inc", "co", "corp", "llc", "private", "limited", "gmbh", "x1", "Co.", "é", "a,b"]
+    names = [rng.choice(["", "", " "]) + rng.choice([" ", " ", " ", "  ", "\t"]).join(rng.choices(parts[: rng.choice([12, 15])], k=rng.randint(1, 5))) for _ in range(400)]
+
+    def key_a(name):
+        name = name.lower().strip()
+        for w in T.KEY_A_ENDINGS:
+            name = name.removesuffix(f" {w}").rstrip() if name.endswith(f" {w}") else name
+        return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", name)).strip()
+
+    def key_c(name):
+        dropped = re.sub(rf"(?<![A-Za-z0-9_])(?:{'|'.join(T.KEY_C_WORDS)})(?![A-Za-z0-9_])", "", name.lower())
+        return re.sub(r"\s+", " ", re.sub("[.,]", "", dropped)).strip()
+
+    assert one(spark, T.vendor_key_a("c"), *names, None) == [*map(key_a, names), None]
+    assert one(spark, T.vendor_key_c("c"), *names, None) == [*map(key_c, names), None]
+    # Plain names skip the searches that the others need.
+    df = spark.createDataFrame([("a",)], "c string")
+    assert all("a-z0-9 ]*" in df.select(k("c"))._jdf.queryExecution().optimizedPlan().toString() for k in (T.vendor_key_a, T.vendor_key_c))

@@ -63,3 +63,14 @@ def test_buckets_without_pairs_are_dropped_before_they_are_added_up(spark, capsy
     plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     added = plan.index("Aggregate", plan.index("Filter"))
     assert "Filter ((rows" in plan[added:]
+
+
+def test_checks_are_evaluated_once_a_row(spark):
+    from ledgerloom.operators import findings as R
+
+    invoices = spark.createDataFrame([("i1", "P1", "10.00", "A"), ("i2", "P9", "5", "B")], "_row_id string, po_number string, amount string, vendor_name string")
+    orders = spark.createDataFrame([("o1", "P1", "20.00", "A")], "_row_id string, po_number string, amount string, vendor_name string")
+    found = R.invoice_findings(M.match_invoices(invoices, orders, fuzzy=False), texts=False)
+    assert {(r.inv_row_id, r.finding_type) for r in found.collect()} == {("i1", "amount_mismatch"), ("i2", "no_po_match")}
+    # An inner explode would come with a filter on the size of the array, which evaluates all checks again.
+    assert "size(" not in found._jdf.queryExecution().optimizedPlan().toString()
