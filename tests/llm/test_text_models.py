@@ -218,3 +218,31 @@ def test_parts_are_grouped_by_bytes(monkeypatch):
     monkeypatch.setattr(language_model, "GROUP_BYTES", 10)
     assert language_model.part_groups([(0, 4), (1, 6), (2, 1), (5, 30), (6, 3)]) == [[0, 1], [2], [5], [6]]
     assert language_model.part_groups([]) == []
+
+
+def test_groups_read_their_own_files(spark, monkeypatch):
+    from ledgerloom.session import Scratch
+
+    monkeypatch.setattr(language_model, "GROUP_BYTES", 10)
+    sizes = [("b", 7, 4), ("a", 1, 6), ("a", 9, 2), ("c", 2, 7), ("c", 3, 6), ("c", 8, 2)]
+    assert language_model.file_groups(sizes) == [(["a"], [1, 9]), (["b"], [7]), (["c"], [2]), (["c"], [3, 8])]
+    assert language_model.file_groups([("x", 1, 3), ("y", 0, 3)]) == [(["x", "y"], [1, 0])]
+    # All groups together read each file once.
+    values = [np.unique(np.random.default_rng(s).integers(0, 1 << 40, 50).astype(np.uint64)) for s in range(6)]
+    rows = []
+    for s, own in enumerate(values):
+        packed = language_model._planes(own)
+        rows += [(language_model.ASKED, s, 0, packed), (language_model.PART, s, None, language_model.filter_bits(own, np.full(len(own), 3)))]
+    monkeypatch.setattr(language_model, "GROUP_BYTES", 6 * len(rows[1][3]) - 1)
+    scratch = Scratch(spark)
+    table = spark.createDataFrame([(*r, None, 0, 0) for r in rows], "kind int, segment int, block long, hashes binary, counts binary, n long, v long")
+    learned = scratch.cut(table.repartition(6, "segment"))
+    read = []
+    real = spark.read.__class__.parquet
+    monkeypatch.setattr(spark.read.__class__, "parquet", lambda self, *paths: read.extend(paths) or real(self, *paths))
+    got = {r.segment: bytes(r.levels) for r in language_model.probed_levels(learned, scratch).collect()}
+    parts = {s: b for kind, s, _, b in rows if kind == language_model.PART}
+    assert got == {s: language_model.FrequencyFilter({0: parts[s]}, 1).levels(own).astype(np.uint8).tobytes() for s, own in enumerate(values)}
+    own = [path for path in read if path.startswith(learned._scratch_path + "/")]
+    assert len(own) == len(set(own)) >= 2
+    scratch.close()
