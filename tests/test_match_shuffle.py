@@ -74,3 +74,14 @@ def test_checks_are_evaluated_once_a_row(spark):
     assert {(r.inv_row_id, r.finding_type) for r in found.collect()} == {("i1", "amount_mismatch"), ("i2", "no_po_match")}
     # An inner explode would come with a filter on the size of the array, which evaluates all checks again.
     assert "size(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vendor_amount_match_carries_named_columns_only(spark):
+    cols = "_row_id string, po_number string, amount string, vendor_name string, currency string"
+    invoices = spark.createDataFrame([("i1", "P1", "10.00", "Acme Ltd", "USD"), ("i2", "", "99", "acme", ""), ("i3", "", "50", "acme", "")], cols)
+    orders = spark.createDataFrame([("o1", " p1 ", "20.00", "Acme", "USD"), ("o2", "P2", "100", "ACME Inc", "EUR")], cols)
+    row = lambda r: (r._row_id, r.match_type, r.po and r.po.row_id, r.currency_warning)
+    got = M.match_vendor_amount(invoices, orders, fields=())
+    want = [("i1", "po_number", "o1", False), ("i2", "vendor_amount", "o2", True), ("i3", None, None, None)]
+    assert sorted(map(row, got.collect())) == sorted(map(row, M.match_vendor_amount(invoices, orders).collect())) == want
+    assert got.schema["po"].dataType.names == ["row_id", "amount", "currency", "date"]
